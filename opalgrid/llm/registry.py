@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, near_dup, packing, quality
 
 
 def queries() -> dict:
     return {
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_quality": quality.op5_quality,
         "op7_packing": packing.op7_packing,
+        "op9_near_duplicates": near_dup.op9_near_duplicates,
         "op10_mixing": mixing.op10_mixing,
     }
 
