@@ -7,7 +7,9 @@ suffices. Where none does, a bin is opened; where all places are taken, the full
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,32 +58,65 @@ class BestFit:
         return bin_, self.capacity - f
 
 
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Chunks that the tokenizer's pattern cuts into runs of letters, single digits and runs of other signs, and
+#: that its normalizer only lower-cases: basic Latin without apostrophes and "<" (special tokens), and letters of Latin-1.
+_PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-/:;=-@\[-`{{-~]+")
+_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
+class WordIds(dict):
+    """Token ids of lower-case words, by the tokenizer's model on their byte-level form."""
+
+    def __init__(self, tokenizer, most: int) -> None:
+        self.model, self.most = tokenizer.model, most
+        # the printable stand-ins of bytes in byte-level vocabularies
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.stand_in = {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        form = word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_in)
+        found = self[word] = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+        return found
+
+
 class ChunkCache(dict):
     """Token ids of chunks between ASCII white space, as little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins tokens across it, so the ids of a text are those of
-    its chunks in a row. The cache is emptied at ``most`` chunks.
+    its chunks in a row. Plain chunks are put together from the ids of their parts, all others are encoded whole. The caches are emptied at ``most`` entries.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.words = WordIds(self.tokenizer, most // 2)
+        # only for tokenizers of which the above holds
+        probe = ["The", "Über", "naïve", ".,", "7", "###", "_"]
+        self.parts = all(self.words[w.lower()] == self.encode(w) for w in probe) and self.encode("Été12.,No") == b"".join(map(self.encode, ("été", "1", "2", ".,", "no")))
 
-    def learn(self, chunks: list[bytes]) -> None:
-        new = list({c for c in chunks if c not in self})
-        if len(self) + len(new) > self.most:
+    def encode(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= self.most:
             self.clear()
-            new = list(set(chunks))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self[chunk] = pa.array(found.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(found.ids)] if found.ids else b""
+        text = chunk.decode("utf-8", "replace")
+        if self.parts and _PLAIN.fullmatch(text):
+            found = b"".join(map(self.words.__getitem__, _PARTS.findall(text.lower())))
+        else:
+            found = self.encode(text)
+        self[chunk] = found
+        return found
 
-    def ids(self, chunks: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, chunks))
+    def ids(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
 
 _caches: dict[str, ChunkCache] = {}
@@ -118,16 +153,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
-            chunked = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-            for lo in range(0, len(chunked), 64):
-                part = chunked[lo : lo + 64]
-                cache.learn([c for chunks in part for c in chunks])
-                for doc, chunks in zip(batch.column(0).slice(lo, 64).to_pylist(), part, strict=True):
-                    ids = cache.ids(chunks) + end
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        bin_, offset = packer.place(len(own) // 4)
-                        rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own), first + bin_, offset))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = cache.ids(text) + end
+                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[at : at + 4 * capacity]
+                    bin_, offset = packer.place(len(own) // 4)
+                    rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own), first + bin_, offset))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), *[pa.int64()] * 5], strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
