@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opalgrid.llm import exact_dedup, mixing, packing
+from opalgrid.llm import exact_dedup, mixing, near_dup, packing, quality
 from opalgrid.llm.store import materialize, read_table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labelled ones, doesn't reject."""
+    return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of identical texts, the row with the largest doc_id."""
     return exact_dedup.deduplicated(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the row with the smallest doc_id."""
+    return near_dup.without_near_duplicates(docs)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of all sources in target proportions; a document comes as often as the mix takes it."""
     return mixing.mixed(docs)
@@ -24,16 +34,19 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", quality_stage),
     ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
     ("mixing", mix_stage),
     ("packing", pack_stage),
 ]
 
-#: SQL can express neither the trained classifier nor the packer.
+#: SQL can express neither the trained classifier nor the packer: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the result of each is written and read again as the next one's input."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
