@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dup, packing, quality
+from . import exact_dedup, mixing, near_dup, packing, quality, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc_index": warc.op1_warc_index,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_quality": quality.op5_quality,
         "op7_packing": packing.op7_packing,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_warc_index": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}

@@ -19,7 +19,22 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="opalgrid-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def open_store(uri: str):
+    """The file system of a shared folder for Python on any machine, and the path in it."""
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def files_of(spark: SparkSession, folder: str, suffix: str = ".parquet") -> list[str]:
+    """Paths of a folder's files by name, listed through Spark's own file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(s.getPath().toString() for s in found if s.getLen() and s.getPath().getName().endswith(suffix))
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
