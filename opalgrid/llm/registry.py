@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dup, packing, quality, warc
+from . import exact_dedup, imatch, mixing, near_dup, packing, quality, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_index": warc.op1_warc_index,
+        "op2_imatch": imatch.op2_imatch,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_quality": quality.op5_quality,
         "op7_packing": packing.op7_packing,
