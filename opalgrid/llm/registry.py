@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, imatch, mixing, near_dup, packing, quality, warc
+from . import exact_dedup, imatch, mixing, near_dup, packing, pii, quality, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_imatch": imatch.op2_imatch,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_quality": quality.op5_quality,
+        "op6_pii": pii.op6_pii,
         "op7_packing": packing.op7_packing,
         "op9_near_duplicates": near_dup.op9_near_duplicates,
         "op10_mixing": mixing.op10_mixing,
