@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, imatch, mixing, near_dup, packing, pii, quality, warc
+from . import exact_dedup, html, imatch, mixing, near_dup, packing, pii, quality, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_quality": quality.op5_quality,
         "op6_pii": pii.op6_pii,
         "op7_packing": packing.op7_packing,
+        "op8_html_text": html.op8_html_text,
         "op9_near_duplicates": near_dup.op9_near_duplicates,
         "op10_mixing": mixing.op10_mixing,
     }
