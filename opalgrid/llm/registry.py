@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html, imatch, mixing, near_dup, packing, pii, quality, warc
+from . import exact_dedup, html, imatch, licenses, mixing, near_dup, packing, pii, quality, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_index": warc.op1_warc_index,
         "op2_imatch": imatch.op2_imatch,
+        "op3_licenses": licenses.op3_licenses,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_quality": quality.op5_quality,
         "op6_pii": pii.op6_pii,
