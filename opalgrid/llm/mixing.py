@@ -26,7 +26,10 @@ from .store import materialize, read_table
 WEIGHTS = (1, 2, 3)
 MAX_RATIO = 3
 MAX_BITS = 14
-#: Code points that separate words.
+#: Documents before and behind the boundary of a source from which the best fitting ones are chosen.
+AROUND = 24
+OUTPUT = ("mix_size", "mix_source_size", "mix_target", "mix_picks")
+#: Words: runs of code points that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -79,6 +82,29 @@ def _source_key(source):
     return F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source))
 
 
+def nearest_subset(sizes: list[int], room: int) -> list[int]:
+    """Places of sizes whose sum is as near to ``room`` as any, by a bitset of the sums that can be reached."""
+    reached = [1]
+    for x in sizes:
+        reached.append(reached[-1] | reached[-1] << x)
+    below = reached[-1] & ((1 << (room + 1)) - 1)
+    above = reached[-1] >> room
+    total = below.bit_length() - 1
+    if above and (above & -above).bit_length() - 1 < room - total:
+        total = room + (above & -above).bit_length() - 1
+    out = []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not reached[i] >> total & 1:
+            out.append(i)
+            total -= sizes[i]
+    return out[::-1]
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if its known number of rows allows it."""
+    return F.broadcast(df) if rows <= 100_000 else df
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -91,35 +117,37 @@ def mix(
     max_shards: int = 4096,
     max_sources: int = 100_000,
 ) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_picks``.
+    """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_picks``.
 
-    ``_picks`` is an array of (pass, shard), one for each time that the mix takes the document; empty
-    where it does not. Sizes are words; null and empty texts have size 0 and count as documents of
+    ``mix_picks`` is an array of (_pass, _shard), one for each time that the mix takes the document; empty
+    where it does not. Input columns of these names are replaced, all others pass through. Sizes are words; null and empty texts have size 0 and count as documents of
     their source. Null is a source of its own, the last. A source of size 0 has target 0, and no pass of it is drawn.
     Rows that repeat an id are drawn together. The same input gives the same picks. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*OUTPUT)
     size, key = word_count(F.col(text_col)), _source_key(F.col(source_col))
     order = F.xxhash64(F.col(id_col), F.lit(seed))
-    full = docs.withColumns({"_size": size, "_key": key, "_hash": order})
-    light = materialize(full.select(F.col(id_col).cast("string").alias("_id"), "_size", "_key", "_hash", F.col(source_col).alias("_source")), "mix")
+    # the input's columns travel in one struct, so that their names can't clash with those used here
+    full = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("string").alias("_id"), size.alias("_size"), key.alias("_key"), order.alias("_hash"), F.col(source_col).alias("_source"))
+    light = materialize(full.drop("_row"), "mix")
     found = light.groupBy("_key").agg(F.first("_source").alias("source"), F.sum("_size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     found.sort(key=lambda r: (r.source is None, r.source or ""))
-    targets = source_targets({r.source: r.size for r in found}, weights)
+    targets = source_targets({r.source: r["size"] for r in found}, weights)
     plan = []
     for r in found:
-        passes = min(int(targets[r.source] // r.size), MAX_RATIO) if r.size else 0
-        rest = int(round(targets[r.source] - passes * r.size)) if passes < MAX_RATIO else 0
+        passes = min(int(targets[r.source] // r["size"]), MAX_RATIO) if r["size"] else 0
+        rest = int(round(targets[r.source] - passes * r["size"])) if passes < MAX_RATIO else 0
         bits = min(MAX_BITS, max(0, math.ceil(math.log2(r.n / docs_per_block)))) if r.n else 0
-        plan.append((r._key if hasattr(r, "_key") else r[0], r.size, targets[r.source], passes, rest, bits))
+        plan.append((r["_key"], r["size"], targets[r.source], passes, rest, bits))
     sources = spark.createDataFrame(plan, "_key string, _source_size long, _target double, _passes int, _rest long, _bits int")
 
     block = F.when(F.col("_bits") == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(_hash, 64 - greatest(_bits, 1))")).cast("int")
     # order within a source: unsigned order of the hash, which is block order
     rank = F.expr("_hash ^ shiftleft(1L, 63)")
-    placed = light.join(F.broadcast(sources) if len(plan) <= 10_000 else sources, "_key").withColumns({"_block": block, "_rank": rank})
+    placed = light.join(_small(sources, len(plan)), "_key").withColumns({"_block": block, "_rank": rank})
     blocks = placed.groupBy("_key", "_block", "_rest", "_passes").agg(F.sum("_size").alias("_words"))
     in_order = Window.partitionBy("_key").orderBy("_block")
     blocks = materialize(blocks.withColumn("_before", F.sum("_words").over(in_order) - F.col("_words")), "mix")
@@ -128,23 +156,27 @@ def mix(
     edge = blocks.where("_rest > 0 and _before <= _rest and _before + _words > _rest").select("_key", F.col("_block").alias("_edge"), (F.col("_rest") - F.col("_before")).alias("_room"))
     edge = {r["_key"]: (r["_edge"], r["_room"]) for r in edge.collect()}
     edges = spark.createDataFrame([(k, *v) for k, v in edge.items()], "_key string, _edge int, _room long")
-    inside = placed.join(F.broadcast(edges) if len(edge) <= 10_000 else edges, "_key").where("_block = _edge")
-    running = F.sum("_size").over(Window.partitionBy("_key").orderBy("_rank", "_id").rowsBetween(Window.unboundedPreceding, 0))
-    cuts = inside.withColumn("_run", running).where("_run <= _room").groupBy("_key").agg(F.max("_rank").alias("_cut"), F.max("_run").alias("_got"))
-    cut = {r["_key"]: (r["_cut"], r["_got"]) for r in cuts.collect()}
-
-    least = -(2**63)
-    ends = [(k, e, cut.get(k, (least, 0))[0], room - cut.get(k, (least, 0))[1], k in cut) for k, (e, room) in edge.items()]
-    ends_df = spark.createDataFrame(ends, "_key string, _edge int, _cut long, _gap long, _cuts boolean")
-    ends_df = F.broadcast(ends_df) if len(ends) <= 10_000 else ends_df
-    left = placed.join(ends_df, "_key").where("_size > 0 and (_block > _edge or _block = _edge and (not _cuts or _rank > _cut)) and _size < 2 * _gap")
-    fill = left.groupBy("_key").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_gap")).alias("d"), F.col("_rank"), F.col("_id"))).alias("_f"))
-    filler = {r["_key"]: (r["_f"]["_rank"], r["_f"]["_id"]) for r in fill.collect()}
+    # in the boundary block: its documents up to the cut, and those around it, of which some are chosen
+    inside = placed.join(_small(edges, len(edge)), "_key").where("_block = _edge")
+    in_rank = Window.partitionBy("_key").orderBy("_rank", "_id")
+    inside = materialize(inside.select("_key", "_rank", "_id", "_size", F.sum("_size").over(in_rank.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"), F.row_number().over(in_rank).alias("_at"), "_room"), "mix")
+    middle = inside.groupBy("_key").agg(F.max(F.when(F.col("_run") <= F.col("_room"), F.col("_at")).otherwise(0)).alias("_middle"))
+    around = inside.join(_small(middle, len(edge)), "_key").where(F.abs(F.col("_at") - F.col("_middle")) <= AROUND).collect()
+    by_key: dict[str, list] = {}
+    for r in sorted(around, key=lambda r: (r["_key"], r["_at"])):
+        by_key.setdefault(r["_key"], []).append(r)
+    last, chosen = [], []
+    for k, (e, room) in edge.items():
+        rows = by_key[k]
+        cut = None
+        if rows[0]["_at"] > 1:  # all before the second of these are taken
+            cut, room = rows[0]["_rank"], room - rows[0]["_run"]
+            rows = rows[1:]
+        last.append((k, e, cut))
+        chosen += [(k, rows[i]["_rank"], rows[i]["_id"]) for i in nearest_subset([r["_size"] for r in rows], room)]
 
     # draws: every block in the whole passes, and those up to the boundary in the last
-    last = [(k, e, c, cuts_, *(filler.get(k) or (None, None))) for k, e, c, _, cuts_ in ends]
-    last_df = spark.createDataFrame(last, "_key string, _edge int, _cut long, _cuts boolean, _fill_rank long, _fill_id string")
-    last_df = F.broadcast(last_df) if len(last) <= 10_000 else last_df
+    last_df = _small(spark.createDataFrame(last, "_key string, _edge int, _cut long"), len(last))
     draws = blocks.join(last_df, "_key", "left").select("_key", "_block", F.explode(F.expr("transform(sequence(0, _passes), p -> p)")).alias("_pass"), "_passes", "_edge", "_rest")
     draws = draws.where("_pass < _passes or (_rest > 0 and _block <= coalesce(_edge, 2147483647))")
     per_source = Window.partitionBy("_key").orderBy(F.xxhash64(F.lit(seed + 1), "_pass", "_block"), "_pass", "_block")
@@ -159,18 +191,16 @@ def mix(
     run_df = spark.createDataFrame(runs, "_key string, _shard int, _lo int, _hi int")
     dealt = draws.join(run_df.select("_key", "_shard", F.explode(F.sequence("_lo", "_hi")).alias("_n")), ["_key", "_n"])
     by_block = dealt.groupBy("_key", "_block").agg(F.sort_array(F.collect_list(F.struct("_pass", "_shard"))).alias("_draws"))
-    # the filling document lies behind the boundary: it goes to the shard of its source's last draw
-    last_shard = dealt.groupBy("_key").agg(F.max_by("_shard", "_n").alias("_fill_shard"))
 
-    small = sources.select("_key", "_source_size", "_target", "_passes", "_bits").join(last_df, "_key", "left").join(last_shard, "_key", "left")
-    small = F.broadcast(small) if len(plan) <= 10_000 else small
+    small = _small(sources.select("_key", "_source_size", "_target", "_passes", "_bits").join(last_df, "_key", "left"), len(plan))
     out = full.join(small, "_key").withColumns({"_block": block, "_rank": rank})
-    out = out.join(by_block.withColumnRenamed("_block", "_b").withColumnRenamed("_key", "_k"), (F.col("_key") == F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
-    in_last = F.expr("_edge is null or _block < _edge or (_cuts and _rank <= _cut)")
-    filled = F.expr("_fill_rank is not null and _rank = _fill_rank and _fill_id <=> cast(`{}` as string)".format(id_col.replace("`", "``")))
-    kept = F.filter(F.coalesce("_draws", F.expr("cast(array() as array<struct<_pass:int,_shard:int>>)")), lambda d: (d["_pass"] < F.col("_passes")) | in_last)
-    picks = F.when(filled, F.concat(kept, F.array(F.struct(F.col("_passes").alias("_pass"), F.col("_fill_shard").alias("_shard"))))).otherwise(kept)
-    return out.select(*[F.col(c) for c in docs.columns], "_size", "_source_size", "_target", picks.alias("_picks"), F.lit(shards).alias("_shards"))
+    out = out.join(by_block.select(F.col("_key").alias("_k"), F.col("_block").alias("_b"), "_draws"), (F.col("_key") == F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
+    picked = spark.createDataFrame(sorted(set(chosen)), "_pk string, _pr long, _pi string").withColumn("_picked", F.lit(True))
+    out = out.join(_small(picked, len(chosen)), (F.col("_key") == F.col("_pk")) & (F.col("_rank") == F.col("_pr")) & F.col("_id").eqNullSafe(F.col("_pi")), "left")
+    in_last = F.expr("_edge is null or _block < _edge or coalesce(_block = _edge and _rank <= _cut, false) or _picked is not null")
+    drawn = F.coalesce("_draws", F.expr("cast(array() as array<struct<_pass:int,_shard:int>>)"))
+    picks = F.filter(drawn, lambda d: (d["_pass"] < F.col("_passes")) | in_last)
+    return out.select("_row.*", F.col("_size").alias("mix_size"), F.col("_source_size").alias("mix_source_size"), F.col("_target").alias("mix_target"), picks.alias("mix_picks"))
 
 
 def mixed(docs: DataFrame, seed: int = 7, partitions: int | None = None, **names) -> DataFrame:
@@ -178,12 +208,12 @@ def mixed(docs: DataFrame, seed: int = 7, partitions: int | None = None, **names
 
     Rows of a shard lie together, in an order shuffled by a seeded hash.
     """
+    names_ = [c for c in docs.columns if c not in OUTPUT]
     out = mix(docs, seed=seed, **names)
-    id_col = names.get("id_col", "doc_id")
-    taken = out.select(*[F.col(c) for c in docs.columns], F.explode("_picks").alias("_pick"))
-    taken = taken.select("*", F.col("_pick._shard").alias("_shard"), F.xxhash64(F.lit(seed + 2), "_pick", F.col(id_col)).alias("_at"))
+    taken = out.select(F.struct(*[F.col(f"`{c}`") for c in names_]).alias("_row"), F.col(f"`{names.get('id_col', 'doc_id')}`").alias("_id"), F.explode("mix_picks").alias("_pick"))
+    taken = taken.select("_row", F.col("_pick._shard").alias("_shard"), F.xxhash64(F.lit(seed + 2), "_pick", "_id").alias("_at"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return taken.repartition(n, "_shard").sortWithinPartitions("_shard", "_at").select(*docs.columns)
+    return taken.repartition(n, "_shard").sortWithinPartitions("_shard", "_at").select("_row.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -191,10 +221,10 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
     out = mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select(
         "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.size("_picks")).alias("taken"),
-        F.size("_picks").alias("copies"),
-        F.when(F.size("_picks") > 0, F.col("_picks")[0]["_shard"]).alias("first_shard"),
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("mix_size") * F.size("mix_picks")).alias("taken"),
+        F.size("mix_picks").alias("copies"),
+        F.when(F.size("mix_picks") > 0, F.col("mix_picks")[0]["_shard"]).alias("first_shard"),
     )

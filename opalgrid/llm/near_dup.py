@@ -296,11 +296,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but for those whose component has a smaller id, with the columns of ``docs``.
 
-    Rows that repeat a kept id all stay: they are the same document to this operator.
+    Rows that repeat a kept id all stay: they are the same document to this operator. Rows without an id stay too.
     """
-    dropped = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    dropped = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__opal_gone")).distinct()
     dropped = materialize(dropped, "near")
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col("__opal_gone"), "left_anti")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
