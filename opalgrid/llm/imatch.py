@@ -28,8 +28,8 @@ from .store import read_table, small_batches
 SLOTS = 1 << 22
 BAND = (0.1, 0.95)
 SEEDS = (11, 23, 37, 41, 59, 67, 83)
-LEVELS = 9
-HEX = 6
+LEVELS = 13
+HEX = 5
 _STRIP = ".,;:!?\"'()[]{}<>#$%&*|=+/\\-_"
 _C = np.uint64(0xBF58476D1CE4E5B9)
 _SALTS = np.array([xxhash.xxh64_intdigest(str(s)) for s in SEEDS], np.uint64)

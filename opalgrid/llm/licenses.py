@@ -138,20 +138,27 @@ class Found:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Candidates: each line with a keyword, and the lines from the first to the last of several that are close together."""
+    """Candidates: each line with a keyword, and several that are close together, with their paragraphs."""
     if not KEYWORD.search(text):
         return []
-    lines, at = [], 0
+    spans, hits, at = [], [], 0
     for n, line in enumerate(text.split("\n")):
+        spans.append((at, at + len(line), not line.strip()))
         if KEYWORD.search(line):
-            lines.append((n, at, at + len(line)))
+            hits.append(n)
         at += len(line) + 1
-    out = [(a, b) for _, a, b in lines]
+    out = [spans[n][:2] for n in hits]
     first = 0
-    for i in range(1, len(lines) + 1):
-        if i == len(lines) or lines[i][0] - lines[i - 1][0] > GAP_LINES:
+    for i in range(1, len(hits) + 1):
+        if i == len(hits) or hits[i] - hits[i - 1] > GAP_LINES:
             if i - first > 1:
-                out.append((lines[first][1], lines[i - 1][2]))
+                lo, hi = hits[first], hits[i - 1]
+                # to the ends of the paragraphs, if they are near
+                while lo > max(0, hits[first] - GAP_LINES) and not spans[lo - 1][2]:
+                    lo -= 1
+                while hi < min(len(spans) - 1, hits[i - 1] + GAP_LINES) and not spans[hi + 1][2]:
+                    hi += 1
+                out.append((spans[lo][0], spans[hi][1]))
             first = i
     return out
 
