@@ -2,13 +2,13 @@
 
 Only built-in expressions are used. Each level is a map-side combined count, and the next level's scan
 is reduced by a semi join with the keys that occur more than once, so that the full content is hashed
-only for rows whose length and prefix both repeat. Counts leave each task as one row per key; the joins
+only for rows whose length and prefix both repeat; texts are moved for that and for the result. Counts leave each task as one row per key; the joins
 have plain exchanges on both sides, so adaptive execution can split a partition that a hot group fills.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialize, read_table
@@ -18,68 +18,53 @@ OUTPUT = ("keep_id", "group_size", "kept")
 PREFIX_CHARS = 256
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, carry: list[Column] | None = None) -> DataFrame:
     """``docs`` with ``keep_id``, ``group_size`` (long) and ``kept`` (boolean) for each row.
 
     Texts are equal when identical; null counts as the empty text. Of equal texts the row with the
     largest id stays. Empty texts form one group. A null id is smaller than any other and stays only
     where all ids of its group are null. Of rows that repeat both id and text exactly one is kept, and
     each counts in ``group_size``. Input columns named like the output columns are replaced; all
-    others pass through. An empty table gives an empty result.
+    others pass through, or the expressions in ``carry`` do in their place. An empty table gives an empty result.
     """
     docs = docs.drop(*OUTPUT)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    length = F.octet_length(text).cast("long")
-    key = F.xxhash64(length, F.substring(text, 1, prefix_chars))
-    light = docs.select(F.octet_length(text).alias("_n"), length.alias("_len"), F.col(text_col).alias("_text"))
+    # what is carried travels in one struct, so that its names can't clash with those used here
+    rows = docs.select(F.struct(*(carry or ["*"])).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    length = F.octet_length("_text").cast("long")
+    prefix = F.xxhash64(F.substring("_text", 1, prefix_chars))
+    rows = rows.withColumns({"_len": length, "_key": F.xxhash64(length, prefix)})
 
-    # The keys are cast or hashed after counting: the join below then has an exchange of its own
+    # Level 1: lengths that repeat. They are cast after counting: the join below then has an exchange of its own
     # on this side, which adaptive execution needs to split a hot partition of the other side.
-    lengths = light.groupBy("_n").count().where("count > 1").select(F.col("_n").cast("long").alias("_len"))
-    prefix = F.substring(F.coalesce(F.col("_text"), F.lit("")), 1, prefix_chars)
-    prefixes = (
-        light.join(lengths, "_len", "left_semi")
-        .select(F.col("_len"), F.xxhash64(prefix).alias("_p"), F.xxhash64("_len", prefix).alias("_k0"))
-        .groupBy("_len", "_p")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_k0").alias("_key"))
-        .where("_c > 1")
-        .select("_key")
-    )
-    survivors = materialize(
-        docs.select(F.col(id_col).alias("_id"), key.alias("_key"), text.alias("_text"))
-        .join(prefixes, "_key", "left_semi")
-        .select("_id", "_key", F.sha2("_text", 256).alias("_hash")),
-        "dedup",
-    )
-    groups = (
-        survivors.groupBy("_hash")
-        .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-        .select(F.unhex("_hash").alias("_group"), "keep_id", "group_size")
-    )
-    verdicts = (
-        survivors.select("_id", "_key", F.unhex("_hash").alias("_group"))
-        .join(groups, "_group")
-        .groupBy("_id", "_key")
-        .agg(F.map_from_entries(F.collect_set(F.struct(F.lower(F.hex("_group")).alias("hash"), F.struct("keep_id", "group_size")))).alias("_verdict"))
-        .select(F.col("_id").alias("_vid"), F.col("_key").alias("_vkey"), "_verdict")
-    )
-    full_hash = F.when(F.col("_verdict").isNotNull(), F.sha2(text, 256))
-    found = (
-        docs.withColumn("_key", key)
-        .join(verdicts, F.col(id_col).eqNullSafe(F.col("_vid")) & (F.col("_key") == F.col("_vkey")), "left")
-        .withColumn("_hash", full_hash)
-        .withColumn("_found", F.when(F.col("_verdict").isNotNull(), F.element_at("_verdict", F.col("_hash"))))
-    )
-    # rows that repeat id and text: the first of each such set stays
-    repeat = F.row_number().over(Window.partitionBy(id_col, "_key", "_hash").orderBy(F.lit(1)))
-    keep_id = F.when(F.col("_found").isNotNull(), F.col("_found.keep_id")).otherwise(F.col(id_col))
-    return found.select(
-        *[F.col(c) for c in docs.columns],
-        keep_id.alias("keep_id"),
-        F.coalesce(F.col("_found.group_size"), F.lit(1)).cast("long").alias("group_size"),
-        (F.col(id_col).eqNullSafe(keep_id) & (repeat == 1)).alias("kept"),
-    )
+    lengths = rows.groupBy(F.col("_len").cast("int").alias("_n")).count().where("count > 1").select(F.col("_n").cast("long").alias("_len"))
+    # Level 2: prefixes that repeat among them
+    prefixes = rows.select("_len", prefix.alias("_p")).join(lengths, "_len", "left_semi").groupBy("_len", "_p").count().where("count > 1").select(F.xxhash64("_len", "_p").alias("_key"))
+    # Level 3: full hashes of what is left. Joins that carry texts are merge joins at every size.
+    survivors = rows.select("_id", "_key", "_text").join(prefixes.hint("merge"), "_key", "left_semi")
+    survivors = materialize(survivors.select("_id", "_key", F.sha2("_text", 256).alias("_hash")).groupBy("_id", "_key", "_hash").agg(F.count(F.lit(1)).alias("same")), "dedup")
+    groups = survivors.groupBy("_hash").agg(F.max("_id").alias("keep_id"), F.sum("same").alias("group_size")).where("group_size > 1").select(F.unhex("_hash").alias("_group"), "keep_id", "group_size")
+    found = survivors.select("_id", "_key", "same", F.unhex("_hash").alias("_group")).join(groups, "_group", "left")
+    # one row per id and key: an id that repeats may have several texts of the same length and prefix
+    entry = F.when(F.col("keep_id").isNotNull() | F.col("group_size").isNotNull(), F.struct(F.lower(F.hex("_group")).alias("hash"), F.struct("keep_id", "group_size", "same").alias("v")))
+    verdicts = found.groupBy("_id", "_key").agg(F.map_from_entries(F.collect_list(entry)).alias("_verdicts"), F.count(F.lit(1)).alias("_texts"), F.max("same").alias("_same"))
+    verdicts = materialize(verdicts.where(F.size("_verdicts") > 0).select(F.col("_id").alias("_vid"), F.col("_key").alias("_vkey"), "_verdicts", "_texts", "_same"), "dedup")
+    most = verdicts.agg(F.max("_texts").alias("texts"), F.max("_same").alias("same")).first()
+
+    several = (most["texts"] or 1) > 1  # else id and key tell a text, which need not be moved again
+    out = rows.select("_row", "_id", "_key", *["_text"] * several)
+    out = out.join(verdicts.hint("merge"), F.col("_id").eqNullSafe(F.col("_vid")) & (F.col("_key") == F.col("_vkey")), "left")
+    verdict = F.element_at(F.map_values("_verdicts"), 1)
+    if several:
+        verdict = F.when(F.col("_texts") == 1, verdict).otherwise(F.element_at("_verdicts", F.sha2("_text", 256)))
+    out = out.withColumn("_v", F.when(F.col("_verdicts").isNotNull(), verdict))
+    keep_id = F.when(F.col("_v").isNotNull(), F.col("_v.keep_id")).otherwise(F.col("_id"))
+    kept = F.col("_id").eqNullSafe(keep_id)
+    if (most["same"] or 1) > 1:
+        # some rows repeat id and text: the first of each such set stays
+        text = F.sha2("_text", 256) if several else F.lit("")
+        out = out.withColumn("_repeat", F.row_number().over(Window.partitionBy("_id", "_key", F.when(F.col("_v.same") > 1, text)).orderBy(F.lit(1))))
+        kept = kept & ((F.coalesce(F.col("_v.same"), F.lit(1)) == 1) | (F.col("_repeat") == 1))
+    return out.select("_row.*", keep_id.alias("keep_id"), F.coalesce(F.col("_v.group_size"), F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +75,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    return exact_dedup(docs, carry=[F.col("doc_id"), digest]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = """
