@@ -138,7 +138,7 @@ class Found:
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Candidates: each line with a keyword, and several that are close together, with their paragraphs."""
+    """Candidates: each line with a keyword, and those that are close together with the paragraphs around them."""
     if not KEYWORD.search(text):
         return []
     spans, hits, at = [], [], 0
@@ -151,13 +151,13 @@ def blocks(text: str) -> list[tuple[int, int]]:
     first = 0
     for i in range(1, len(hits) + 1):
         if i == len(hits) or hits[i] - hits[i - 1] > GAP_LINES:
-            if i - first > 1:
-                lo, hi = hits[first], hits[i - 1]
-                # to the ends of the paragraphs, if they are near
-                while lo > max(0, hits[first] - GAP_LINES) and not spans[lo - 1][2]:
-                    lo -= 1
-                while hi < min(len(spans) - 1, hits[i - 1] + GAP_LINES) and not spans[hi + 1][2]:
-                    hi += 1
+            lo, hi = hits[first], hits[i - 1]
+            # to the ends of the paragraphs, if they are near
+            while lo > max(0, hits[first] - GAP_LINES) and not spans[lo - 1][2]:
+                lo -= 1
+            while hi < min(len(spans) - 1, hits[i - 1] + GAP_LINES) and not spans[hi + 1][2]:
+                hi += 1
+            if hi > lo:
                 out.append((spans[lo][0], spans[hi][1]))
             first = i
     return out

@@ -60,6 +60,10 @@ _HINTS = {
 }
 
 
+#: Endings that mail addresses often have.
+TOP_DOMAINS = "com org net edu gov info io biz co eu de fr es it nl uk us at ch be pl se no dk fi pt br mx jp cn in ru ca au".split()
+
+
 @dataclass(frozen=True)
 class Span:
     kind: str
@@ -150,15 +154,23 @@ def features(text: str, s: Span) -> list[float]:
         float(len(before) == 0 or before[-1:].isspace()), float(len(after) == 0 or after[:1].isspace() or after[:1] in ".,;)"),
         float(any(w.startswith(h) for w in words[-4:] for h in _HINTS[s.kind])),
         float(sum(c.isdigit() for c in before)), float(sum(c.isdigit() for c in after)),
+        float(re.split(r"[^a-z0-9]+", found.lower())[-1] in TOP_DOMAINS),
         float("[at]" in found.lower() or "(at)" in found.lower()), float(" at " in found.lower()), float("dot" in found.lower()),
     ]
 
 
+def _word(rng: random.Random) -> str:
+    return "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) + rng.choice(["", "n", "r", "s"])
+
+
 def _rewritten(kind: str, found: str, rng: random.Random) -> str | None:
     """A base match in another form that means the same."""
     if kind == "email":
-        at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", ".")])
+        at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", "."), (" at ", " dot "), ("@", " dot ")])
         name, _, domain = found.partition("@")
+        # names and domains of all sorts, so that only the form and the ending tell
+        name = rng.choice([name, re.sub("[0-9]+", "", name).strip(".") or "me", f"{_word(rng)}.{_word(rng)}", _word(rng)])
+        domain = rng.choice([domain, f"{_word(rng)}.{rng.choice(TOP_DOMAINS)}", f"{_word(rng)}.{_word(rng)}.{rng.choice(TOP_DOMAINS)}"])
         return name + at + domain.replace(".", dot)
     if kind == "ip":
         return found.replace(".", rng.choice(["[.]", " [dot] ", "(dot)"])) if rng.random() < 2 / 3 else found.replace(".", "[dot]")
@@ -185,7 +197,8 @@ def _decoy(kind: str, rng: random.Random) -> str:
         return rng.choice([wrong, "-".join(wrong[i : i + 4] for i in range(0, 16, 4)), d(8) + "." + d(6)])
     if kind == "phone":
         return rng.choice([f"{rng.randrange(1900, 2030)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", f"{d(2)}.{d(2)}", f"{d(3)} {d(3)}", d(7), d(8), d(5) + "-" + d(2), f"{d(1)}.{d(3)}.{d(3)}"])
-    return rng.choice([f"look at www.{d(3)}.com", "stay at home dot and dash", f"v@{d(2)}"])
+    w = lambda: _word(rng)
+    return rng.choice([f"{w()} at {w()}.{w().capitalize()}", f"{w()} at {w()} dot {w()}", f"{w()} at {d(2)}.{d(2)}", f"{w()} (at) {w()}. {w()}", f"{w()}@{w()} dot {w()}", f"{w()}[at]{w()}.{d(1)}"])
 
 
 def examples(text: str, seed: int) -> list[tuple[Span, str, int]]:
