@@ -1,0 +1,187 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import odd
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from opalgrid.llm import mixing, packing, registry
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+
+def test_targets():
+    assert mixing.source_targets({}) == {}
+    assert mixing.source_targets({"a": 0, None: 0}) == {"a": 0.0, None: 0.0}
+    got = mixing.source_targets({"b": 100, "a": 100, None: 100})
+    assert got == {"a": 50.0, "b": 100.0, None: 150.0}
+    # c is small: it stops at three times its size and the others share what it leaves, 1 to 2
+    got = mixing.source_targets({"a": 600, "b": 600, "c": 10})
+    assert got["c"] == 30 and got["a"] + got["b"] == pytest.approx(1180) and got["b"] == pytest.approx(2 * got["a"])
+
+
+@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_targets_share_all_and_keep_the_limit(sizes):
+    named = {f"s{i:02d}": x for i, x in enumerate(sizes)}
+    got = mixing.source_targets(named)
+    assert sum(got.values()) == pytest.approx(sum(sizes), abs=1e-6)
+    assert all(got[s] <= 3 * named[s] + 1e-9 for s in named)
+
+
+@given(st.lists(st.integers(0, 500), min_size=1, max_size=8), st.integers(1, 40))
+@settings(max_examples=60, deadline=None)
+def test_quotas_are_exact_and_even(quotas, shards):
+    got = mixing.split_quotas(np.array(quotas), shards, np.random.default_rng(1))
+    assert got.sum(axis=0).tolist() == quotas and (got >= 0).all()
+    totals = got.sum(axis=1)
+    assert totals.max() - totals.min() <= int(np.ceil(np.log2(shards))) + 1
+
+
+@given(st.lists(st.integers(0, 60), max_size=12), st.integers(0, 300))
+@settings(max_examples=80, deadline=None)
+def test_nearest_subset(sizes, room):
+    picked = mixing.nearest_subset(sizes, room)
+    sums = {0}
+    for x in sizes:
+        sums |= {s + x for s in sums}
+    assert len(set(picked)) == len(picked)
+    assert abs(sum(sizes[i] for i in picked) - room) == min(abs(s - room) for s in sums)
+
+
+def test_mix_of_odd_rows(spark):
+    docs = odd.documents(spark)
+    out = mixing.mix(docs)
+    assert [c for c in out.columns if c not in mixing.OUTPUT] == [c for c in docs.columns if c not in mixing.OUTPUT]
+    rows = out.collect()
+    assert len(rows) == len(odd.ROWS)
+    for r in rows:
+        assert r.mix_size == len([w for w in "".join(c if c not in "\t\n\x0b\x0c\r" else " " for c in r.text or "").split(" ") if w])
+        assert len(r.mix_picks) <= 3
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    sizes = {s: sum(r.mix_size for r in x) for s, x in by.items()}
+    want = mixing.source_targets(sizes)
+    assert all(r.mix_target == pytest.approx(want[r.source]) and r.mix_source_size == sizes[r.source] for r in rows)
+    again = mixing.mixed(docs)
+    assert again.columns == [c for c in docs.columns if c not in mixing.OUTPUT]
+    assert again.count() == sum(len(r.mix_picks) for r in rows)
+    assert mixing.mix(odd.empty(spark)).count() == 0 and mixing.mixed(odd.empty(spark)).count() == 0
+
+
+def test_mix_comes_near_its_targets_and_reruns_agree(spark):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randrange(1, 400), "en", "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(1500)]
+    rows += [(5000 + i, None, "en", "nothing") for i in range(5)] + [(6000 + i, "v " * 50, "en", None) for i in range(3)]
+    docs = odd.documents(spark, rows)
+    first = mixing.mix(docs).select("doc_id", "source", "mix_size", "mix_target", "mix_picks").collect()
+    taken, target = defaultdict(int), {}
+    for r in first:
+        taken[r.source] += r.mix_size * len(r.mix_picks)
+        target[r.source] = r.mix_target
+    for s in target:
+        assert abs(taken[s] - target[s]) <= max(3, 0.002 * target[s]), s
+    assert target["nothing"] == 0 and target[None] == 450
+    again = mixing.mix(docs.repartition(5)).select("doc_id", "mix_picks").collect()
+    assert {r.doc_id: r.mix_picks for r in first} == {r.doc_id: r.mix_picks for r in again}
+    shards = defaultdict(set)
+    for r in first:
+        for p in r.mix_picks:
+            shards[p["_shard"]].add(r.source)
+    assert max(len(x) for x in shards.values()) >= 5
+
+
+def test_too_many_sources(spark):
+    with pytest.raises(ValueError):
+        mixing.mix(odd.documents(spark), max_sources=2)
+
+
+@given(st.lists(st.integers(1, 64), max_size=300), st.integers(1, 10))
+@settings(max_examples=80, deadline=None)
+def test_best_fit(lengths, places):
+    packer = packing.BestFit(64, places)
+    held = defaultdict(int)
+    for n in lengths:
+        bin_, offset = packer.place(n)
+        assert held[bin_] == offset and offset + n <= 64
+        held[bin_] += n
+        assert packer.count <= places and packer.count == sum(map(len, packer.free))
+    if places == 10 and lengths:
+        assert len(held) <= 2 * sum(lengths) / 64 + 2
+
+
+def test_best_fit_takes_the_tightest_and_closes_the_fullest():
+    p = packing.BestFit(100, 2)
+    assert [p.place(n) for n in (50, 60, 40, 30, 70)] == [(0, 0), (1, 0), (1, 60), (0, 50), (2, 0)]
+    assert p.place(90) == (3, 0)  # bin 0 with 20 free and bin 2 with 30 free are open: 0 closes
+    assert p.place(20) == (2, 70) and p.place(10) == (2, 90)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+CHARS = "abcXYZÀéßİΣσς'st <|endoftext|>́ᲀ\x1c\x85 　\n\t\x0b12٣.,!?-_\U0001f600Ǆ​Kµª"
+
+
+@given(st.text(alphabet=CHARS, max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_cached_ids_are_the_tokenizers(tokenizer, text):
+    cache = packing._cache(None)
+    assert np.frombuffer(cache.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_stay_bounded(tokenizer):
+    cache = packing.ChunkCache(public_tokenizers.path("word_bpe_49k.json"), most=10)
+    text = " ".join(f"word{i}, Alpha{i % 3}" for i in range(60))
+    assert np.frombuffer(cache.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(cache) <= 10 and len(cache.words) <= 10
+
+
+def check_pieces(rows, texts, tokenizer, capacity=4096):
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    for doc, text in texts:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        own = sorted(by_doc[doc], key=lambda r: r.piece)
+        assert [r.start for r in own] == list(range(0, len(ids), capacity)) and [r.piece for r in own] == list(range(len(own)))
+        for r in own:
+            part = ids[r.start : r.start + capacity]
+            assert r.length == len(part) and r.ids_crc32 == zlib.crc32(part.tobytes())
+    for held in by_sequence.values():
+        at = 0
+        for r in sorted(held, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= capacity
+    return len(by_sequence)
+
+
+def test_packing_of_odd_rows(spark, tokenizer):
+    unique = [r for r in odd.ROWS if r[0] is not None and r[0] != 6]
+    rows = packing.pack(odd.documents(spark, unique)).collect()
+    check_pieces(rows, [(r[0], r[1]) for r in unique], tokenizer)
+    all_ = packing.pack(odd.documents(spark)).collect()
+    assert sum(r.doc_id == 6 for r in all_) == 2 and sum(r.doc_id is None for r in all_) == 3
+    assert packing.pack(odd.empty(spark)).count() == 0
+
+
+def test_packing_query(spark, tiny, tokenizer):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    rows = registry.queries()["op7_packing"](spark, tiny).collect()
+    n = check_pieces(rows, [(r.doc_id, r.text) for r in docs.collect()], tokenizer)
+    assert n <= 1.05 * sum(r.length for r in rows) / 4096 + 3
+
+
+def test_mixing_query(spark, tiny):
+    out = registry.queries()["op10_mixing"](spark, tiny)
+    sources = out.join(spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("size").alias("size"), F.first("source_size").alias("s")).collect()
+    assert all(r["size"] == r.s and abs(r.taken - r.target) <= 0.02 * r.target + 2 for r in sources)
+    assert out.where("taken > 3 * size").count() == 0
