@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import read_table, small_batches
+from .store import materialize, read_table, small_batches
 
 SLOTS = 1 << 22
 BAND = (0.1, 0.95)
@@ -80,7 +80,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> np.ndarray:
     """One bit per slot: whether it is in the band. What the driver gets is ``SLOTS`` slots at most."""
-    counted = document_frequencies(docs, text_col)
+    counted = materialize(document_frequencies(docs, text_col), "imatch")  # used twice
     total = F.max(F.when(F.col("slot") == -1, F.col("n")))
     found = counted.crossJoin(F.broadcast(counted.agg(total.alias("total"))))  # one row
     share = F.log(F.col("total") / F.col("n")) / F.log(F.greatest(F.col("total"), F.lit(2)).cast("double"))
