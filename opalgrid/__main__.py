@@ -1,4 +1,4 @@
-"""``python -m opalgrid ingest|profile|suite|run|explain``."""
+"""``python -m opalgrid ingest|profile|sqlite|starter|suite|run|explain``."""
 
 from __future__ import annotations
 
@@ -10,18 +10,19 @@ from pyspark.sql import SparkSession
 from .operators.estimate import Estimator
 from .operators.profile import profile
 from .plans import compile_plan, from_json
-from .plans.runner import load_suite, run_suite
+from .plans.runner import dump_suite, load_suite, run_suite, starter_suite
 from .sources.catalog import Catalog
+from .sources.sqlite import write_sqlite
 from .sources.text import discover, write_lines
 
 
 def main(args: list[str] | None = None) -> None:
     top = argparse.ArgumentParser(prog="opalgrid", description=__doc__)
     sub = top.add_subparsers(dest="what", required=True)
-    for name, about in (("ingest", "text tables to Parquet and a profiled catalog"), ("profile", "the catalog of a folder of text tables, with statistics"), ("suite", "run a suite file over Parquet tables"), ("run", "run a tree and write its lines"), ("explain", "show the plan and the estimated rows of a tree")):
+    for name, about in (("ingest", "text tables to Parquet and a profiled catalog"), ("profile", "the catalog of a folder of text tables, with statistics"), ("sqlite", "Parquet tables to a SQLite file on the driver"), ("starter", "a suite file to begin with"), ("suite", "run a suite file over Parquet tables"), ("run", "run a tree and write its lines"), ("explain", "show the plan and the estimated rows of a tree")):
         p = sub.add_parser(name, help=about)
         p.add_argument("--folder", required=True, help="folder of the tables")
-        if name == "ingest":
+        if name in ("ingest", "sqlite", "starter"):
             p.add_argument("--out", required=True)
         if name in ("suite", "run", "explain"):
             p.add_argument("--file", required=True, help="JSON of the suite or tree")
@@ -44,6 +45,12 @@ def main(args: list[str] | None = None) -> None:
                 c.stats = found[c.name].stats()
         print(catalog.to_json())
         return
+    if a.what == "sqlite":
+        print(json.dumps(write_sqlite(Catalog.from_dir(spark, a.folder), a.out)))
+        return
+    if a.what == "starter":
+        print(dump_suite(starter_suite(Catalog.from_dir(spark, a.folder), a.out)))
+        return
     content = "\n".join(r.value for r in spark.read.text(a.file).coalesce(1).collect())
     if a.catalog:
         declared = "\n".join(r.value for r in spark.read.text(a.catalog).coalesce(1).collect())

@@ -9,9 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.catalog import Catalog
-from ..sources.text import ResultMismatch, lines, validate_lines
+from ..sources.text import ResultMismatch, lines, validate_lines, write_lines
 from .compiler import compile_plan
-from .tree import Plan, from_json, to_dict
+from .tree import Plan, from_json, scan, to_dict
 
 
 @dataclass
@@ -45,6 +45,17 @@ def dump_suite(suite: list[SuiteQuery]) -> str:
     return json.dumps({"query_configs": [{"execution_name": q.name, "disabled": q.disabled, "sort_before_check": q.sort_before_check, "query": {"root": to_dict(q.plan)}, "expected_output_file": q.expected, "memory_limit_mb": q.memory_limit_mb} for q in suite]}, indent=2)
 
 
+def starter_suite(catalog: Catalog, folder: str) -> list[SuiteQuery]:
+    """Full scans of the first two tables, disabled: a file to write queries into."""
+    return [SuiteQuery(f"scan_{t.name}", scan(t.name), f"{folder}/scan_{t.name}", disabled=True, sort_before_check=True) for t in catalog.tables[:2]]
+
+
+def record_expected(suite: list[SuiteQuery], catalog: Catalog) -> None:
+    """Write the present results of a suite as its expected outputs."""
+    for q in suite:
+        write_lines(compile_plan(q.plan, catalog).coalesce(1), q.expected)
+
+
 def run_suite(spark: SparkSession, suite: list[SuiteQuery], catalog: Catalog) -> dict[str, float]:
     """Seconds of each enabled query; the first result that differs from its expected file ends the run."""
     took = {}

@@ -234,6 +234,27 @@ def stats_sql(table: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+def order_sql(table: str) -> str:
+    """Whether each column is in file order: rows of a file keep their order in a window without one."""
+    parts = [f"SELECT '{c}' AS column_name, NOT coalesce(bool_or(before > {c}), false) AS ordered FROM (SELECT {c}, lag({c}) OVER () AS before FROM {table})" for c in TABLE_COLUMNS[table]]
+    return " UNION ALL ".join(parts)
+
+
+def histogram_sql(table: str, column: str) -> str:
+    return (
+        f"WITH q AS (SELECT list_distinct(quantile_disc(CAST({column} AS DOUBLE), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS b FROM {table}) "
+        f"SELECT CAST(len(list_filter(b, lambda x: CAST({column} AS DOUBLE) > x)) AS INT) AS bucket, min(CAST({column} AS DOUBLE)) AS lower_bound, "
+        f"max(CAST({column} AS DOUBLE)) AS upper_bound, count(*) AS frequency FROM {table}, q WHERE {column} IS NOT NULL GROUP BY 1"
+    )
+
+
+STRING_HISTOGRAM_SQL = (
+    "SELECT bucket, min(v) AS lower_bound, max(v) AS upper_bound, CAST(sum(n) AS BIGINT) AS frequency FROM ("
+    "SELECT v, n, CAST(least(floor((sum(n) OVER (ORDER BY v) - n) * 10 / sum(n) OVER ()), 9) AS INT) AS bucket "
+    "FROM (SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1)) GROUP BY bucket"
+)
+
+
 def run_query(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: compile_plan(query.plan, Catalog.from_dir(spark, folder, [t for t in TABLE_COLUMNS if t != "partsupp"]))
 
@@ -245,7 +266,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f"stats_{t}"] = lambda spark, folder, t=t: profile.column_stats(spark.read.parquet(f"{folder}/{t}.parquet"))
         out[f"stats_order_{t}"] = lambda spark, folder, t=t: profile.physically_ordered(spark.read.parquet(f"{folder}/{t}.parquet"))
     for t, c in HISTOGRAMS.items():
-        out[f"stats_histogram_{t}"] = lambda spark, folder, t=t, c=c: profile.histogram(spark.read.parquet(f"{folder}/{t}.parquet"), c)
+        out[f"stats_histogram_{t}"] = lambda spark, folder, t=t, c=c: profile.histogram(spark.read.parquet(f"{folder}/{t}.parquet"), c, accuracy=1_000_000)
     out["stats_string_histogram_customer"] = lambda spark, folder: profile.string_histogram(spark.read.parquet(f"{folder}/customer.parquet"), "c_mktsegment").withColumn("frequency", F.col("frequency").cast("long"))
     return out
 
@@ -254,4 +275,7 @@ def oracle_sql() -> dict[str, str]:
     out = {q.name: q.sql() for q in WORKLOAD + FEATURES}
     out["json_round_trip"] = out["bench_3"]
     out |= {f"stats_{t}": stats_sql(t) for t in PROFILED}
+    out |= {f"stats_order_{t}": order_sql(t) for t in PROFILED}
+    out |= {f"stats_histogram_{t}": histogram_sql(t, c) for t, c in HISTOGRAMS.items()}
+    out["stats_string_histogram_customer"] = STRING_HISTOGRAM_SQL
     return out

@@ -7,10 +7,11 @@ from opalgrid.operators.estimate import Estimator, string_position
 from opalgrid.operators.profile import column_stats, histogram, physically_ordered, profile, string_histogram
 from opalgrid.plans import Col, compile_plan, scan
 from opalgrid.plans import workload as w
-from opalgrid.plans.runner import SuiteQuery, dump_suite, load_suite, run_suite
+from opalgrid.plans.runner import SuiteQuery, dump_suite, load_suite, record_expected, run_suite, starter_suite
 from opalgrid.plans.tree import f64, i32, text, to_json
 from opalgrid.sources.blocks import decode_block, encode_blocks, read_blocks, write_blocks
 from opalgrid.sources.catalog import Catalog, CatalogError, ColumnInfo, TableInfo, of_frame
+from opalgrid.sources.sqlite import write_sqlite
 from opalgrid.sources.text import ResultMismatch, discover, lines, parse_schema, read_text, same_rows, validate_lines, write_lines
 from opalgrid.streaming import follow
 from pyspark.sql import types as T
@@ -65,6 +66,20 @@ def test_result_lines(spark, tmp_path):
     assert not same_rows(frame, frame.union(frame.limit(1)))
 
 
+def test_sqlite_gives_the_same_results(spark, tiny, tmp_path):
+    """A third engine: the workload's SQL on exported tables."""
+    import sqlite3
+
+    catalog = Catalog.from_dir(spark, tiny, ["region", "nation", "supplier", "customer"])
+    path = str(tmp_path / "t.db")
+    assert write_sqlite(catalog, path, ["region", "nation", "customer"])["customer"] == 150
+    con = sqlite3.connect(path)
+    for q in w.WORKLOAD + w.FEATURES:
+        if q.name in ("join_sort_q46", "filter_q11", "sort_q20", "cross_q31", "theta_join", "self_join_renamed"):
+            got = sorted(str(tuple(r)) for r in compile_plan(q.plan, catalog).collect())
+            assert got == sorted(map(str, con.execute(q.sql()).fetchall())), q.name
+
+
 def test_suite(spark, tiny, tmp_path):
     catalog = Catalog.from_dir(spark, tiny)
     suite = []
@@ -78,6 +93,12 @@ def test_suite(spark, tiny, tmp_path):
     (tmp_path / suite[1].name).write_text("nothing|\n")
     with pytest.raises(ResultMismatch, match=suite[1].name):
         run_suite(spark, suite, catalog)
+    starter = starter_suite(catalog, str(tmp_path / "expected"))
+    assert len(starter) == 2 and run_suite(spark, starter, catalog) == {}
+    record_expected(starter, catalog)
+    for q in starter:
+        q.disabled = False
+    assert len(run_suite(spark, starter, catalog)) == 2
     with pytest.raises(ValueError):
         SuiteQuery("x", scan("nation"), "f", memory_limit_mb=32)
     with pytest.raises(ValueError):
