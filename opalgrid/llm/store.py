@@ -50,8 +50,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what a Python worker holds at once: texts of documents may be very long."""
+    """Bound what a Python worker gets at once, in rows and in bytes: texts of documents may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
