@@ -7,10 +7,13 @@
 3. Rows are dealt by band key. Within a bucket, the share of equal low bits, corrected for chance
    collisions, estimates similarity by bit counts. A breadth-first search over estimates of at least
    ``MARGIN`` gives a spanning forest: one row per member at most, however large the bucket.
+   Buckets with very many members are found by a sketch and linked to their least id instead, without estimates.
 4. Components of these links are families. Every pair that shares a bucket and whose estimate reaches
-   ``MARGIN`` lies in one family. A family is cut into blocks; each task gets a block or two of them, with the
-   full sets, and searches breadth-first over exact similarities, so that no pair is left untested
-   unless it is connected already. Components of those links are the result.
+   ``MARGIN`` lies in one family. A small family goes to one task, with its full sets, which searches
+   breadth-first over exact similarities, so that no pair is left untested unless it is connected already.
+5. In a large family, the member with most estimated links is the hub, and all others are compared with it, block by
+   block. Those that it links are connected; each of the rest is compared with all, by pairs of blocks.
+   Components of the exact links are the result.
 
 A pair of similarity 0.75 is missed if no band agrees (chance (1 - 0.75**4)**36 = 1e-6) or if its estimate, of
 standard deviation 0.038, is 0.2 too low (chance 1e-7).
@@ -38,6 +41,8 @@ MARGIN = 0.55
 BLOCK = 256
 #: Above this size, the members of a bucket are linked in a row without estimates: the exact step decides.
 LARGEST_BUCKET = 20_000
+#: Band keys that are looked for as hot ones, and how many the sketch tracks for that.
+HOT_KEYS, TRACKED_KEYS = 1000, 20_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _RNG = np.random.default_rng(20)
@@ -119,8 +124,6 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _spanning(signatures: np.ndarray) -> list[tuple[int, int]]:
     """Pairs that connect what estimates of at least MARGIN connect."""
-    if len(signatures) > LARGEST_BUCKET:
-        return [(i, i + 1) for i in range(len(signatures) - 1)]
     left, out = np.arange(len(signatures)), []
     while len(left):
         queue, left = [int(left[0])], left[1:]
@@ -134,24 +137,42 @@ def _spanning(signatures: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _exact_links(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
-    """Pairs that connect what exact similarities connect; with ``side``, only pairs across the two sides count."""
+def _exact_links(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray, core: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect what exact similarities connect.
+
+    Where there are two sides, only pairs across them count. Members of the core are known to be connected.
+    """
     left, out = np.arange(len(sets)), []
+    across = bool((side != side[0]).any())
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
-            likely = estimates(signatures[x], signatures[left])
-            try_ = likely >= MARGIN
-            if side is not None:
+            if core[x]:  # all of the core is reached with one
+                more = core[left]
+                queue += left[more].tolist()
+                left = left[~more]
+            try_ = estimates(signatures[x], signatures[left]) >= MARGIN
+            if across:
                 try_ &= side[left] != side[x]
             hit = np.zeros(len(left), bool)
             for i in np.flatnonzero(try_).tolist():
                 hit[i] = similar(sets[x], sets[left[i]])
-            found = left[hit].tolist()
-            left = left[~hit]
-            out += [(x, y) for y in found]
-            queue += found
+                if hit[i] and core[left[i]] and not core[x]:
+                    try_core = core[left]
+                    out.append((x, int(left[i])))
+                    queue += left[try_core].tolist()
+                    hit[:] = hit & ~try_core
+                    found = left[hit].tolist()
+                    out += [(x, y) for y in found]
+                    queue += found + [x]  # the rest of its pairs is tested when it comes again
+                    left = left[~(hit | try_core)]
+                    break
+            else:
+                found = left[hit].tolist()
+                left = left[~hit]
+                out += [(x, y) for y in found]
+                queue += found
     return out
 
 
@@ -174,9 +195,19 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _columns(rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())], ["doc_id", "n_shingles", "class", "bits", "bands"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole runs of equal first columns, with the places where runs start and the end."""
+def _runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray, bool]]:
+    """Tables of whole runs of equal first columns, with the places where runs start and the end.
+
+    A run of over ``most`` rows comes in parts, each of which starts with the last row of the one before; the
+    flag tells that the first run of a table goes on from a part.
+    """
     rest: list[pa.RecordBatch] = []
+    held, parted = 0, None
+
+    def out() -> tuple[pa.Table, np.ndarray, bool]:
+        table, cuts = _cut(pa.Table.from_batches(rest))
+        return table, cuts, parted is not None and int(table.column(0)[0].as_py()) == parted
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -184,14 +215,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
         last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
         if last == 0 and rest and rest[-1].column(0)[-1].as_py() == int(key[0]):
             rest.append(batch)
+            held += batch.num_rows
+            if most is not None and held > most:
+                yield out()
+                parted, rest, held = int(key[0]), [batch.slice(batch.num_rows - 1)], 1
             continue
         if last:
             rest.append(batch.slice(0, last))
         if rest:
-            yield _cut(pa.Table.from_batches(rest))
-        rest = [batch.slice(last)]
+            yield out()
+        rest, held = [batch.slice(last)], batch.num_rows - last
     if rest:
-        yield _cut(pa.Table.from_batches(rest))
+        yield out()
 
 
 def _cut(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
@@ -202,21 +237,28 @@ def _cut(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (band key, id, packed bits) in key order to links of estimates."""
-    for table, cuts in _runs(batches):
+    for table, cuts, parted in _runs(batches, LARGEST_BUCKET):
         sizes = np.diff(cuts)
         many = np.repeat(sizes > 1, sizes)
         if not many.any():
             continue
+        parted = parted and sizes[0] > 1
         table = table.filter(pa.array(many))
         ids = table.column(1).to_numpy()
         bits = planes(table.column(2).to_pylist())
         sizes = sizes[sizes > 1]
         starts = np.cumsum(sizes) - sizes
-        two = starts[sizes == 2]
+        chain = sizes > LARGEST_BUCKET
+        chain[0] |= parted
+        two = starts[(sizes == 2) & ~chain]
         differ = np.bitwise_count((bits[two, 0] ^ bits[two + 1, 0]) | (bits[two, 1] ^ bits[two + 1, 1])).sum(axis=-1)
         two = two[(1 - differ / MINIMA - 0.25) / 0.75 >= MARGIN]
         a, b = [ids[two]], [ids[two + 1]]
-        for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        for at, n in zip(starts[chain].tolist(), sizes[chain].tolist(), strict=True):
+            a.append(ids[at : at + n - 1])
+            b.append(ids[at + 1 : at + n])
+        rest = (sizes > 2) & ~chain
+        for at, n in zip(starts[rest].tolist(), sizes[rest].tolist(), strict=True):
             pairs = np.array(_spanning(bits[at : at + n]), np.int64).reshape(-1, 2) + at
             a.append(ids[pairs[:, 0]])
             b.append(ids[pairs[:, 1]])
@@ -232,18 +274,68 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, id, block, set, bits) in group order to exact links."""
-    for table, cuts in _runs(batches):
+    """Rows (group, id, side, core, set, bits) in group order to exact links."""
+    for table, cuts, _ in _runs(batches):
         rows = []
-        ids, blocks = table.column(1).to_pylist(), table.column(2).to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column(3).to_pylist()]
-        bits = planes(table.column(4).to_pylist())
+        ids, side, core = table.column(1).to_pylist(), table.column(2).to_numpy(), table.column(3).to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column(4).to_pylist()]
+        bits = planes(table.column(5).to_pylist())
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            side = blocks[lo:hi] if (blocks[lo:hi] != blocks[lo]).any() else None
-            rows += [(ids[lo + i], ids[lo + j]) for i, j in _exact_links(sets[lo:hi], bits[lo:hi], side)]
+            rows += [(ids[lo + i], ids[lo + j]) for i, j in _exact_links(sets[lo:hi], bits[lo:hi], side[lo:hi], core[lo:hi])]
         yield _columns(rows, [pa.int64(), pa.int64()], ["a", "b"])
 
 
+def _compared(grouped: DataFrame, partitions: int) -> DataFrame:
+    """The exact links within each group of rows (group, id, side, core, set, bits)."""
+    grouped = grouped.select("group", "id", "side", "core", "set", "bits")
+    return grouped.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_family_links, "a long, b long")
+
+
+def _likely_links(reps: DataFrame, partitions: int) -> DataFrame:
+    """Links that connect what shares a bucket and is alike by estimate."""
+    keyed = reps.select(F.explode("bands").alias("key"), "doc_id", "bits")
+    top = keyed.agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {TRACKED_KEYS})").alias("top")).first()["top"] or []
+    hot = [r["item"] for r in top if r["count"] > LARGEST_BUCKET]
+    if not hot:
+        return keyed.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long").distinct()
+    # HOT_KEYS rows at most
+    keys = F.broadcast(reps.sparkSession.createDataFrame([(k,) for k in hot], "key long"))
+    rows = keyed.select("key", "doc_id").join(keys, "key", "left_semi")
+    least = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
+    stars = rows.join(F.broadcast(least), "key").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    rest = keyed.join(keys, "key", "left_anti").repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long")
+    return rest.unionByName(stars).distinct()
+
+
+def _large_family_links(sets: DataFrame, likely: DataFrame, partitions: int) -> DataFrame:
+    """Exact links of families of several blocks; ``sets`` has (id, set, component, _blocks, _block, bits)."""
+    ends = likely.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    light = sets.select("id", "component")
+    hubs = materialize(light.join(ends, "id").groupBy("component").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("hub")).select(F.bitwise_not("component").alias("k"), "hub"), "near")
+    found = sets.withColumn("k", F.bitwise_not("component")).join(hubs, "k")
+    hub_rows = found.where("id = hub").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("side", F.lit(1))
+    star = found.where("id <> hub").withColumn("side", F.lit(0)).unionByName(hub_rows)
+    star = star.withColumns({"group": F.xxhash64("component", F.lit("hub"), "_block"), "core": F.lit(False)})
+    first = materialize(_compared(star, partitions), "near")
+
+    # the linked are the core; each of the rest is compared with the core and the rest, a pair of blocks at a time
+    linked = first.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.col("id").alias("_linked"))
+    kinds = light.join(linked, F.col("id") == F.col("_linked"), "left").select("id", "component", F.col("_linked").isNotNull().alias("core"))
+    counts = kinds.groupBy("component").agg(F.sum(F.col("core").cast("int")).alias("n_core"), F.sum((~F.col("core")).cast("int")).alias("n_rest")).where("n_rest > 0")
+    counts = counts.select(F.bitwise_not("component").alias("k"), F.ceil(F.col("n_core") / BLOCK).cast("int").alias("cores"), F.ceil(F.col("n_rest") / BLOCK).cast("int").alias("rests"))
+    kinds = materialize(kinds.withColumn("k", F.bitwise_not("component")).join(counts, "k").drop("k", "component"), "near")
+    rows = sets.drop("_blocks", "_block").join(kinds, "id")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("core"), F.greatest("cores", F.lit(1))).otherwise(F.col("rests"))).cast("int")
+    rows = rows.withColumn("own", own)
+    # a block of the core meets each block of the rest; a block of the rest meets all blocks of both
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: F.struct(F.when(F.col("core"), i).otherwise(F.least("own", i)).alias("i"), F.when(F.col("core"), F.col("own")).otherwise(F.greatest("own", i)).alias("j"), F.col("core").alias("mixed")))
+    with_core = F.when(~F.col("core") & (F.col("cores") > 0), F.transform(F.sequence(F.lit(0), F.greatest(F.col("cores"), F.lit(1)) - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("mixed")))).otherwise(F.expr("cast(array() as array<struct<i:int,j:int,mixed:boolean>>)"))
+    rows = rows.withColumn("g", F.explode(F.concat(with_rest, with_core)))
+    side = F.when(F.col("g.mixed"), F.col("core").cast("int")).otherwise(F.col("own"))
+    rows = rows.withColumns({"group": F.xxhash64("component", "g"), "side": side})
+    return first.unionByName(_compared(rows, partitions))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -261,10 +353,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "near")
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "class"), ["doc_id", "class"], "left_semi").dropDuplicates(["doc_id", "class"])
     reps = materialize(reps.select("doc_id", "bits", "bands"), "near")
-    keyed = reps.select(F.explode("bands").alias("key"), "doc_id", "bits")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    likely = materialize(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long").distinct(), "near")
+    likely = materialize(_likely_links(reps, n), "near")
     families = materialize(connected_components(likely), "near")
     small_batches(spark)
 
@@ -276,14 +367,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = reps.select(F.col("doc_id").alias("_id"), "bits")
     work = texts.join(members.join(bits, "_id"), "_id").dropDuplicates(["_id"])
     work = work.select("_id", "_text", "component", "_blocks", "_block", "bits")
-    sets = work.mapInArrow(_full_sets, "id long, set binary, component long, _blocks int, _block int, bits binary")
-    # a group for each block, and for each two blocks of a family
-    other = F.explode(F.when(F.col("_blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    grouped = sets.withColumn("_other", other)
-    group = F.xxhash64("component", F.least("_block", "_other"), F.greatest("_block", "_other"))
-    grouped = grouped.select(group.alias("group"), "id", "_block", "set", "bits")
-    links = materialize(grouped.repartition(n, "group").sortWithinPartitions("group").mapInArrow(_family_links, "a long, b long").distinct(), "near")
-    parts = connected_components(links)
+    sets = materialize(work.mapInArrow(_full_sets, "id long, set binary, component long, _blocks int, _block int, bits binary"), "near")
+    small = sets.where("_blocks = 1").withColumns({"group": F.col("component"), "side": F.lit(0), "core": F.lit(False)})
+    links = _compared(small, n)
+    large = sets.where("_blocks > 1")
+    if not large.isEmpty():
+        links = links.unionByName(_large_family_links(large, likely, n))
+    parts = connected_components(materialize(links.distinct(), "near"))
 
     named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     # an exchange of its own on either side lets adaptive execution split a class of very many copies

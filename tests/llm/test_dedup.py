@@ -176,3 +176,38 @@ def test_digest_column(spark, tiny):
     rows = registry.queries()["op4_exact_dedup"](spark, tiny).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     assert all(r.text_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+
+
+@pytest.mark.parametrize("block, largest", [(8, 20_000), (40, 30), (256, 10)])
+def test_near_duplicates_with_large_families_and_hot_buckets(spark, monkeypatch, block, largest):
+    """Families over many blocks, and band keys that count as hot: no link is lost."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "LARGEST_BUCKET", largest)
+    rng = random.Random(8)
+    rows = variants(4, 100)
+    base = [f"b{i}" for i in range(60)]
+    for i in range(220):
+        words = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(words), "en", "s"))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(odd.documents(spark, rows)).collect())
+    assert got == brute_force(rows)
+
+
+def test_long_runs_come_in_linked_parts(monkeypatch):
+    import pyarrow as pa
+
+    keys = [1, 2, 2] + [3] * 57 + [4, 5, 5, 5]
+    rng = random.Random(1)
+    bits = [rng.randbytes(2 * near_dup.MINIMA // 8) for _ in keys]
+    bits[1] = bits[2]
+    table = pa.table({"key": pa.array(keys, pa.int64()), "id": pa.array(range(len(keys)), pa.int64()), "bits": pa.array(bits, pa.binary())})
+    monkeypatch.setattr(near_dup, "LARGEST_BUCKET", 10)
+    for size in (1, 4, 7, 64):
+        links = [(a, b) for x in near_dup._bucket_links(iter(table.to_batches(max_chunksize=size))) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+        assert (1, 2) in links and not any(a > 59 or b > 59 for a, b in links)
+        reach = {3}
+        for _ in range(60):
+            reach |= {x for link in links if set(link) & reach for x in link}
+        assert reach == set(range(3, 60))
