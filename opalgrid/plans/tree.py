@@ -132,6 +132,15 @@ def scan(table: str) -> Scan:
     return Scan(table)
 
 
+def tables_of(plan: Plan) -> list[str]:
+    """The tables that a tree scans, each once."""
+    if isinstance(plan, Scan):
+        return [plan.table]
+    if isinstance(plan, Cross):
+        return list(dict.fromkeys(tables_of(plan.left) + tables_of(plan.right)))
+    return tables_of(plan.child)
+
+
 def to_dict(plan: Plan) -> dict:
     """The tagged form of one node and all below it."""
     if isinstance(plan, Scan):

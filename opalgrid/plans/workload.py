@@ -16,7 +16,7 @@ from ..operators import profile
 from ..sources.catalog import PARTSUPP_SQL, Catalog
 from .compiler import compile_plan
 from .sqltext import to_sql
-from .tree import Col, Plan, Predicate, f32, f64, from_json, i32, i64, scan, text, to_json
+from .tree import Col, Plan, Predicate, f32, f64, from_json, i32, i64, scan, tables_of, text, to_json
 
 #: The columns of the test tables, in order.
 COLUMNS = {
@@ -176,7 +176,7 @@ def _features() -> list[Query]:
     operands = {
         "i32": ("part", "p_size", i32(25), "p_partkey p_size"),
         "i64": ("orders", "o_custkey", i64(700), "o_orderkey o_custkey"),
-        "f32": ("supplier", "s_acctbal", f32(2500.5), "s_suppkey s_acctbal"),
+        "f32": ("lineitem", "l_quantity", f32(25.0), "l_orderkey l_quantity"),
         "f64": ("lineitem", "l_discount", f64(0.05), "l_orderkey l_discount"),
         "string": ("customer", "c_mktsegment", text("FURNITURE"), "c_custkey c_mktsegment"),
         "column": ("lineitem", "l_discount", Col("l_tax"), "l_orderkey l_discount l_tax"),
@@ -256,7 +256,8 @@ STRING_HISTOGRAM_SQL = (
 
 
 def run_query(query: Query) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: compile_plan(query.plan, Catalog.from_dir(spark, folder, [t for t in TABLE_COLUMNS if t != "partsupp"]))
+    # only the tables that the tree scans are opened
+    return lambda spark, folder: compile_plan(query.plan, Catalog.from_dir(spark, folder, tables_of(query.plan)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

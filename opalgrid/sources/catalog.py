@@ -110,9 +110,12 @@ class Catalog:
 
     @classmethod
     def from_dir(cls, spark: SparkSession, folder: str, names: Iterable[str] = STANDARD_TABLES) -> Catalog:
-        """Parquet tables of a folder, and ``partsupp``, derived from ``lineitem``."""
-        tables = [of_frame(n, spark.read.parquet(f"{folder}/{n}.parquet"), f"{n}.parquet") for n in names]
-        if "lineitem" in names:
+        """Parquet tables of a folder; ``partsupp`` is derived from ``lineitem``, and comes with it unless names are given."""
+        names = list(names)
+        if names == list(STANDARD_TABLES):
+            names.append("partsupp")
+        tables = [of_frame(n, spark.read.parquet(f"{folder}/{n}.parquet"), f"{n}.parquet") for n in names if n != "partsupp"]
+        if "partsupp" in names:
             tables.append(of_frame("partsupp", partsupp(spark.read.parquet(f"{folder}/lineitem.parquet"))))
         return cls(tables)
 
