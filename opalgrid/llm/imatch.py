@@ -81,10 +81,9 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> np.ndarray:
     """One bit per slot: whether it is in the band. What the driver gets is ``SLOTS`` slots at most."""
     counted = materialize(document_frequencies(docs, text_col), "imatch")  # used twice
-    total = F.max(F.when(F.col("slot") == -1, F.col("n")))
-    found = counted.crossJoin(F.broadcast(counted.agg(total.alias("total"))))  # one row
-    share = F.log(F.col("total") / F.col("n")) / F.log(F.greatest(F.col("total"), F.lit(2)).cast("double"))
-    kept = found.where((F.col("slot") >= 0) & (F.col("n") > 1) & share.between(*band)).select("slot").toArrow()
+    total = counted.where("slot = -1").agg(F.sum("n")).first()[0] or 0
+    share = F.log(total / F.col("n")) / float(np.log(max(total, 2)))
+    kept = counted.where((F.col("slot") >= 0) & (F.col("n") > 1) & share.between(*band)).select("slot").toArrow()
     bits = np.zeros(SLOTS, np.uint8)
     bits[kept.column(0).to_numpy()] = 1
     return np.packbits(bits)

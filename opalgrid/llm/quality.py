@@ -160,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     small_batches(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), "quality").where("_id is not null and quality is not null")
     known = known.where(~held_out("_id")).groupBy("_id").agg(F.max("quality").alias("_label"))
-    chosen = known.join(docs.select(F.col(id_col).cast("long").alias("_id")).distinct(), "_id", "left_semi")
-    chosen = chosen.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(sample)
+    present = docs.select(F.col(id_col).cast("long").alias("_id")).join(known, "_id").groupBy("_id").agg(F.first("_label").alias("_label"))
+    chosen = present.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
