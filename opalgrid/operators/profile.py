@@ -7,8 +7,11 @@ whose relative error is that of 4096 registers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,17 +105,38 @@ def string_histogram(frame: DataFrame, column: str, buckets: int = BUCKETS) -> D
 def physically_ordered(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: column_name, ordered; true where no value is below the one before it in file order.
 
-    Ids that grow with partition and row give the order of the scan, by files and offsets. Each partition is summed up as
-    its first and last value and whether it is in order; only these are compared across partitions.
+    Rows stay where the scan puts them, in the order of files and offsets: each partition is summed up as its first and last values and
+    whether it is in order, and only these are compared across partitions. A null or NaN is below nothing, and nothing is below it.
     """
     names = columns or frame.columns
-    kept = frame.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
-    # neighbours are sought within a partition, whose order the id has
-    w = Window.partitionBy("p").orderBy("at")
-    prev = kept.select("p", "at", *[f"c{i}" for i in range(len(names))], *[F.lag(f"c{i}").over(w).alias(f"b{i}") for i in range(len(names))])
-    parts = prev.groupBy("p").agg(*[x for i in range(len(names)) for x in (F.bool_or(F.col(f"b{i}") > F.col(f"c{i}")).alias(f"bad{i}"), F.min_by(f"c{i}", "at").alias(f"first{i}"), F.max_by(f"c{i}", "at").alias(f"last{i}"))])
+    kept = frame.select(F.spark_partition_id().alias("p"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    out = T.StructType([T.StructField("p", T.IntegerType())])
+    for f in kept.schema.fields[1:]:
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            raise TypeError(f"{f.dataType.simpleString()} has no order here")
+        i = f.name[1:]
+        out = out.add(f"bad{i}", "boolean").add(f"first{i}", f.dataType).add(f"last{i}", f.dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, last, bad = None, [], [], [False] * len(names)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.columns[1:]
+            if part is None:
+                part, first = batch.column(0).slice(0, 1), [v.slice(0, 1) for v in values]
+            for i, v in enumerate(values):
+                if not bad[i]:
+                    v = pa.concat_arrays([last[i], v]) if last else v
+                    bad[i] = bool(pc.any(pc.less(v.slice(1), v.slice(0, len(v) - 1))).as_py())
+            last = [v.slice(len(v) - 1) for v in values]
+        if part is not None:
+            columns_ = [part, *[x for i in range(len(names)) for x in (pa.array([bad[i]]), first[i], last[i])]]
+            yield pa.RecordBatch.from_arrays(columns_, names=[f.name for f in out.fields])
+
+    parts = kept.mapInArrow(run, out)
     across = Window.orderBy("p")
-    found = parts.select(*[(F.coalesce(F.col(f"bad{i}"), F.lit(False)) | F.coalesce(F.lag(f"last{i}").over(across) > F.col(f"first{i}"), F.lit(False))).alias(f"bad{i}") for i in range(len(names))])
+    found = parts.select(*[(F.col(f"bad{i}") | F.coalesce(F.lag(f"last{i}").over(across) > F.col(f"first{i}"), F.lit(False))).alias(f"bad{i}") for i in range(len(names))])
     one = found.agg(*[F.coalesce(~F.bool_or(f"bad{i}"), F.lit(True)).alias(f"ok{i}") for i in range(len(names))])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"ok{i}").alias("ordered")) for i, c in enumerate(names)])).alias("e")).select("e.*")
 
