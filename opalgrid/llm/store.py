@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -37,8 +39,26 @@ def files_of(spark: SparkSession, folder: str, suffix: str = ".parquet") -> list
     return sorted(s.getPath().toString() for s in found if s.getLen() and s.getPath().getName().endswith(suffix))
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; it is removed when the driver's Python ends with its session still running."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def clean() -> None:
+    """Remove all places that were given out, results that still read them included."""
+    while _made:
+        spark, place = _made.pop()
+        with contextlib.suppress(Exception):
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(clean)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
