@@ -48,13 +48,43 @@ class Terms(dict):
         return found
 
 
-def term_hashes(text: str, terms: Terms) -> np.ndarray:
-    """The sorted distinct hashes of a text's terms."""
+def word_hashes(text: str, terms: Terms) -> np.ndarray:
+    """A hash for each word of a text, in order."""
     words = text.split()
-    found = np.unique(np.fromiter(map(terms.__getitem__, words), np.uint64, len(words)))
+    return np.fromiter(map(terms.__getitem__, words), np.uint64, len(words))
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes, without the 0 of words that are no terms."""
+    found = np.unique(hashes)
     return found[1:] if len(found) and found[0] == 0 else found
 
 
+def term_hashes(text: str, terms: Terms) -> np.ndarray:
+    """The sorted distinct hashes of a text's terms."""
+    return distinct(word_hashes(text, terms))
+
+
+def edited_hashes(head: str, own: np.ndarray, tail: str, other: np.ndarray, terms: Terms) -> np.ndarray:
+    """Word hashes of ``head + tail``, beginnings of two texts whose word hashes are known.
+
+    Only the last words of either, and the word across the seam, are looked up.
+    """
+    a, b = head.split(), tail.split()
+    if not a or not b:
+        return word_hashes(head + tail, terms)
+    seam, skip = [a[-1]], 0
+    if not head[-1].isspace() and not tail[0].isspace():
+        seam, skip = [a[-1] + b[0]], 1
+    if len(b) > skip:
+        seam_end = [b[-1]]
+        middle = other[skip : len(b) - 1]
+    else:
+        seam_end, middle = [], other[:0]
+    look = lambda words: np.fromiter(map(terms.__getitem__, words), np.uint64, len(words))
+    return np.concatenate([own[: len(a) - 1], look(seam), middle, look(seam_end)])
+
+
 def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(42)).astype(np.int64)  # 22 leading bits
 
@@ -167,12 +197,13 @@ def fingerprint_neighbours(docs: DataFrame, lexicon_bits: np.ndarray, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, bits = Terms(), shared.value
-        held: tuple | None = None  # the range, id, text and fingerprint of a document that waits for its next
+        held: tuple | None = None  # the range, id, text, words and fingerprint of a document that waits for its next
 
-        def pair(one: tuple, text: str, mark: str) -> tuple:
-            _, doc, own, fp = one
+        def pair(one: tuple, text: str, words: np.ndarray, mark: str) -> tuple:
+            _, doc, own, own_words, fp = one
+            half = len(own) // 2
             changed = edited(own, text)
-            other = fingerprint(term_hashes(changed, terms), bits)
+            other = fingerprint(distinct(edited_hashes(own[: len(own) - half], own_words, text[:half], words, terms)), bits)
             return doc, len(own), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), fp, other, likeness(fp, other), likeness(fp, mark)
 
         for batch in batches:
@@ -180,10 +211,11 @@ def fingerprint_neighbours(docs: DataFrame, lexicon_bits: np.ndarray, id_col: st
             for doc, text, part, copy in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if copy and (held is None or held[0] != part):
                     continue
-                mark = fingerprint(term_hashes(text, terms), bits)
+                words = word_hashes(text, terms)
+                mark = fingerprint(distinct(words), bits)
                 if held is not None and held[0] == part:
-                    out.append(pair(held, text, mark))
-                held = None if copy else (part, doc, text, mark)
+                    out.append(pair(held, text, words, mark))
+                held = None if copy else (part, doc, text, words, mark)
             columns = list(zip(*out, strict=True)) or [()] * 7
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])

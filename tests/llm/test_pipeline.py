@@ -53,7 +53,7 @@ def test_stages(spark, tiny):
 
 
 def test_run_is_registered(spark, tiny):
-    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     assert corpus_pipeline.run(spark, tiny).columns[0] == "doc_id"
 
 

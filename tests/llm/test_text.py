@@ -100,6 +100,26 @@ def test_fingerprints_of_odd_rows(spark):
     assert one[0].near_next == 1 and one[0].edited_sha256 == hashlib.sha256(b"the onthe on").hexdigest()
 
 
+@given(st.text(alphabet="ab \n\u3000\x1c.,", max_size=20), st.text(alphabet="ab \n\u3000\x1c.,", max_size=20), st.integers(0, 20), st.integers(0, 20))
+@settings(max_examples=500, deadline=None)
+def test_words_across_the_seam(one, other, i, j):
+    terms = imatch.Terms()
+    got = imatch.edited_hashes(one[:i], imatch.word_hashes(one, terms), other[:j], imatch.word_hashes(other, terms), terms)
+    assert got.tolist() == imatch.word_hashes(one[:i] + other[:j], terms).tolist()
+
+
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    bits = imatch.lexicon(docs)
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    got = {r.doc_id: r for r in imatch.fingerprint_neighbours(docs, bits).collect()}
+    terms = imatch.Terms()
+    for i, (doc, text) in enumerate(rows):
+        changed = imatch.edited(text, rows[(i + 1) % len(rows)][1])
+        assert got[doc].fingerprint == imatch.fingerprint(imatch.term_hashes(text, terms), bits)
+        assert got[doc].edited_fingerprint == imatch.fingerprint(imatch.term_hashes(changed, terms), bits)
+
+
 def test_frequencies_count_documents(spark):
     docs = odd.documents(spark, [(1, "a b a", "", ""), (2, "A, c", "", ""), (3, None, "", "")])
     got = {r.slot: r.n for r in imatch.document_frequencies(docs).collect()}
