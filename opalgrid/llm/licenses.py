@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-Blocks of lines that mention licensing are candidates. Each is compressed by zstandard alone, and with each template as
-its raw dictionary; templates are ranked by how much smaller that makes the block. The best ranked are aligned with
-the block word by word, and a license is reported where the differences in wording are few and none
-is in a name or a version.
+Blocks of lines that mention licensing are candidates. Each is cut into overlapping windows, of which one holds any place
+that a template can take. A window is compressed by zstandard alone, and with each template as its raw dictionary;
+templates are ranked by the bytes that this saves, as a share of what the template itself takes, so that text around a
+notice does not count. Those that save enough are aligned with the window word by word, and a license is
+reported where the differences in wording are few and none is in a name or a version.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -92,7 +94,6 @@ _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 #: Words that tell licenses apart: any difference in them rules a template out.
 _TELLING = re.compile(r"[0-9]|^(?:apache|mit|isc|bsd|gnu|gpl|lgpl|agpl|mpl|epl|mozilla|eclipse|affero|lesser|cc0?|by|by-.*|clause|zero|noncommercial|attribution.*|noderivatives|sharealike)", re.IGNORECASE)
 
-RANKED = 5
 LEAST_REDUCTION = 0.15
 MOST_DIFFERENCES = 0.1
 GAP_LINES = 8
@@ -112,6 +113,14 @@ class Template:
     def words(self) -> list[str]:
         return words(self.text)
 
+    @cached_property
+    def counts(self) -> Counter:
+        return Counter(self.words)
+
+    @cached_property
+    def telling(self) -> frozenset[str]:
+        return frozenset(w for w in self.words if _TELLING.search(w))
+
     @cached_property
     def compressor(self) -> zstandard.ZstdCompressor:
         raw = zstandard.ZstdCompressionDict(self.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -163,21 +172,31 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def windows(n: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of ``n`` words that overlap by half: any run of up to ``2 * most`` words lies within one."""
+    step = 2 * most
+    return [(at, min(n, at + 2 * step)) for at in range(0, max(1, n - step), step)]
+
+
 def differences(template: list[str], block: list[str]) -> list[str] | None:
     """Words missing from (-) and added to (+) the template's wording in the block; None where a telling word differs or too many do.
 
-    What stands before and after the aligned part of the block is not part of the wording, unless a telling word follows at once.
+    What stands before and after the aligned part of the block is not part of the wording.
     """
-    matcher = SequenceMatcher(None, template, block, autojunk=False)
-    matched = [m for m in matcher.get_matching_blocks() if m.size]
+    matched = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+    # words far off at either end that are also the template's: to leave them out costs less than what stands between
+    while len(matched) > 1 and matched[1].b - matched[0].b - matched[0].size > matched[0].size:
+        del matched[0]
+    while len(matched) > 1 and matched[-1].b - matched[-2].b - matched[-2].size > matched[-1].size:
+        del matched[-1]
     if not matched:
         return None
-    lo, hi = matched[0].b, matched[-1].b + matched[-1].size
-    out = []
-    for op, a1, a2, b1, b2 in matcher.get_opcodes():
-        if op != "equal":
-            out += [f"-{w}" for w in template[a1:a2]]
-            out += [f"+{w}" for w in block[max(b1, lo) : min(b2, hi)]]
+    out, a, b = [], 0, matched[0].b
+    for m in matched:
+        out += [f"-{w}" for w in template[a : m.a]]
+        out += [f"+{w}" for w in block[b : m.b]]
+        a, b = m.a + m.size, m.b + m.size
+    out += [f"-{w}" for w in template[a:]]
     if any(_TELLING.search(d[1:]) for d in out) or len(out) > MOST_DIFFERENCES * len(template):
         return None
     return out
@@ -189,28 +208,52 @@ class Scanner:
     def __init__(self) -> None:
         self.templates = templates()
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
-
-    def rank(self, block: bytes) -> list[tuple[float, Template]]:
-        """Templates by the share of the compressed size that each saves."""
-        alone = len(self.plain.compress(block))
-        saved = [(1 - len(t.compressor.compress(block)) / alone, i) for i, t in enumerate(self.templates)]
-        return [(s, self.templates[i]) for s, i in sorted(saved, key=lambda x: (-x[0], x[1]))]
+        self.sizes = {t: len(self.plain.compress(t.text.encode())) for t in self.templates}
+        # windows for long templates would hold much that is not of a short one
+        notices = [t for t in self.templates if len(t.words) <= 20]
+        texts = [t for t in self.templates if len(t.words) > 20]
+        self.scales = [(max(len(t.words) for t in ts), ts) for ts in (texts, notices)]
+
+    def rank(self, block: bytes, among: list[Template] | None = None) -> list[tuple[float, Template]]:
+        """Templates by the bytes that each saves, as a share of the template's own compressed size."""
+        among = self.templates if among is None else among
+        alone = len(self.plain.compress(block)) if among else 0
+        saved = [((alone - len(t.compressor.compress(block))) / self.sizes[t], i) for i, t in enumerate(among)]
+        return [(s, among[i]) for s, i in sorted(saved, key=lambda x: (-x[0], x[1]))]
+
+    @staticmethod
+    def possible(among: list[Template], own: list[str]) -> list[Template]:
+        """Without the templates that cannot be confirmed in these words, as too many of theirs or a telling one are not there."""
+        known = set(own)
+        near = [t for t in among if t.telling <= known]
+        if not near:
+            return []
+        counts = Counter(own)
+        return [t for t in near if sum(max(0, n - counts[w]) for w, n in t.counts.items()) <= MOST_DIFFERENCES * len(t.words)]
+
+    def confirmed(self, block: str) -> list[tuple[int, int, float, str, str]]:
+        """(differing words, minus the template's words, minus saving, license, differences) of all that are confirmed in a window."""
+        found = list(_WORD.finditer(block))
+        own = [m[0].lower() for m in found]
+        out = []
+        for most, among in self.scales:
+            for lo, hi in windows(len(own), most):
+                near = self.possible(among, own[lo:hi])
+                if not near:
+                    continue
+                piece = block[found[lo].start() if lo else 0 : found[hi - 1].end() if hi < len(own) else len(block)]
+                for saved, t in self.rank(piece.encode("utf-8", "surrogatepass"), near):
+                    diff = differences(t.words, own[lo:hi]) if saved >= LEAST_REDUCTION else None
+                    if diff is not None:
+                        out.append((len(diff), -len(t.words), -saved, t.license, " ".join(diff)))
+        return out
 
     def scan(self, text: str) -> tuple[int, list[Found]]:
         """The number of candidates, and the licenses found, none within another."""
         found: list[Found] = []
         spans = blocks(text)
         for start, end in spans:
-            block = text[start:end]
-            own = words(block)
-            tried, n = [], 0
-            for saved, t in self.rank(block.encode("utf-8", "surrogatepass")):
-                if saved < LEAST_REDUCTION or n >= RANKED:
-                    break
-                n += 1
-                diff = differences(t.words, own)
-                if diff is not None:
-                    tried.append((len(diff), -len(t.words), -saved, t.license, " ".join(diff)))
+            tried = self.confirmed(text[start:end])
             if tried:
                 best = min(tried)
                 found.append(Found(best[3], start, end, -best[2], best[4]))

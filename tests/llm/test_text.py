@@ -282,3 +282,25 @@ def test_license_operator(spark, tiny):
     for r in spark.read.parquet(f"{tiny}/documents.parquet").collect():
         want = [names[n] for n in sorted((n for n in names if n in r.text), key=r.text.index)]
         assert [x.split(":")[0] for x in rows[r.doc_id].licenses.split(",") if x] == want
+
+
+def prose(n):
+    rng = random.Random(n)
+    return "".join("".join(rng.choices("aeinorstdlhu", k=rng.randint(2, 9))) + " " for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [0, 10, 50, 200, 2000, 30_000])
+def test_notices_in_long_lines(n):
+    scanner = licenses.Scanner()
+    for notice in ("Licensed under the Apache License, Version 2.0.", "Released under GPLv2.", "SPDX-License-Identifier: MIT", licenses.TEXTS["ISC"]):
+        for k in {0, n // 2, n}:
+            (want,) = scanner.scan(notice)[1]
+            found = scanner.scan(prose(k) + notice + " " + prose(n - k))[1]
+            assert [f.license for f in found] == [want.license] and found[0].n_differences == 0
+
+
+def test_every_template_saves_enough_anywhere():
+    scanner = licenses.Scanner()
+    for t in scanner.templates:
+        for text in (t.text, prose(90) + t.text + " " + prose(90)):
+            assert t.license in {c[3] for c in scanner.confirmed(text)}, t.text
