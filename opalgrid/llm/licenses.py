@@ -4,7 +4,8 @@ Blocks of lines that mention licensing are candidates. Each is cut into overlapp
 that a template can take. A window is compressed by zstandard alone, and with each template as its raw dictionary;
 templates are ranked by the bytes that this saves, as a share of what the template itself takes, so that text around a
 notice does not count. Those that save enough are aligned with the window word by word, and a license is
-reported where the differences in wording are few and none is in a name or a version.
+reported where the differences in wording are few and none is in a name or a version. The longest wording that is
+confirmed is taken out, and the rest ranked again until nothing is confirmed.
 """
 
 from __future__ import annotations
@@ -98,6 +99,8 @@ LEAST_REDUCTION = 0.15
 MOST_DIFFERENCES = 0.1
 GAP_LINES = 8
 LEVEL = 3
+#: What may stand between the names of licenses that a notice gives together.
+_JOINING = frozenset(("or", "and", "either"))
 
 
 def words(text: str) -> list[str]:
@@ -108,6 +111,13 @@ def words(text: str) -> list[str]:
 class Template:
     license: str
     text: str
+    #: The name in the text, which other names may follow ("the MIT License or Apache 2.0").
+    name: str = ""
+
+    @cached_property
+    def lead(self) -> int:
+        """The number of words before the name."""
+        return len(self.words) - len(words(self.name)) if self.name else 0
 
     @cached_property
     def words(self) -> list[str]:
@@ -128,18 +138,22 @@ class Template:
 
 
 def templates() -> list[Template]:
-    out = [Template(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES]
-    out += [Template(k, f"SPDX-License-Identifier: {k}") for k in NAMES]
+    out = [Template(k, n.format(name), name) for k, names in NAMES.items() for name in names for n in NOTICES]
+    out += [Template(k, f"SPDX-License-Identifier: {k}", k) for k in NAMES]
     return out + [Template(k, t) for k, t in TEXTS.items()]
 
 
 @dataclass(frozen=True)
 class Found:
+    """A license: the lines that its wording touches, and the wording itself."""
+
     license: str
     start: int
     end: int
     reduction: float
     differences: str
+    first: int
+    last: int
 
     @property
     def n_differences(self) -> int:
@@ -178,28 +192,30 @@ def windows(n: int, most: int) -> list[tuple[int, int]]:
     return [(at, min(n, at + 2 * step)) for at in range(0, max(1, n - step), step)]
 
 
-def differences(template: list[str], block: list[str]) -> list[str] | None:
-    """Words missing from (-) and added to (+) the template's wording in the block; None where a telling word differs or too many do.
+def aligned(template: list[str], block: list[str]) -> tuple[list[str], int, int] | None:
+    """Words missing from (-) and added to (+) the template's wording in the block, and where that begins and ends; None where a
+    telling word differs or too many do.
 
-    What stands before and after the aligned part of the block is not part of the wording.
+    What stands before and after the aligned part of the block is not part of the wording, nor are empty words, which were taken out.
     """
+    between = lambda m, n: sum(map(bool, block[m.b + m.size : n.b]))
     matched = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
     # words far off at either end that are also the template's: to leave them out costs less than what stands between
-    while len(matched) > 1 and matched[1].b - matched[0].b - matched[0].size > matched[0].size:
+    while len(matched) > 1 and between(*matched[:2]) > matched[0].size:
         del matched[0]
-    while len(matched) > 1 and matched[-1].b - matched[-2].b - matched[-2].size > matched[-1].size:
+    while len(matched) > 1 and between(*matched[-2:]) > matched[-1].size:
         del matched[-1]
     if not matched:
         return None
     out, a, b = [], 0, matched[0].b
     for m in matched:
         out += [f"-{w}" for w in template[a : m.a]]
-        out += [f"+{w}" for w in block[b : m.b]]
+        out += [f"+{w}" for w in block[b : m.b] if w]
         a, b = m.a + m.size, m.b + m.size
     out += [f"-{w}" for w in template[a:]]
     if any(_TELLING.search(d[1:]) for d in out) or len(out) > MOST_DIFFERENCES * len(template):
         return None
-    return out
+    return out, matched[0].b, b
 
 
 class Scanner:
@@ -231,44 +247,86 @@ class Scanner:
         counts = Counter(own)
         return [t for t in near if sum(max(0, n - counts[w]) for w, n in t.counts.items()) <= MOST_DIFFERENCES * len(t.words)]
 
-    def confirmed(self, block: str) -> list[tuple[int, int, float, str, str]]:
-        """(differing words, minus the template's words, minus saving, license, differences) of all that are confirmed in a window."""
+    def best(self, among: list[Template], block: str, found: list[re.Match], own: list[str], lo: int, hi: int, before: int) -> tuple | None:
+        """Of the templates confirmed in words ``lo`` to ``hi``, and that begin before ``before``, the one with the longest wording."""
+        near = self.possible(among, own[lo:hi])
+        if not near:
+            return None
+        # the text without what was taken out
+        pieces, at = [], lo
+        while at < hi:
+            if own[at]:
+                end = at
+                while end < hi and own[end]:
+                    end += 1
+                pieces.append(block[found[at].start() : found[end].start() if end < hi else found[end - 1].end()])
+                at = end
+            at += 1
+        tried = []
+        for saved, t in self.rank(" ".join(pieces).encode("utf-8", "surrogatepass"), near):
+            got = aligned(t.words, own[lo:hi]) if saved >= LEAST_REDUCTION else None
+            if got and lo + got[1] < before:
+                diff, i, j = got
+                tried.append((len(diff) - len(t.words), len(diff), -saved, t.license, lo + i, lo + j, diff, t))
+        return min(tried, key=lambda x: x[:4]) if tried else None
+
+    def another(self, t: Template, block: str, found: list[re.Match], own: list[str], j: int) -> int | None:
+        """Where the next name begins if one follows at ``j``, joined to the last by a comma, a stroke or a conjunction."""
+        k = j
+        while k < len(own) and own[k] in _JOINING:
+            k += 1
+        if k == len(own) or (k == j and not re.fullmatch(r"[\s,/&|+]*[,/&|+][\s,/&|+]*", block[found[j - 1].end() : found[k].start()])):
+            return None
+        names = (words(o.name) for o in self.templates if o.name and o.words[: o.lead] == t.words[: t.lead])
+        return k if any(own[k : k + len(n)] == n for n in names) else None
+
+    def confirmed(self, block: str) -> list[tuple[str, int, int, float, str]]:
+        """(license, start, end, saving, differences) of all wordings in a block; what is confirmed is taken out and the rest tried again."""
         found = list(_WORD.finditer(block))
         own = [m[0].lower() for m in found]
-        out = []
-        for most, among in self.scales:
-            for lo, hi in windows(len(own), most):
-                near = self.possible(among, own[lo:hi])
-                if not near:
-                    continue
-                piece = block[found[lo].start() if lo else 0 : found[hi - 1].end() if hi < len(own) else len(block)]
-                for saved, t in self.rank(piece.encode("utf-8", "surrogatepass"), near):
-                    diff = differences(t.words, own[lo:hi]) if saved >= LEAST_REDUCTION else None
-                    if diff is not None:
-                        out.append((len(diff), -len(t.words), -saved, t.license, " ".join(diff)))
+        out, n = [], -1
+        while n < len(out):
+            n = len(out)
+            for most, among in self.scales:
+                for lo, hi in windows(len(own), most):
+                    # what begins later is whole in the next window
+                    before = hi if hi == len(own) else lo + 2 * most
+                    while got := self.best(among, block, found, own, lo, hi, before):
+                        _, _, less, license, i, j, diff, t = got
+                        out.append((license, found[i].start(), found[j - 1].end(), -less, " ".join(diff)))
+                        name = self.another(t, block, found, own, j) if t.name and j < len(own) else None
+                        if name is not None:
+                            # the words before the name stay, for the next name
+                            i += t.lead
+                            j = name
+                        own[i:j] = [""] * (j - i)
         return out
 
     def scan(self, text: str) -> tuple[int, list[Found]]:
-        """The number of candidates, and the licenses found, none within another."""
-        found: list[Found] = []
+        """The number of candidates, and all licenses found in them, each wording once."""
+        found: dict[tuple[str, int, int], Found] = {}
         spans = blocks(text)
-        for start, end in spans:
-            tried = self.confirmed(text[start:end])
-            if tried:
-                best = min(tried)
-                found.append(Found(best[3], start, end, -best[2], best[4]))
-        wide = [f for f in found if not any(g is not f and g.start <= f.start and f.end <= g.end and (g.end - g.start > f.end - f.start) and g.license == f.license for g in found)]
-        return len(spans), sorted(wide, key=lambda f: (f.start, f.end, f.license))
+        taken: list[tuple[int, int]] = []
+        for start, end in sorted(spans, key=lambda s: (s[0] - s[1], s)):
+            # a line within a block that was scanned has nothing more
+            if any(a <= start and end <= b for a, b in taken):
+                continue
+            taken.append((start, end))
+            for license, i, j, saved, diff in self.confirmed(text[start:end]):
+                first, last = start + i, start + j
+                line = text.rfind("\n", start, first) + 1 or start, text.find("\n", last, end)
+                found[license, first, last] = Found(license, line[0], line[1] if line[1] >= 0 else end, saved, diff, first, last)
+        return len(spans), sorted(found.values(), key=lambda f: (f.start, f.end, f.first, f.last, f.license))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_candidates, found) for each row; ``found`` is an array of (license, start, end, reduction, differences).
+    """(doc_id, n_candidates, found) for each row; ``found`` is an array of (license, start, end, reduction, differences, first, last).
 
-    Places are code points of the block. Null and empty texts have no candidates; repeated rows are scanned one by one; extra
+    Places are code points: of the lines, and ``first`` and ``last`` of the wording itself. Null and empty texts have no candidates; repeated rows are scanned one by one; extra
     columns are ignored. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reduction", pa.float64()), ("differences", pa.string())]))
+    kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reduction", pa.float64()), ("differences", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
@@ -277,15 +335,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for text in batch.column(1).to_pylist():
                 n, found = scanner.scan(text or "")
                 counts.append(n)
-                rows.append([{"license": f.license, "start": f.start, "end": f.end, "reduction": f.reduction, "differences": f.differences} for f in found])
+                rows.append([{"license": f.license, "start": f.start, "end": f.end, "reduction": f.reduction, "differences": f.differences, "first": f.first, "last": f.last} for f in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(rows, kind)], names=["doc_id", "n_candidates", "found"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_candidates long, found array<struct<license:string,start:long,end:long,reduction:double,differences:string>>")
+    return texts.mapInArrow(run, "doc_id long, n_candidates long, found array<struct<license:string,start:long,end:long,reduction:double,differences:string,first:long,last:long>>")
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, n_candidates, n_found, and the licenses as license:start:end:differing words, in order."""
+    """One row per document: doc_id, n_candidates, n_found, and the licenses as license:start:end:differing words, in order, with the places of the wordings."""
     out = scan(read_table(spark, sf_dir, "documents"))
-    shown = F.transform("found", lambda f: F.concat_ws(":", f["license"], f["start"].cast("string"), f["end"].cast("string"), F.when(f["differences"] == "", 0).otherwise(F.size(F.split(f["differences"], " "))).cast("string")))
+    shown = F.transform("found", lambda f: F.concat_ws(":", f["license"], f["first"].cast("string"), f["last"].cast("string"), F.when(f["differences"] == "", 0).otherwise(F.size(F.split(f["differences"], " "))).cast("string")))
     return out.select("doc_id", "n_candidates", F.size("found").cast("long").alias("n_found"), F.concat_ws(",", shown).alias("licenses"), F.array_max(F.transform("found", lambda f: f["reduction"])).alias("best_reduction"))

@@ -303,4 +303,31 @@ def test_every_template_saves_enough_anywhere():
     scanner = licenses.Scanner()
     for t in scanner.templates:
         for text in (t.text, prose(90) + t.text + " " + prose(90)):
-            assert t.license in {c[3] for c in scanner.confirmed(text)}, t.text
+            assert t.license in {c[0] for c in scanner.confirmed(text)}, t.text
+
+
+def test_licenses_that_stand_together():
+    scanner = licenses.Scanner()
+    wrap = lambda t: re.sub(r"(.{40,60}) ", r"\1\n", t)
+    both = wrap(licenses.TEXTS["MIT"]) + "\n\n" + wrap(licenses.TEXTS["Apache-2.0"])
+    got = scanner.scan(both)[1]
+    assert [f.license for f in got] == ["MIT", "Apache-2.0"] and got[0].last < both.index("Licensed") == got[1].first
+    for gap in ("\n", "\n\n", " "):
+        names = list(licenses.TEXTS) * 3
+        assert [f.license for f in scanner.scan(gap.join(licenses.TEXTS[k] for k in names))[1]] == names
+        notices = [t for t in scanner.templates if t.name]
+        text = gap.join(f"{t.text} {prose(3)}" for t in notices)
+        found = scanner.scan(text)[1]
+        assert [f.license for f in found] == [t.license for t in notices]
+        assert all(licenses.words(text[f.first : f.last]) == t.words for f, t in zip(found, notices, strict=True))
+
+
+@pytest.mark.parametrize("text, want", [
+    ("Released under the MIT License or the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+    ("Licensed under the MIT License, the GPL v2, and Apache 2.0", ["MIT", "GPL-2.0", "Apache-2.0"]),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("Released under the MIT License. Apache 2.0 is another matter.", ["MIT"]),
+    ("Released under the MIT License or sold", ["MIT"]),
+])
+def test_names_that_stand_together(text, want):
+    assert [f.license for f in licenses.Scanner().scan(text)[1]] == want
