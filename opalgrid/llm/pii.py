@@ -45,7 +45,13 @@ _LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._/-]{0,2}[0-9]{1,6}){2,6}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:00|\+ ?)?\(?[0-9]{1,4}\)?(?:[ ./-]{0,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9])"),
 }
+_DOTS = re.compile(_DOT, re.IGNORECASE)
+_OCTETS = re.compile(rf"(?=({_LOOSE['ip'].pattern}))", re.IGNORECASE)
 _DIGIT = re.compile("[0-9]")
+_GROUP = re.compile("[0-9]+")
+#: What may stand between two groups of digits, and how many digits a kind has.
+_SEPARATED = re.compile(r"\)?[ ._/-]{0,2}\(?")
+LENGTHS = {"card": (12, 19), "phone": (9, 15)}
 
 #: Rows that the trees are fitted and calibrated on, at most.
 SAMPLE_DOCS = 1500
@@ -118,17 +124,53 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=Span.order)
 
 
+def _numbers(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """Cards and phones in runs of digit groups: from each group to each later one, within the lengths of the kind."""
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    least, most = LENGTHS[kind]
+    for i, (start, _) in enumerate(groups):
+        n = 0
+        for k in range(i, len(groups)):
+            if k > i and not _SEPARATED.fullmatch(text, groups[k - 1][1], groups[k][0]):
+                break
+            n += groups[k][1] - groups[k][0]
+            if n > most:
+                break
+            if n < least:
+                continue
+            lo, hi = start, groups[k][1]
+            if kind == "phone":
+                opened = text.count("(", lo, hi) - text.count(")", lo, hi)
+                hi += opened > 0 and text[hi : hi + 1] == ")"
+                lo -= text[lo - 1 : lo] == "(" and text.count("(", lo, hi) < text.count(")", lo, hi)
+                lo -= 1 if text[lo - 1 : lo] == "+" else 2 if text[max(0, lo - 2) : lo] == "+ " else 0
+            if _LOOSE[kind].fullmatch(text, lo, hi):
+                yield lo, hi
+
+
 def candidates(text: str) -> list[Span]:
-    """All that the loose generators propose; spans overlap."""
-    out = []
+    """All that the loose generators propose; spans overlap.
+
+    Of each kind these are the longest matches, and the shorter readings of them: numbers from any group of digits to any
+    other, octets from any number, and addresses that end at any label.
+    """
+    out: dict[Span, None] = {}
     digits = _DIGIT.search(text) is not None
     for kind, pattern in _LOOSE.items():
         if kind != "email" and not digits:
             continue
         if kind == "email" and "@" not in text and "dot" not in text.lower() and "(at" not in text and "[at" not in text and "{at" not in text:
             continue
-        out += [Span(kind, m.start(), m.end()) for m in pattern.finditer(text)]
-    return out
+        for m in pattern.finditer(text):
+            out[Span(kind, m.start(), m.end())] = None
+            if kind == "email":
+                ends = [d.start() for d in _DOTS.finditer(text, m.start(), m.end())]
+                out |= {Span(kind, m.start(), e): None for e in ends if pattern.fullmatch(text, m.start(), e)}
+        if kind == "ip":
+            out |= {Span(kind, *m.span(1)): None for m in _OCTETS.finditer(text)}
+        elif kind != "email":
+            out |= {Span(kind, lo, hi): None for lo, hi in _numbers(kind, text)}
+    return list(out)
 
 
 def features(text: str, s: Span) -> list[float]:
@@ -201,6 +243,10 @@ def _decoy(kind: str, rng: random.Random) -> str:
     return rng.choice([f"{w()} at {w()}.{w().capitalize()}", f"{w()} at {w()} dot {w()}", f"{w()} at {d(2)}.{d(2)}", f"{w()} (at) {w()}. {w()}", f"{w()}@{w()} dot {w()}", f"{w()}[at]{w()}.{d(1)}"])
 
 
+def _date(rng: random.Random) -> str:
+    return f"{rng.randrange(1900, 2030)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}"
+
+
 def examples(text: str, seed: int) -> list[tuple[Span, str, int]]:
     """(span, text, label) for training: from base matches, rewritten ones and decoys in their place, and other candidates."""
     rng = random.Random(seed)
@@ -213,15 +259,22 @@ def examples(text: str, seed: int) -> list[tuple[Span, str, int]]:
             if not any(b.start < s.end and s.start < b.end for b in base if b.kind == s.kind):
                 out.append((s, text, 0))
     for s in base:
-        head, tail = text[max(0, s.start - 200) : s.start], text[s.end : s.end + 200]
         for new, label in ((_rewritten(s.kind, text[s.start : s.end], rng), 1), (_decoy(s.kind, rng), 0)):
             if new is None:
                 continue
+            head, tail = text[max(0, s.start - 200) : s.start], text[s.end : s.end + 200]
+            if s.kind in LENGTHS:
+                # other numbers next to it, as a date, an expiry or a second one
+                joined = rng.choice([" ", "/", ", "])
+                head, tail = rng.choice([(head, tail), (head, tail), (f"{head}{_date(rng)} ", tail), (head + new + joined, tail), (head, joined + new + tail), (head, rng.choice([" 12/25", " 123", f" {_date(rng)}"]) + tail)])
             changed = head + new + tail
             for c in candidates(changed):
                 if c.start < len(head) + len(new) and len(head) < c.end:
                     whole = c.kind == s.kind and c.start <= len(head) + 1 and c.end >= len(head) + len(new) - 1
-                    if label and not whole and c.kind == s.kind:
+                    if c.kind in LENGTHS:
+                        # a number with less or more than its own groups is none
+                        whole = whole and c.start >= len(head) - 1 and c.end <= len(head) + len(new) + 1
+                    elif label and not whole and c.kind == s.kind:
                         continue
                     out.append((c, changed, int(bool(label and whole))))
     return out
@@ -264,8 +317,11 @@ def all_spans(text: str, model: Booster, threshold: float = THRESHOLD) -> tuple[
     loose = [c for c in candidates(text) if not any(b.start < c.end and c.start < b.end for b in base)]
     added: list[Span] = []
     if loose and model.trees:
-        p = model.probability(np.array([features(text, c) for c in loose], float))
-        for i in sorted(np.flatnonzero(p >= threshold).tolist(), key=lambda i: (-p[i], loose[i].order())):
+        x = np.array([features(text, c) for c in loose], float)
+        p = model.probability(x)
+        z = model.raw(x)
+        # probabilities come in steps: log odds tell within one, and of an address the longest reading stands
+        for i in sorted(np.flatnonzero(p >= threshold).tolist(), key=lambda i: (-p[i], loose[i].start - loose[i].end if loose[i].kind == "email" else 0, -z[i], loose[i].order())):
             if not any(a.start < loose[i].end and loose[i].start < a.end for a in added):
                 added.append(loose[i])
     return base, sorted(base + added, key=Span.order)

@@ -331,3 +331,29 @@ def test_licenses_that_stand_together():
 ])
 def test_names_that_stand_together(text, want):
     assert [f.license for f in licenses.Scanner().scan(text)[1]] == want
+
+
+NUMBERS_TOGETHER = [
+    ("paid by 4539.1488.0343.6467 12/25 today", ["card:4539.1488.0343.6467"]),
+    ("paid by 4539.1488.0343.6467 123 today", ["card:4539.1488.0343.6467"]),
+    ("call (415) 555-0199 (415) 555-0123 now", ["phone:(415) 555-0199", "phone:(415) 555-0123"]),
+    ("call 415-555-0199/415-555-0123 now", ["phone:415-555-0199", "phone:415-555-0123"]),
+    ("on 2021-03-04 415-555-0199 rang", ["phone:415-555-0199"]),
+]
+
+
+@pytest.mark.parametrize("text, want", NUMBERS_TOGETHER)
+def test_shorter_readings_are_proposed(text, want):
+    found = [f"{s.kind}:{text[s.start : s.end]}" for s in pii.candidates(text)]
+    assert set(want) <= set(found) and len(found) == len(set(found)) < 40
+
+
+def test_readings_are_bounded():
+    text = "1.22.333 4444-" * 20_000
+    began = time.time()
+    assert len(pii.candidates(text)) < 60 * 20_000 and time.time() - began < 20
+
+
+@pytest.mark.parametrize("text, want", [x for x in NUMBERS_TOGETHER if "/415" not in x[0]])
+def test_scores_choose_among_readings(model, text, want):
+    assert [f"{s.kind}:{text[s.start : s.end]}" for s in pii.all_spans(text, model)[1]] == want
