@@ -46,6 +46,7 @@ _LOOSE = {
     "phone": re.compile(r"(?<![0-9])(?:00|\+ ?)?\(?[0-9]{1,4}\)?(?:[ ./-]{0,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9])"),
 }
 _DOTS = re.compile(_DOT, re.IGNORECASE)
+_ATS = re.compile(_AT, re.IGNORECASE)
 _OCTETS = re.compile(rf"(?=({_LOOSE['ip'].pattern}))", re.IGNORECASE)
 _DIGIT = re.compile("[0-9]")
 _GROUP = re.compile("[0-9]+")
@@ -159,7 +160,7 @@ def candidates(text: str) -> list[Span]:
     for kind, pattern in _LOOSE.items():
         if kind != "email" and not digits:
             continue
-        if kind == "email" and "@" not in text and "dot" not in text.lower() and "(at" not in text and "[at" not in text and "{at" not in text:
+        if kind == "email" and not _ATS.search(text):
             continue
         for m in pattern.finditer(text):
             out[Span(kind, m.start(), m.end())] = None

@@ -357,3 +357,8 @@ def test_readings_are_bounded():
 @pytest.mark.parametrize("text, want", [x for x in NUMBERS_TOGETHER if "/415" not in x[0]])
 def test_scores_choose_among_readings(model, text, want):
     assert [f"{s.kind}:{text[s.start : s.end]}" for s in pii.all_spans(text, model)[1]] == want
+
+
+@pytest.mark.parametrize("found", ["joe.doe(AT)example.com", "joe [ at ] example.com", "joe at example.com", "joe{ At }example.com", "joe\tAT\texample.com", "joe@example DOT com"])
+def test_addresses_are_proposed_alone(found):
+    assert pii.Span("email", 6, 6 + len(found)) in pii.candidates(f"write {found} today")
