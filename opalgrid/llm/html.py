@@ -20,7 +20,9 @@ from .store import read_table, small_batches
 
 #: Fixed values of HTML: elements without content, and which start tags end which open elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title iframe object canvas audio video svg math datalist dialog".split())
+HIDDEN = frozenset("head script style template noscript title iframe canvas audio video datalist dialog".split())
+#: In a drawing or a formula: what is described, defined or annotated, and not shown in place.
+UNDRAWN = frozenset("desc defs metadata symbol clippath mask pattern marker annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 MARGINS = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 ENDS_P = BLOCKS - frozenset("body caption dd dt html legend li optgroup option tbody td tfoot th thead tr".split()) | frozenset(["li", "dd", "dt"])
@@ -102,6 +104,8 @@ class TreeBuilder(HTMLParser):
         found: dict[str, str | None] = {}
         for k, v in attrs:
             found.setdefault(k, v)
+        if tag in UNDRAWN and self._foreign():
+            found["hidden"] = ""
         node = Node(tag, found)
         if tag in VOID:
             self.open[-1].children.append(node)
@@ -110,6 +114,12 @@ class TreeBuilder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if self._foreign() and self.open[-1].tag == tag and tag not in VOID:
+            self._pop()
+
+    def _foreign(self) -> bool:
+        """Whether a drawing or a formula is open: there a stroke ends an element."""
+        return bool(self.counts.get("svg") or self.counts.get("math"))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):

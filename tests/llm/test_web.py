@@ -158,3 +158,15 @@ def test_html_operator(spark, tiny):
     for r in spark.read.parquet(f"{tiny}/pages.parquet").collect():
         text = html.extract(r.html)
         assert got[r.page_id] == (text, len(text), len(text.split("\n")) if text else 0)
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "so x=2 holds"),
+    ("<p>see <math><semantics><mi>y</mi><annotation>why</annotation></semantics></math> here</p>", "see y here"),
+    ("<p>a <svg><title>no</title><desc>no</desc><style>no{}</style><defs><text>no</text></defs><path d='M0'/><text x='1'>drawn</text></svg> b</p>", "a drawn b"),
+    ("<p>a <svg><defs/><title/><text>drawn</text></svg> b</p>", "a drawn b"),
+    ("<p>a <object data='x'><param name='n'>instead</object> b</p>", "a instead b"),
+    ("<p>a <svg/> b</p><p>c <desc>kept</desc></p>", "a b\n\nc kept"),
+])
+def test_formulas_drawings_and_fallbacks_are_shown(page, want):
+    assert html.extract(page).strip() == want
