@@ -4,9 +4,9 @@
    page with the largest id is a response, the others are revisits of it.
 2. Archives are read back record by record; every task's captures, sorted by URL key, timestamp and id,
    are written as a run.
-3. The key space is cut into ranges. A task per range opens each run at the range's first row group and
-   merges them by a loser tree, reading a few rows of a run at a time. Where there are more than ``FAN_IN`` runs, they
-   are merged in groups first. The result is in one order over all ranges.
+3. The key space is cut into ranges, and the place of each cut in each run is found. A task per range opens the runs that have rows
+   of it, and merges these by a loser tree, reading a few rows of a run at a time. Where there are more than ``FAN_IN`` runs, they
+   are merged in groups first. The ranges are the partitions of the result, in their order.
 
 Archives get a new name in each attempt of a task, and only those that a committed row names are read, so that
 a task may run again at any time.
@@ -20,6 +20,7 @@ import io
 import re
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote, urlsplit
@@ -35,8 +36,12 @@ ARCHIVE_BYTES = 64 << 20
 FAN_IN = 64
 ROWS_PER_RANGE = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Pages have no time of capture: page n counts as fetched n seconds (of a cycle of 10**9) after this.
+#: Ranges of the merge at most, beyond which they hold more rows, and keys that the cuts between them are chosen from.
+MOST_RANGES, SAMPLED_KEYS = 20_000, 200_000
+#: Pages have no time of capture: page n counts as fetched n seconds after this. Timestamps of 14 digits end with the year
+#: 9999; ids beyond, and negative ones, start over.
 FIRST_CAPTURE = datetime(2020, 1, 1, tzinfo=timezone.utc)
+CYCLE = 250 * 10**9
 CAPTURES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, archive string, record_at long"
 _FIELDS = [x.split()[0] for x in CAPTURES.split(", ")]
 _ARROW = pa.schema([(n, pa.string() if n in ("payload_digest", "record_type", "url_key", "captured", "archive") else pa.int64()) for n in _FIELDS])
@@ -63,7 +68,7 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def _captured(page_id: int | None) -> datetime:
-    return FIRST_CAPTURE + timedelta(seconds=(page_id or 0) % 10**9)
+    return FIRST_CAPTURE + timedelta(seconds=(page_id or 0) % CYCLE)
 
 
 def _urn(page_id: int | None) -> str:
@@ -244,94 +249,139 @@ class LoserTree:
 
 
 _LEAST = -(2**63) - 1
+_KEY = ["url_key", "captured", "page_id", "archive", "record_at"]
 
 
-def _key(row: dict) -> tuple:
-    at = row["page_id"]
-    return row["url_key"], row["captured"], _LEAST if at is None else at, row["archive"], row["record_at"]
+def _key(url: str, captured: str, page: int | None, archive: str, at: int) -> tuple:
+    return url, captured, _LEAST if page is None else page, archive, at
 
 
-def _run_rows(run: list[str], lo: tuple | None, hi: tuple | None) -> Iterator[tuple]:
-    """(key, row) of a run's rows in [lo, hi), from the row groups that may hold any."""
-    for uri in run:
+def segments(spark, files: list[tuple[int, int, str]], cuts: list[tuple]) -> DataFrame:
+    """Which rows of each sorted file fall in which range of keys: (range_id, run, part, file, lo, hi).
+
+    Range i + 1 begins with the key ``cuts[i]``; the place of each cut in a file is found by bisection. ``files`` are
+    (run, part of the run, path); a file that is not in order fails here or in the merge.
+    """
+    shared = spark.sparkContext.broadcast(cuts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = shared.value
+        for run_, part, uri in (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)):
+            fs, path = open_store(uri)
+            out, i, start, base, last = [], 0, 0, 0, None
+            with fs.open_input_file(path) as f:
+                for rows in pq.ParquetFile(f).iter_batches(1 << 16, columns=_KEY):
+                    columns, n = [rows.column(c) for c in _KEY], rows.num_rows
+                    key = lambda j, columns=columns: _key(*[c[j].as_py() for c in columns])
+                    if last is not None and key(0) < last:
+                        raise ValueError(f"{uri} is not in order")
+                    last, j = key(n - 1), 0
+                    while i < len(cuts) and cuts[i] <= last:
+                        j = bisect_left(range(n), cuts[i], lo=j, key=key)
+                        if base + j > start:
+                            out.append((i, run_, part, uri, start, base + j))
+                        start, i = base + j, i + 1
+                    base += n
+            if base > start:
+                out.append((i, run_, part, uri, start, base))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True)], names=["range_id", "run", "part", "file", "lo", "hi"])
+
+    given = spark.createDataFrame(files, "run int, part int, file string").repartition(max(1, len(files)))
+    return materialize(given.mapInArrow(run, "range_id int, run int, part int, file string, lo long, hi long"), "segments")
+
+
+def _segment_rows(parts: list[tuple[int, str, int, int]]) -> Iterator[tuple]:
+    """(key, row) of a run's parts (part, file, first row, end) in their order, a few rows at a time."""
+    last = None
+    for _, uri, lo, hi in sorted(parts):
         fs, path = open_store(uri)
         with fs.open_input_file(path) as f:
             file = pq.ParquetFile(f)
-            column = file.schema_arrow.names.index("url_key")
-            groups = []
+            groups, base, at = [], 0, 0
             for g in range(file.num_row_groups):
-                s = file.metadata.row_group(g).column(column).statistics
-                # statistics may be cut short: only what they exclude surely is left out
-                if s is not None and s.has_min_max and ((hi is not None and str(s.min) > hi[0]) or (lo is not None and str(s.max) < lo[0] and not lo[0].startswith(str(s.max)))):
-                    continue
-                groups.append(g)
-            for batch in file.iter_batches(1024, row_groups=groups) if groups else ():
-                for row in batch.to_pylist():
-                    key = _key(row)
-                    if lo is not None and key < lo:
-                        continue
-                    if hi is not None and key >= hi:
-                        return
+                end = at + file.metadata.row_group(g).num_rows
+                if at < hi and lo < end:
+                    base = base if groups else at
+                    groups.append(g)
+                at = end
+            for batch in file.iter_batches(1024, row_groups=groups, columns=_FIELDS):
+                first, end = max(0, lo - base), min(hi - base, batch.num_rows)
+                base += batch.num_rows
+                batch = batch.slice(first, max(0, end - first))
+                for row in zip(*[batch.column(c).to_pylist() for c in _FIELDS], strict=True):
+                    key = _key(*[row[i] for i in _KEY_AT])
+                    if last is not None and key < last:
+                        raise ValueError(f"{uri} is not in order")
+                    last = key
                     yield key, row
 
 
-def merge_runs(spark, runs: list[list[str]], cuts: list[tuple]) -> DataFrame:
-    """All rows of the runs, in order within a range and over the ranges that the keys ``cuts`` begin; with range_id and position."""
-    bounds = [None, *cuts, None]
-    ranges = spark.createDataFrame([(i,) for i in range(len(bounds) - 1)], "range_id int").repartition(len(bounds) - 1, "range_id")
+_KEY_AT = [_FIELDS.index(c) for c in _KEY]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                rows, n = [], 0
-                for _, row in LoserTree([_run_rows(r, bounds[i], bounds[i + 1]) for r in runs]):
-                    rows.append((*[row[f] for f in _FIELDS], i, n))
-                    n += 1
-                    if len(rows) >= 4096:
-                        yield _merged(rows)
-                        rows = []
-                if rows:
-                    yield _merged(rows)
 
-    return ranges.mapInArrow(run, CAPTURES + ", range_id int, position long")
+def merge_segments(found: DataFrame, units: int, unit, starts: list[int] | None = None) -> DataFrame:
+    """Merge the segments of each unit by a loser tree over its runs; the rows of unit i are partition i, in order.
 
+    ``unit`` is an expression of (range_id, run). With the number of the first row of each unit, rows get range_id and position.
+    """
+    dealt = found.select(unit.cast("int").alias("unit"), "run", "part", "file", "lo", "hi").repartitionById(units, "unit")
+    schema = _ARROW if starts is None else _ARROW.append(pa.field("range_id", pa.int32())).append(pa.field("position", pa.int64()))
 
-def _merged(rows: list[tuple]) -> pa.RecordBatch:
-    schema = _ARROW.append(pa.field("range_id", pa.int32())).append(pa.field("position", pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[int, dict[int, list]] = {}
+        for batch in batches:
+            for i, run_, *segment in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                runs.setdefault(i, {}).setdefault(run_, []).append(tuple(segment))
+        for i in sorted(runs):
+            rows, n = [], starts[i] if starts is not None else 0
+            for _, row in LoserTree([_segment_rows(runs[i][r]) for r in sorted(runs[i])]):
+                rows.append(row if starts is None else (*row, i, n))
+                n += 1
+                if len(rows) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return dealt.mapInArrow(run, CAPTURES if starts is None else CAPTURES + ", range_id int, position long")
 
 
 def capture_histories(captures: DataFrame, fan_in: int = FAN_IN, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Captures in the order of URL key, timestamp and page id, by an external merge of sorted runs."""
+    """Captures in the order of URL key, timestamp and page id, by an external merge of sorted runs.
+
+    Partition i of the result holds range i of the keys, in order, so that the rows of all partitions in a row are in one global
+    order; ``position`` numbers them from 0. More than ``fan_in`` runs are merged in groups first, all groups in one job.
+    """
     spark = captures.sparkSession
     folder = fresh_path(spark, "runs")
     # small row groups, so that a range reads little more than its own rows of a run
     captures.sortWithinPartitions("url_key", "captured", F.col("page_id").asc_nulls_first(), "archive", "record_at").write.option("parquet.block.size", 1 << 20).parquet(folder)
     stored = spark.read.schema(captures.schema).parquet(folder)
-    runs = [[f] for f in files_of(spark, folder)]
+    files = [(i, 0, f) for i, f in enumerate(files_of(spark, folder))]
     total = stored.count()
-    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1000), -(-total // rows_per_range))
+    n = min(MOST_RANGES, max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1000), -(-total // rows_per_range)))
     # cuts from a bounded sample: they balance the ranges, every row is in one of them
-    sample = stored.sample(min(1.0, 64 * n / max(1, total)), seed=11).select(*_key_columns()).limit(256 * n)
-    keys = sorted({_key(r.asDict()) for r in sample.collect()})
+    keys = sorted({_key(*r) for r in stored.sample(min(1.0, min(64 * n, SAMPLED_KEYS) / max(1, total)), seed=11).select(*_KEY).collect()})
     cuts = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
-    while len(runs) > fan_in:
-        merged = []
-        for i in range(0, len(runs), fan_in):
-            step = fresh_path(spark, "runs")
-            merge_runs(spark, runs[i : i + fan_in], cuts).select("range_id", *_FIELDS).write.option("parquet.block.size", 1 << 20).partitionBy("range_id").parquet(step)
-            merged.append([f for c in range(len(cuts) + 1) for f in _files_or_none(spark, f"{step}/range_id={c}")])
-        runs = merged
-    return merge_runs(spark, runs, cuts)
-
-
-def _files_or_none(spark, folder: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return files_of(spark, folder) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else []
-
-
-def _key_columns() -> list[str]:
-    return ["url_key", "captured", "page_id", "archive", "record_at"]
+    runs = len(files)
+    while runs > fan_in:
+        groups = -(-runs // fan_in)
+        step = max(1, (len(cuts) + 1) * groups // max(n, groups))
+        coarse = cuts[step - 1 :: step]
+        found = segments(spark, files, coarse)
+        folder = fresh_path(spark, "runs")
+        unit = F.floor(F.col("run") / fan_in) * (len(coarse) + 1) + F.col("range_id")
+        merge_segments(found, groups * (len(coarse) + 1), unit).write.option("parquet.block.size", 1 << 20).parquet(folder)
+        # files are named by their partition, which is the unit
+        files = [(*divmod(int(re.search(r"part-(\d+)-", f.rsplit("/", 1)[1])[1]), len(coarse) + 1), f) for f in files_of(spark, folder)]
+        runs = groups
+    found = segments(spark, files, cuts)
+    sizes = {r.range_id: r.n for r in found.groupBy("range_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).collect()}
+    starts = [0]
+    for i in range(len(cuts)):
+        starts.append(starts[-1] + sizes.get(i, 0))
+    return merge_segments(found, len(starts), F.col("range_id"), starts)
 
 
 def archive_and_index(pages: DataFrame) -> DataFrame:
@@ -339,25 +389,35 @@ def archive_and_index(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload, a null url has an empty key, other columns are ignored. A null page_id
     is smaller than any other and is never referred to. Rows that repeat an id and a payload are
-    records of the same type. An empty table gives an empty result.
+    records of the same type, next to each other in the history. Payloads of any length are one record. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     small_batches(spark)
     folder = fresh_path(spark, "archives")
     archives = write_archives(pages, folder)
-    return capture_histories(read_archives(archives.repartition(max(1, min(archives.count(), 10_000)), "archive"), folder))
+    return capture_histories(read_archives(archives.repartition(max(1, min(archives.count(), 10_000))), folder))
 
 
 def op1_warc_index(spark, sf_dir: str) -> DataFrame:
-    """One row per page, in capture order: what its record says."""
-    return archive_and_index(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-ORACLE = """
+    """One row per page, in the order of the index: what its record says, its URL key and time, and its place among all captures."""
+    return archive_and_index(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
+
+
+ORACLE = r"""
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS payload, coalesce(url, '') AS u, strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id), '%Y%m%d%H%M%S') AS captured FROM pages
+), parts AS (
+    SELECT *, regexp_replace(lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[0-9]*\.', '') AS host,
+           regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '\?([^#]*)', 1) AS query FROM p
+), keyed AS (
+    SELECT page_id, payload, captured, lower(CASE WHEN u = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+           || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END END) AS url_key FROM parts
+)
 SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            (((('0x' || substr(sha1(payload), 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
        CASE WHEN page_id = max(page_id) OVER g THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
-FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages) WINDOW g AS (PARTITION BY payload)
+       CASE WHEN page_id <> max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to,
+       url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position
+FROM keyed WINDOW g AS (PARTITION BY payload)
 """

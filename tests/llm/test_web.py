@@ -74,10 +74,37 @@ def test_archives_and_index(spark, fan_in):
     archives = warc.write_archives(frame, folder, archive_bytes=2000)
     assert archives.count() > 6
     out = warc.capture_histories(warc.read_archives(archives.repartition(5), folder), fan_in=fan_in, rows_per_range=100)
-    rows = sorted(out.collect(), key=lambda r: (r.range_id, r.position))
+    rows = out.collect()
     assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.url_key)) for r in rows) == expected(pages)
+    # in the order of the rows as they come, over all partitions, and of what is written
+    assert [r.position for r in rows] == list(range(len(rows)))
     keys = [(r.url_key, r.captured, -1 if r.page_id is None else r.page_id) for r in rows]
-    assert keys == sorted(keys) and len({r.range_id for r in rows}) > 1
+    assert keys == sorted(keys) and len({r.range_id for r in rows}) > 1 and [r.range_id for r in rows] == sorted(r.range_id for r in rows)
+    parts = out.selectExpr("spark_partition_id() as p", "range_id").distinct().collect()
+    assert sorted((r.p, r.range_id) for r in parts) == [(r, r) for r in sorted({r.range_id for r in rows})]
+
+
+def test_a_hot_key_is_cut_by_time(spark):
+    """A third of all captures of one URL, over several ranges, merged in three passes."""
+    pages = [(i, "http://hot.org/" if i % 3 else f"http://x.org/{i}", f"p{i % 50}") for i in range(900)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(9)
+    folder = warc.fresh_path(spark, "test")
+    archives = warc.write_archives(frame, folder, archive_bytes=3000)
+    n = archives.count()
+    out = warc.capture_histories(warc.read_archives(archives.repartition(n), folder), fan_in=2, rows_per_range=150)
+    rows = out.collect()
+    assert [(r.url_key, r.captured) for r in rows] == sorted((r.url_key, r.captured) for r in rows) and len(rows) == 900
+    assert len({r.range_id for r in rows if r.url_key == "org,hot)/"}) > 1
+
+
+def test_runs_out_of_order_are_found(spark):
+    frame = spark.createDataFrame([(i, "http://a/", "x") for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    folder, runs = warc.fresh_path(spark, "test"), warc.fresh_path(spark, "test")
+    captures = warc.read_archives(warc.write_archives(frame, folder), folder)
+    captures.coalesce(1).sortWithinPartitions("page_id", ascending=False).write.parquet(runs)
+    found = warc.segments(spark, [(0, 0, f) for f in warc.files_of(spark, runs)], [])
+    with pytest.raises(Exception, match="not in order"):
+        warc.merge_segments(found, 1, warc.F.col("range_id")).collect()
 
 
 def test_archives_of_nothing(spark):
