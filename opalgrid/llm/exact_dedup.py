@@ -1,9 +1,9 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
-Only built-in expressions are used. Each level is a map-side combined count, and the next level's scan
-is reduced by a semi join with the keys that occur more than once, so that the full content is hashed
-only for rows whose length and prefix both repeat; texts are moved for that and for the result. Counts leave each task as one row per key; the joins
-have plain exchanges on both sides, so adaptive execution can split a partition that a hot group fills.
+Only built-in expressions are used. The first two levels count hashes, by map-side combined aggregates. Keys of length and prefix that
+occur more than once set bits of a filter of fixed size, which is broadcast: a row whose bit is set has its full text hashed
+where it lies, no other is, and from then on only hashes move. Keys that share a bit cost a hash and no more: full hashes
+alone decide. Joins have plain exchanges on both sides, so adaptive execution can split a partition that a hot group fills.
 """
 
 from __future__ import annotations
@@ -11,65 +11,81 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, read_table
+from .store import column, materialize, read_table
 
 OUTPUT = ("keep_id", "group_size", "kept")
 #: Code points of the prefix that the second level hashes.
 PREFIX_CHARS = 256
+#: Bits of the filter: at most 4 MB, in rows of 2 ** 15 bits. With as many repeated keys or more, all texts are hashed in full.
+FILTER_BITS = 1 << 25
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, carry: list[Column] | None = None) -> DataFrame:
-    """``docs`` with ``keep_id``, ``group_size`` (long) and ``kept`` (boolean) for each row.
-
-    Texts are equal when identical; null counts as the empty text. Of equal texts the row with the
-    largest id stays. Empty texts form one group. A null id is smaller than any other and stays only
-    where all ids of its group are null. Of rows that repeat both id and text exactly one is kept, and
-    each counts in ``group_size``. Input columns named like the output columns are replaced; all
-    others pass through, or the expressions in ``carry`` do in their place. An empty table gives an empty result.
-    """
-    docs = docs.drop(*OUTPUT)
-    # what is carried travels in one struct, so that its names can't clash with those used here
-    rows = docs.select(F.struct(*(carry or ["*"])).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+def _judged(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, carry: list[Column] | None) -> DataFrame:
+    """(_row, keep_id, group_size, kept): what is carried of each row is in one struct, so that its names can't clash with those used here."""
+    others = [column(c) for c in docs.columns if c not in (id_col, text_col)]
+    # tells rows that repeat id and text apart
+    mark = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
+    text = F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(F.struct(*(carry or ["*"])).alias("_row"), column(id_col).alias("_id"), text.alias("_text"), mark.alias("_mark"))
     length = F.octet_length("_text").cast("long")
-    prefix = F.xxhash64(F.substring("_text", 1, prefix_chars))
-    rows = rows.withColumns({"_len": length, "_key": F.xxhash64(length, prefix)})
+    rows = rows.withColumns({"_len": length, "_key": F.xxhash64(length, F.xxhash64(F.substring("_text", 1, prefix_chars)))})
 
+    light = materialize(rows.select("_len", "_key"), "dedup")
     # Level 1: lengths that repeat. They are cast after counting: the join below then has an exchange of its own
     # on this side, which adaptive execution needs to split a hot partition of the other side.
-    lengths = rows.groupBy(F.col("_len").cast("int").alias("_n")).count().where("count > 1").select(F.col("_n").cast("long").alias("_len"))
-    # Level 2: prefixes that repeat among them
-    prefixes = rows.select("_len", prefix.alias("_p")).join(lengths, "_len", "left_semi").groupBy("_len", "_p").count().where("count > 1").select(F.xxhash64("_len", "_p").alias("_key"))
-    # Level 3: full hashes of what is left. Joins that carry texts are merge joins at every size.
-    survivors = rows.select("_id", "_key", "_text").join(prefixes.hint("merge"), "_key", "left_semi")
-    survivors = materialize(survivors.select("_id", "_key", F.sha2("_text", 256).alias("_hash")).groupBy("_id", "_key", "_hash").agg(F.count(F.lit(1)).alias("same")), "dedup")
-    groups = survivors.groupBy("_hash").agg(F.max("_id").alias("keep_id"), F.sum("same").alias("group_size")).where("group_size > 1").select(F.unhex("_hash").alias("_group"), "keep_id", "group_size")
-    found = survivors.select("_id", "_key", "same", F.unhex("_hash").alias("_group")).join(groups, "_group", "left")
-    # one row per id and key: an id that repeats may have several texts of the same length and prefix
-    entry = F.when(F.col("keep_id").isNotNull() | F.col("group_size").isNotNull(), F.struct(F.lower(F.hex("_group")).alias("hash"), F.struct("keep_id", "group_size", "same").alias("v")))
-    verdicts = found.groupBy("_id", "_key").agg(F.map_from_entries(F.collect_list(entry)).alias("_verdicts"), F.count(F.lit(1)).alias("_texts"), F.max("same").alias("_same"))
-    verdicts = materialize(verdicts.where(F.size("_verdicts") > 0).select(F.col("_id").alias("_vid"), F.col("_key").alias("_vkey"), "_verdicts", "_texts", "_same"), "dedup")
-    most = verdicts.agg(F.max("_texts").alias("texts"), F.max("_same").alias("same")).first()
-
-    several = (most["texts"] or 1) > 1  # else id and key tell a text, which need not be moved again
-    out = rows.select("_row", "_id", "_key", *["_text"] * several)
-    out = out.join(verdicts.hint("merge"), F.col("_id").eqNullSafe(F.col("_vid")) & (F.col("_key") == F.col("_vkey")), "left")
-    verdict = F.element_at(F.map_values("_verdicts"), 1)
-    if several:
-        verdict = F.when(F.col("_texts") == 1, verdict).otherwise(F.element_at("_verdicts", F.sha2("_text", 256)))
-    out = out.withColumn("_v", F.when(F.col("_verdicts").isNotNull(), verdict))
-    keep_id = F.when(F.col("_v").isNotNull(), F.col("_v.keep_id")).otherwise(F.col("_id"))
+    lengths = light.groupBy(F.col("_len").cast("int").alias("_n")).count().where("count > 1").select(F.col("_n").cast("long").alias("_len"))
+    # Level 2: prefixes that repeat among them, as bits
+    keys = light.join(lengths, "_len", "left_semi").groupBy("_key").count().where("count > 1")
+    slot = F.pmod("_key", F.lit(FILTER_BITS)) + 1
+    bits = keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    bits = F.broadcast(materialize(bits, "dedup"))  # FILTER_BITS / 2 ** 15 rows at most
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.expr("shiftright(_byte, _bit)").bitwiseAND(1) == 1, F.lit(False))
+    rows = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(bits, "_bucket", "left").withColumns({"_byte": byte, "_bit": (at % 8).cast("int")}).withColumn("_maybe", maybe)
+    # Level 3: full hashes of what is left
+    full = rows.where("_maybe").select("_id", "_mark", F.sha2("_text", 256).alias("_hash"))
+    survivors = materialize(full.groupBy("_id", "_hash", "_mark").agg(F.count(F.lit(1)).alias("n")), "dedup")
+    groups = survivors.groupBy("_hash").agg(F.max("_id").alias("keep_id"), F.sum("n").alias("group_size")).where("group_size > 1").select(F.unhex("_hash").alias("_group"), "keep_id", "group_size")
+    sets = survivors.groupBy("_id", "_hash").agg(F.sum("n").alias("_same"), F.min("_mark").alias("_first"), F.min_by("n", "_mark").alias("_ties"))
+    verdicts = sets.withColumn("_group", F.unhex("_hash")).join(groups, "_group").select(F.col("_id").alias("_vid"), F.col("_hash").alias("_vhash"), "keep_id", "group_size", "_same", "_first", "_ties")
+    verdicts = materialize(verdicts, "dedup")
+    most = verdicts.agg(F.max("_same").alias("same"), F.max("_ties").alias("ties")).first()
+
+    # rows without a set bit have their key in the place of the hash, which matches none
+    out = rows.select("_row", "_id", "_mark", F.spark_partition_id().alias("_pid"), F.when(F.col("_maybe"), F.sha2("_text", 256)).otherwise(F.col("_key").cast("string")).alias("_hash"))
+    out = out.join(verdicts.hint("merge"), F.col("_id").eqNullSafe(F.col("_vid")) & (F.col("_hash") == F.col("_vhash")), "left")
+    keep_id = F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("_id"))
     kept = F.col("_id").eqNullSafe(keep_id)
     if (most["same"] or 1) > 1:
-        # some rows repeat id and text: the first of each such set stays
-        text = F.sha2("_text", 256) if several else F.lit("")
-        out = out.withColumn("_repeat", F.row_number().over(Window.partitionBy("_id", "_key", F.when(F.col("_v.same") > 1, text)).orderBy(F.lit(1))))
-        kept = kept & ((F.coalesce(F.col("_v.same"), F.lit(1)) == 1) | (F.col("_repeat") == 1))
-    return out.select("_row.*", keep_id.alias("keep_id"), F.coalesce(F.col("_v.group_size"), F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"))
+        kept = kept & (F.coalesce("_same", F.lit(1)) == 1) | (kept & (F.col("_mark") == F.col("_first")))
+    result = lambda frame, kept: frame.select("_row", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"))
+    if (most["ties"] or 1) < 2:
+        return result(out, kept)
+    # rows alike in all columns: one of them. Each task of the scan puts one forward, and of these one is taken
+    tied = F.coalesce((F.col("_ties") > 1) & (F.col("_mark") == F.col("_first")), F.lit(False))
+    own = Window.partitionBy("_id", "_hash", "_pid").orderBy("_mark")
+    among = Window.partitionBy("_id", "_hash", F.when(F.col("_own") == 1, F.lit(-1)).otherwise(F.col("_pid"))).orderBy("_pid")
+    one = out.where(tied).withColumn("_own", F.row_number().over(own)).withColumn("_place", F.row_number().over(among))
+    return result(out.where(~tied), kept).unionByName(result(one, kept & (F.col("_own") == 1) & (F.col("_place") == 1)))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, carry: list[Column] | None = None) -> DataFrame:
+    """``docs`` with ``keep_id``, ``group_size`` (long) and ``kept`` (boolean) for each row.
+
+    Texts are equal when identical, however long; null counts as the empty text. Of equal texts the row with the
+    largest id stays. Empty texts form one group. A null id is smaller than any other and stays only
+    where all ids of its group are null. Of rows that repeat both id and text exactly one is kept, that whose other columns
+    have the least hash, and each counts in ``group_size``. Input columns named like the output columns are replaced; all
+    others pass through, or the expressions in ``carry`` do in their place. An empty table gives an empty result.
+    """
+    kept = [c for c in docs.columns if c not in OUTPUT]
+    return _judged(docs.select(*map(column, kept)), id_col, text_col, prefix_chars, carry).select("_row.*", *OUTPUT)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with the columns of ``docs``."""
-    return exact_dedup(docs, id_col, text_col).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all columns of ``docs`` as they are, whatever their names."""
+    return _judged(docs, id_col, text_col, PREFIX_CHARS, None).where("kept").select("_row.*")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

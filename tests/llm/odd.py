@@ -1,5 +1,7 @@
 """Small tables with every oddity: nulls, empty and very long texts, ties, repeated rows, clashing names."""
 
+from pyspark.sql import functions as F
+
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
 ROWS = [
     (1, "the same text of some words here", "en", "a"),
@@ -27,11 +29,21 @@ def documents(spark, rows=None, extra=True):
     rows = ROWS if rows is None else rows
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
     for i, c in enumerate(EXTRA if extra else []):
-        from pyspark.sql import functions as F
-
         frame = frame.withColumn(c, F.lit(f"mine {i}"))
     return frame
 
 
+#: Names of extra columns: with dots, quotes, and those that operators give to their own results.
+CLASHING = "a.b x`y kept keep_id group_size score mix_size mix_picks doc.id n_shingles component_id".split()
+
+
+def clashing(spark, rows=None):
+    """Documents as the pipeline has them, with extra columns of clashing names."""
+    frame = documents(spark, rows, extra=False).selectExpr("*", "cast(length(text) as long) as n_chars")
+    for c in CLASHING:
+        frame = frame.withColumn(c, F.concat(F.lit(c), F.lit(" of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    return frame
+
+
 def empty(spark):
     return documents(spark, [])

@@ -41,6 +41,33 @@ def test_exact_dedup_of_prefixes_and_repeated_ids(spark):
     assert out == {(1, "a"): (2, 2, False), (1, "b"): (3, 2, False), (2, "a"): (2, 2, True), (3, "b"): (3, 2, True), (4, "c"): (4, 1, True)}
 
 
+def test_rows_that_repeat_id_and_text(spark):
+    """Of rows that differ elsewhere always the same stays, of rows alike in all columns one; null ids with many texts of one length too."""
+    rows = [(5, "same", f"l{i % 3}", "s") for i in range(60)] + [(7, "other", "l", "s")] * 50 + [(None, f"text {i % 40:03d}", "l", str(i % 2)) for i in range(160)]
+    seen = set()
+    for parts in (1, 7):
+        docs = odd.documents(spark, rows).repartition(parts)
+        kept = exact_dedup.exact_dedup(docs).where("kept").collect()
+        assert len(kept) == 42 and {(r.doc_id, r.text, r.group_size) for r in kept} == {(5, "same", 60), (7, "other", 50)} | {(None, f"text {i:03d}", 4) for i in range(40)}
+        seen.add(tuple(sorted(str((r.doc_id, r.text, r.lang, r.source)) for r in kept)))
+    assert len(seen) == 1
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", 8)
+    rows = [(i, f"text {i % 170:04d}" + "x" * (i % 5), "", "") for i in range(400)]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(odd.documents(spark, rows)).collect()}
+    want = groups_of(rows)
+    assert got == {i: (max(want[t]), len(want[t])) for i, t, *_ in rows}
+
+
+def test_names_of_columns_stay(spark):
+    docs = odd.clashing(spark)
+    out = exact_dedup.deduplicated(docs)
+    assert out.columns == docs.columns and all(r["kept"].startswith("kept of") and r["a.b"].startswith("a.b of") for r in out.collect())
+    assert exact_dedup.exact_dedup(docs.withColumnsRenamed({"doc_id": "d.i", "text": "t`x"}), "d.i", "t`x").where("kept").count() == out.count()
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.exact_dedup(odd.empty(spark)).count() == 0
 
