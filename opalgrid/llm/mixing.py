@@ -8,24 +8,28 @@ The draws (source, pass, block) of all sources are then dealt to output shards:
 shards splits each source's exact quota of draws by multivariate-hypergeometric variates, leaves draw
 disjoint runs of each source's permuted draws, and each shard is shuffled by itself.
 
-What reaches the driver is a row per source (``max_sources`` at most, else it raises) and the quotas of
-sources times shards. A source has ``2 ** MAX_BITS`` blocks at most, so that running sums over the
-blocks of one source stay small however many documents it has.
+Sources may be any in number: their targets are found by sums over a table. What reaches the driver is the quotas of strata times
+shards; strata are the sources, or hashed groups of sources where there are very many. A source of n documents has ``2 ** BITS``
+blocks, or the square root of n if that is more, so that neither the blocks of a source nor the documents of a block are many.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, read_table
+from .store import column, materialize, read_table
 
 WEIGHTS = (1, 2, 3)
 MAX_RATIO = 3
-MAX_BITS = 14
+BITS = 14
+#: Sources that a task puts in order.
+ROWS_PER_TASK = 100_000
 #: Documents before and behind the boundary of a source from which the best fitting ones are chosen.
 AROUND = 24
 OUTPUT = ("mix_size", "mix_source_size", "mix_target", "mix_picks")
@@ -78,12 +82,17 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return out
 
 
-def _source_key(source):
-    return F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source))
+#: Bits of a subset sum at most: larger sums are reckoned in coarser units, of that share of their total.
+SUM_BITS = 1 << 22
 
 
 def nearest_subset(sizes: list[int], room: int) -> list[int]:
-    """Places of sizes whose sum is as near to ``room`` as any, by a bitset of the sums that can be reached."""
+    """Places of sizes whose sum is as near to ``room`` as any, by a bitset of the sums that can be reached.
+
+    Sums of over ``SUM_BITS`` are counted in units, so that it is as near as half a unit for each size allows.
+    """
+    unit = 1 + sum(sizes) // SUM_BITS
+    sizes, room = [(x + unit // 2) // unit for x in sizes], (room + unit // 2) // unit
     reached = [1]
     for x in sizes:
         reached.append(reached[-1] | reached[-1] << x)
@@ -100,9 +109,163 @@ def nearest_subset(sizes: list[int], room: int) -> list[int]:
     return out[::-1]
 
 
+def _source_key(source):
+    """Sorts by code point, null last."""
+    return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if its known number of rows allows it."""
-    return F.broadcast(df) if rows <= 100_000 else df
+    return F.broadcast(df) if rows <= 10_000 else df
+
+
+def _numbered(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``rows`` with ``_j``: 0, or the place among the rows of the same set, which share source, id and text.
+
+    Rows of a set are numbered in each task of a written table, and each task's from where the last one ended.
+    """
+    if repeated is None:
+        return rows.withColumn("_j", F.lit(0).cast("long"))
+    again = materialize(rows.join(repeated, "_set", "left_semi").withColumn("_at", F.monotonically_increasing_id()), "mix").withColumn("_task", F.shiftright("_at", 33))
+    tasks = again.groupBy("_set", "_task").agg(F.count(F.lit(1)).alias("_n"))
+    tasks = tasks.withColumn("_from", F.sum("_n").over(Window.partitionBy("_set").orderBy("_task")) - F.col("_n")).drop("_n")
+    # the keys are joined in another form, so that the join has exchanges of its own, and a hot set can be split
+    tasks = tasks.select(F.bitwise_not("_set").alias("_s"), F.col("_task").alias("_t"), "_from")
+    own = F.row_number().over(Window.partitionBy("_set", "_task").orderBy("_at"))
+    again = again.withColumn("_own", own).join(tasks, (F.bitwise_not("_set") == F.col("_s")) & (F.col("_task") == F.col("_t")))
+    once = rows.join(repeated, "_set", "left_anti").withColumn("_j", F.lit(0).cast("long"))
+    return once.unionByName(again.withColumn("_j", (F.col("_from") + F.col("_own") - 1).cast("long")).select(*once.columns))
+
+
+def _ranked(sources: DataFrame, n: int) -> DataFrame:
+    """``sources`` with ``_place`` from 0 by ``_key``, in tasks of bounded size."""
+    parts = max(1, -(-n // ROWS_PER_TASK))
+    dealt = materialize(sources.repartitionByRange(parts, "_key").withColumn("_part", F.spark_partition_id()), "mix")
+    sizes = {r["_part"]: r.n for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ends = np.cumsum([sizes.get(p, 0) for p in range(parts)]).tolist()
+    starts = [(p, e - sizes.get(p, 0)) for p, e in enumerate(ends)]
+    begins = F.broadcast(sources.sparkSession.createDataFrame(starts, "_part int, _from long"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
+    return materialize(dealt.withColumn("_own", own).join(begins, "_part").withColumn("_place", F.col("_from") + F.col("_own") - 1).drop("_part", "_own", "_from"), "mix")
+
+
+def with_targets(sources: DataFrame, weights=WEIGHTS, max_ratio: float = MAX_RATIO) -> DataFrame:
+    """``source_targets`` for a table (_place, _size, ...) of any number of sources: ``_target`` is added.
+
+    What a unit of weight gets only grows, so the sources at their limit are found by sums, until none is added.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int"))
+    left, held, unit = None, None, 0.0
+    while True:
+        above = F.lit(unit) * weight > max_ratio * F.col("_size")
+        found = sources.agg(F.sum(F.when(above, max_ratio * F.col("_size"))).alias("stopped"), F.sum(F.when(~above, weight)).alias("rest"), F.sum("_size").alias("total")).first()
+        now = ((found["total"] or 0) - (found["stopped"] or 0), found["rest"] or 0)
+        if now == (left, held) or not now[1]:
+            return sources.withColumn("_target", F.when(above, (max_ratio * F.col("_size")).cast("double")).otherwise(F.lit(unit) * weight))
+        left, held = now
+        unit = max(0.0, left / held)
+
+
+def _chosen(docs_of_edges: DataFrame) -> DataFrame:
+    """(_key, _edge, _cut, _taken): for each boundary block, the last rank that is taken whole and the documents chosen beyond it.
+
+    ``docs_of_edges`` has a row per source with its documents around the boundary, ``2 * AROUND + 1`` at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts, taken = [], []
+            for rows, room in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                cut = None
+                if rows[0]["_at"] > 1:  # all before the second of these are taken
+                    cut, room, rows = rows[0]["_rank"], room - rows[0]["_run"], rows[1:]
+                cuts.append(cut)
+                taken.append([{k: rows[i][k] for k in ("_rank", "_set", "_j")} for i in nearest_subset([r["_size"] for r in rows], room)])
+            kind = pa.list_(pa.struct([("_rank", pa.int64()), ("_set", pa.int64()), ("_j", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.int64()), pa.array(taken, kind)], names=["_key", "_edge", "_cut", "_taken"])
+
+    return docs_of_edges.mapInArrow(run, "_key string, _edge long, _cut long, _taken array<struct<_rank:long,_set:long,_j:long>>")
+
+
+def _picked(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, seed: int, docs_per_block: int, draws_per_shard: int, max_shards: int, strata: int, carry: list[Column] | None) -> tuple[DataFrame, int]:
+    """(_row, _set, _j, _size, _source_size, _target, _picks) for each row, and the number of shards."""
+    spark = docs.sparkSession
+    size, key = word_count(column(text_col)), _source_key(column(source_col))
+    id_ = F.coalesce(F.concat(F.lit("v"), column(id_col).cast("string")), F.lit(""))
+    same = F.xxhash64(key, id_, F.coalesce(column(text_col), F.lit("")), F.lit(seed))
+    # the input's columns travel in one struct, so that their names can't clash with those used here
+    full = docs.select(F.struct(*(carry or ["*"])).alias("_row"), same.alias("_set"), size.alias("_size"), key.alias("_key"))
+    light = materialize(full if carry else full.drop("_row"), "mix")
+    repeated = light.groupBy("_set").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_set")
+    repeated = materialize(repeated, "mix")
+    repeated = None if repeated.isEmpty() else repeated
+    light = _numbered(light, repeated)
+    if repeated is not None:
+        light = materialize(light, "mix")
+
+    sources = materialize(light.groupBy("_key").agg(F.sum("_size").alias("_size"), F.count(F.lit(1)).alias("_n")), "mix")
+    n_sources = sources.count()
+    sources = with_targets(_ranked(sources, n_sources), weights)
+    passes = F.when(F.col("_size") > 0, F.least(F.floor(F.col("_target") / F.col("_size")), F.lit(MAX_RATIO))).otherwise(0).cast("int")
+    rest = F.when(F.col("_passes") < MAX_RATIO, F.rint(F.col("_target") - F.col("_passes") * F.col("_size"))).otherwise(0).cast("long")
+    most = F.ceil(F.log2(F.col("_n") / docs_per_block))
+    bits = F.greatest(F.lit(0), F.least(most, F.greatest(F.lit(BITS), F.ceil(F.log2("_n") / 2)))).cast("int")
+    # sources are the strata of the tree if they are few; else hashed groups of them, whose draws are permuted together
+    stratum = F.col("_place") if n_sources <= strata else F.pmod(F.xxhash64("_key"), F.lit(strata))
+    sources = sources.withColumn("_passes", passes).withColumn("_rest", rest).withColumn("_bits", bits).withColumn("_stratum", stratum.cast("int"))
+    sources = materialize(sources.select("_key", F.col("_size").alias("_source_size"), "_target", "_passes", "_rest", "_bits", "_stratum"), "mix")
+
+    hash_ = F.xxhash64("_set", "_j", F.lit(seed))
+    block = F.when(F.col("_bits") == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(_hash, 64 - greatest(_bits, 1))")).cast("long")
+    # order within a source: unsigned order of the hash, which is block order
+    place = {"_block": block, "_rank": F.expr("_hash ^ shiftleft(1L, 63)")}
+    placed = light.withColumn("_hash", hash_).join(_small(sources, n_sources), "_key").withColumns(place)
+    blocks = placed.groupBy("_key", "_block", "_rest", "_passes", "_stratum").agg(F.sum("_size").alias("_words"))
+    in_order = Window.partitionBy("_key").orderBy("_block")
+    blocks = materialize(blocks.withColumn("_before", F.sum("_words").over(in_order) - F.col("_words")), "mix")
+
+    # the block in which the last pass ends; in it, its documents up to the cut, and those around it, of which some are chosen
+    edges = blocks.where("_rest > 0 and _before <= _rest and _before + _words > _rest").select("_key", F.col("_block").alias("_edge"), (F.col("_rest") - F.col("_before")).alias("_room"))
+    inside = placed.join(_small(edges, n_sources), "_key").where("_block = _edge")
+    in_rank = Window.partitionBy("_key").orderBy("_rank", "_set", "_j")
+    inside = inside.select("_key", "_edge", "_room", "_rank", "_set", "_j", "_size", F.sum("_size").over(in_rank.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"), F.row_number().over(in_rank).alias("_at"))
+    middle = F.max(F.when(F.col("_run") <= F.col("_room"), F.col("_at")).otherwise(0)).over(Window.partitionBy("_key"))
+    inside = inside.withColumn("_middle", middle).where(F.abs(F.col("_at") - F.col("_middle")) <= AROUND)
+    around = inside.groupBy("_key", "_edge", "_room").agg(F.sort_array(F.collect_list(F.struct("_at", "_rank", "_set", "_j", "_size", "_run"))).alias("_docs"))
+    last = materialize(_chosen(around.select("_key", "_edge", "_docs", "_room")), "mix")
+
+    # draws: every block in the whole passes, and those up to the boundary in the last
+    draws = blocks.join(_small(last.select("_key", "_edge"), n_sources), "_key", "left").select("_key", "_block", "_stratum", F.explode(F.sequence(F.lit(0), F.col("_passes"))).alias("_pass"), "_passes", "_edge", "_rest")
+    draws = draws.where("_pass < _passes or (_rest > 0 and (_edge is null or _block <= _edge))")
+    permuted = Window.partitionBy("_stratum").orderBy(F.xxhash64(F.lit(seed + 1), "_key", "_pass", "_block"), "_key", "_pass", "_block")
+    draws = materialize(draws.select("_key", "_block", "_pass", "_stratum", (F.row_number().over(permuted) - 1).alias("_n")), "mix")
+    counts = {r["_stratum"]: r.n for r in draws.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(counts)
+    shards = min(max_shards, max(1, -(-sum(counts.values()) // draws_per_shard)))
+    quotas = split_quotas(np.array([counts[k] for k in names], dtype=np.int64), shards, np.random.default_rng(seed))
+    # where the draws of each shard end: ``strata * max_shards`` numbers at most
+    ends = spark.sparkContext.broadcast(dict(zip(names, np.cumsum(quotas, axis=0).T, strict=True)))
+
+    @F.pandas_udf("int")
+    def shard(stratum: pd.Series, n: pd.Series) -> pd.Series:
+        out = np.zeros(len(n), np.int32)
+        values, at = np.unique(stratum.to_numpy(), return_inverse=True)
+        for i, s in enumerate(values.tolist()):
+            own = at == i
+            out[own] = np.searchsorted(ends.value[s], n.to_numpy()[own], "right")
+        return pd.Series(out)
+
+    dealt = draws.select("_key", "_block", F.struct("_pass", shard("_stratum", "_n").alias("_shard")).alias("_draw"))
+    by_block = dealt.groupBy("_key", "_block").agg(F.sort_array(F.collect_list("_draw")).alias("_draws")).select(F.col("_key").alias("_k"), F.col("_block").alias("_b"), "_draws")
+
+    rows = light if carry else _numbered(full, repeated)
+    known = sources.drop("_stratum", "_rest").join(last, "_key", "left")
+    out = rows.withColumn("_hash", hash_).join(_small(known, n_sources), "_key").withColumns(place)
+    out = out.join(by_block, (F.col("_key") == F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
+    in_last = F.expr("_edge is null or _block < _edge or (_block = _edge and (coalesce(_rank <= _cut, false) or array_contains(_taken, struct(_rank, _set, _j))))")
+    drawn = F.coalesce("_draws", F.expr("cast(array() as array<struct<_pass:int,_shard:int>>)"))
+    picks = F.filter(drawn, lambda d: (d["_pass"] < F.col("_passes")) | in_last)
+    return out.select("_row", "_set", "_j", "_size", "_source_size", "_target", picks.alias("_picks")), shards
 
 
 def mix(
@@ -115,110 +278,40 @@ def mix(
     docs_per_block: int = 16,
     draws_per_shard: int = 256,
     max_shards: int = 4096,
-    max_sources: int = 100_000,
+    strata: int = 1024,
+    carry: list[Column] | None = None,
 ) -> DataFrame:
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_picks``.
 
     ``mix_picks`` is an array of (_pass, _shard), one for each time that the mix takes the document; empty
-    where it does not. Input columns of these names are replaced, all others pass through. Sizes are words; null and empty texts have size 0 and count as documents of
+    where it does not. Input columns of these names are replaced, all others pass through, or the expressions in ``carry`` do in their
+    place. Sizes are words of the whole text, however long; null and empty texts have size 0 and count as documents of
     their source. Null is a source of its own, the last. A source of size 0 has target 0, and no pass of it is drawn.
-    Rows that repeat an id are drawn together. The same input gives the same picks. An empty table gives an empty result.
+    Rows that repeat an id, null ids too, are told apart by their texts, and rows that repeat source, id and text by a number,
+    so that each is drawn by itself. The same input gives the same picks. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    docs = docs.drop(*OUTPUT)
-    size, key = word_count(F.col(text_col)), _source_key(F.col(source_col))
-    order = F.xxhash64(F.col(id_col), F.lit(seed))
-    # the input's columns travel in one struct, so that their names can't clash with those used here
-    full = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("string").alias("_id"), size.alias("_size"), key.alias("_key"), order.alias("_hash"), F.col(source_col).alias("_source"))
-    light = materialize(full.drop("_row"), "mix")
-    found = light.groupBy("_key").agg(F.first("_source").alias("source"), F.sum("_size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    targets = source_targets({r.source: r["size"] for r in found}, weights)
-    plan = []
-    for r in found:
-        passes = min(int(targets[r.source] // r["size"]), MAX_RATIO) if r["size"] else 0
-        rest = int(round(targets[r.source] - passes * r["size"])) if passes < MAX_RATIO else 0
-        bits = min(MAX_BITS, max(0, math.ceil(math.log2(r.n / docs_per_block)))) if r.n else 0
-        plan.append((r["_key"], r["size"], targets[r.source], passes, rest, bits))
-    sources = spark.createDataFrame(plan, "_key string, _source_size long, _target double, _passes int, _rest long, _bits int")
-
-    block = F.when(F.col("_bits") == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(_hash, 64 - greatest(_bits, 1))")).cast("int")
-    # order within a source: unsigned order of the hash, which is block order
-    rank = F.expr("_hash ^ shiftleft(1L, 63)")
-    placed = light.join(_small(sources, len(plan)), "_key").withColumns({"_block": block, "_rank": rank})
-    blocks = placed.groupBy("_key", "_block", "_rest", "_passes").agg(F.sum("_size").alias("_words"))
-    in_order = Window.partitionBy("_key").orderBy("_block")
-    blocks = materialize(blocks.withColumn("_before", F.sum("_words").over(in_order) - F.col("_words")), "mix")
-
-    # the block in which the last pass ends, and the last document of it that is drawn
-    edge = blocks.where("_rest > 0 and _before <= _rest and _before + _words > _rest").select("_key", F.col("_block").alias("_edge"), (F.col("_rest") - F.col("_before")).alias("_room"))
-    edge = {r["_key"]: (r["_edge"], r["_room"]) for r in edge.collect()}
-    edges = spark.createDataFrame([(k, *v) for k, v in edge.items()], "_key string, _edge int, _room long")
-    # in the boundary block: its documents up to the cut, and those around it, of which some are chosen
-    inside = placed.join(_small(edges, len(edge)), "_key").where("_block = _edge")
-    in_rank = Window.partitionBy("_key").orderBy("_rank", "_id")
-    inside = materialize(inside.select("_key", "_rank", "_id", "_size", F.sum("_size").over(in_rank.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"), F.row_number().over(in_rank).alias("_at"), "_room"), "mix")
-    middle = inside.groupBy("_key").agg(F.max(F.when(F.col("_run") <= F.col("_room"), F.col("_at")).otherwise(0)).alias("_middle"))
-    around = inside.join(_small(middle, len(edge)), "_key").where(F.abs(F.col("_at") - F.col("_middle")) <= AROUND).collect()
-    by_key: dict[str, list] = {}
-    for r in sorted(around, key=lambda r: (r["_key"], r["_at"])):
-        by_key.setdefault(r["_key"], []).append(r)
-    last, chosen = [], []
-    for k, (e, room) in edge.items():
-        rows = by_key[k]
-        cut = None
-        if rows[0]["_at"] > 1:  # all before the second of these are taken
-            cut, room = rows[0]["_rank"], room - rows[0]["_run"]
-            rows = rows[1:]
-        last.append((k, e, cut))
-        chosen += [(k, rows[i]["_rank"], rows[i]["_id"]) for i in nearest_subset([r["_size"] for r in rows], room)]
-
-    # draws: every block in the whole passes, and those up to the boundary in the last
-    last_df = _small(spark.createDataFrame(last, "_key string, _edge int, _cut long"), len(last))
-    draws = blocks.join(last_df, "_key", "left").select("_key", "_block", F.explode(F.expr("transform(sequence(0, _passes), p -> p)")).alias("_pass"), "_passes", "_edge", "_rest")
-    draws = draws.where("_pass < _passes or (_rest > 0 and _block <= coalesce(_edge, 2147483647))")
-    per_source = Window.partitionBy("_key").orderBy(F.xxhash64(F.lit(seed + 1), "_pass", "_block"), "_pass", "_block")
-    draws = materialize(draws.withColumn("_n", F.row_number().over(per_source) - 1), "mix")
-    counts = {r["_key"]: r["n"] for r in draws.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).collect()}
-    keys = [p[0] for p in plan if p[0] in counts]
-    total = sum(counts.values())
-    shards = min(max_shards, max(1, -(-total // draws_per_shard)))
-    quotas = split_quotas(np.array([counts[k] for k in keys], dtype=np.int64), shards, np.random.default_rng(seed))
-    starts = np.vstack([np.zeros((1, len(keys)), dtype=np.int64), np.cumsum(quotas, axis=0)]) if keys else np.zeros((shards + 1, 0), dtype=np.int64)
-    runs = [(k, s, int(starts[s, i]), int(starts[s + 1, i]) - 1) for i, k in enumerate(keys) for s in range(shards) if quotas[s, i]]
-    run_df = spark.createDataFrame(runs, "_key string, _shard int, _lo int, _hi int")
-    dealt = draws.join(run_df.select("_key", "_shard", F.explode(F.sequence("_lo", "_hi")).alias("_n")), ["_key", "_n"])
-    by_block = dealt.groupBy("_key", "_block").agg(F.sort_array(F.collect_list(F.struct("_pass", "_shard"))).alias("_draws"))
-
-    small = _small(sources.select("_key", "_source_size", "_target", "_passes", "_bits").join(last_df, "_key", "left"), len(plan))
-    out = full.join(small, "_key").withColumns({"_block": block, "_rank": rank})
-    out = out.join(by_block.select(F.col("_key").alias("_k"), F.col("_block").alias("_b"), "_draws"), (F.col("_key") == F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
-    picked = spark.createDataFrame(sorted(set(chosen)), "_pk string, _pr long, _pi string").withColumn("_picked", F.lit(True))
-    out = out.join(_small(picked, len(chosen)), (F.col("_key") == F.col("_pk")) & (F.col("_rank") == F.col("_pr")) & F.col("_id").eqNullSafe(F.col("_pi")), "left")
-    in_last = F.expr("_edge is null or _block < _edge or coalesce(_block = _edge and _rank <= _cut, false) or _picked is not null")
-    drawn = F.coalesce("_draws", F.expr("cast(array() as array<struct<_pass:int,_shard:int>>)"))
-    picks = F.filter(drawn, lambda d: (d["_pass"] < F.col("_passes")) | in_last)
-    return out.select("_row.*", F.col("_size").alias("mix_size"), F.col("_source_size").alias("mix_source_size"), F.col("_target").alias("mix_target"), picks.alias("mix_picks"))
+    docs = docs.select(*[column(c) for c in docs.columns if c not in OUTPUT])
+    out, _ = _picked(docs, id_col, text_col, source_col, weights, seed, docs_per_block, draws_per_shard, max_shards, strata, carry)
+    return out.select("_row.*", F.col("_size").alias("mix_size"), F.col("_source_size").alias("mix_source_size"), F.col("_target").alias("mix_target"), F.col("_picks").alias("mix_picks"))
 
 
-def mixed(docs: DataFrame, seed: int = 7, partitions: int | None = None, **names) -> DataFrame:
-    """The mix as rows with the columns of ``docs``: a document comes as often as it is taken.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, seed: int = 7, docs_per_block: int = 16, draws_per_shard: int = 256, max_shards: int = 4096, strata: int = 1024, partitions: int | None = None) -> DataFrame:
+    """The mix as rows with all columns of ``docs``, whatever their names: a document comes as often as it is taken.
 
-    Rows of a shard lie together, in an order shuffled by a seeded hash.
+    Nulls, empty texts and repeated rows are as in ``mix``. Rows of a shard lie together, in an order shuffled by a seeded hash, and shards
+    are dealt to partitions evenly and in order.
     """
-    names_ = [c for c in docs.columns if c not in OUTPUT]
-    out = mix(docs, seed=seed, **names)
-    taken = out.select(F.struct(*[F.col(f"`{c}`") for c in names_]).alias("_row"), F.col(f"`{names.get('id_col', 'doc_id')}`").alias("_id"), F.explode("mix_picks").alias("_pick"))
-    taken = taken.select("_row", F.col("_pick._shard").alias("_shard"), F.xxhash64(F.lit(seed + 2), "_pick", "_id").alias("_at"))
+    out, shards = _picked(docs, id_col, text_col, source_col, weights, seed, docs_per_block, draws_per_shard, max_shards, strata, None)
+    taken = out.select("_row", "_set", "_j", F.explode("_picks").alias("_pick"))
+    taken = taken.select("_row", F.col("_pick._shard").alias("_shard"), F.xxhash64(F.lit(seed + 2), "_pick", "_set", "_j").alias("_at"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return taken.repartition(n, "_shard").sortWithinPartitions("_shard", "_at").select("_row.*")
+    part = F.floor(F.col("_shard") * n / shards) if shards >= n else F.col("_shard")
+    return taken.repartitionById(min(n, shards), part.cast("int")).sortWithinPartitions("_shard", "_at").select("_row.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken; also copies and the first shard."""
-    out = mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=[F.col("doc_id")])
     return out.select(
         "doc_id",
         F.col("mix_size").alias("size"),

@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import odd
@@ -68,7 +68,7 @@ def test_mix_of_odd_rows(spark):
     want = mixing.source_targets(sizes)
     assert all(r.mix_target == pytest.approx(want[r.source]) and r.mix_source_size == sizes[r.source] for r in rows)
     again = mixing.mixed(docs)
-    assert again.columns == [c for c in docs.columns if c not in mixing.OUTPUT]
+    assert again.columns == docs.columns
     assert again.count() == sum(len(r.mix_picks) for r in rows)
     assert mixing.mix(odd.empty(spark)).count() == 0 and mixing.mixed(odd.empty(spark)).count() == 0
 
@@ -95,9 +95,63 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark):
     assert max(len(x) for x in shards.values()) >= 5
 
 
-def test_too_many_sources(spark):
-    with pytest.raises(ValueError):
-        mixing.mix(odd.documents(spark), max_sources=2)
+def per_source(rows):
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        taken[r.source] += r.mix_size * len(r.mix_picks)
+        target[r.source] = r.mix_target
+    return taken, target
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i % 5, lambda i: None if i % 2 else i])
+def test_targets_with_null_and_repeated_ids(spark, ids):
+    """Rows without an id, with one id, and alike in id and text: all sources come near their targets, and reruns agree."""
+    rows = [(ids(i), f"{'w ' * (10 + i % 31)}{i % 200}", "en", "abc"[i % 3]) for i in range(900)] + [(ids(0), "same text here", "en", "c")] * 300
+    docs = odd.documents(spark, rows)
+    first = mixing.mix(docs).collect()
+    assert len(first) == len(rows)
+    taken, target = per_source(first)
+    assert all(abs(taken[s] - target[s]) <= max(3, 0.002 * target[s]) for s in target), (taken, target)
+    counted = lambda rows: sorted(str((r.doc_id, r.text, r.source, r.mix_picks)) for r in rows)
+    assert counted(first) == counted(mixing.mix(docs.repartition(7)).collect())
+
+
+def test_any_number_of_sources(spark, monkeypatch):
+    """Targets of a table of sources in several tasks, and strata of hashed sources, against the plain version."""
+    monkeypatch.setattr(mixing, "ROWS_PER_TASK", 100)
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(0, 60), "en", rng.choice([f"s{rng.randrange(700)}", "big", None])) for i in range(4000)]
+    got = mixing.mix(odd.documents(spark, rows), strata=16).collect()
+    sizes = defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    taken, target = per_source(got)
+    assert target == mixing.source_targets(sizes)
+    far = [abs(taken[s] - target[s]) for s in target]
+    # a source of a few documents can't come nearer than they allow
+    assert sum(far) < 0.03 * sum(target.values()) and abs(taken["big"] - target["big"]) < 5 and abs(taken[None] - target[None]) < 5
+    assert all(len(r.mix_picks) <= 3 for r in got)
+    shards = Counter(p["_shard"] for r in got for p in r.mix_picks)
+    assert sorted(shards) == list(range(len(shards)))
+
+
+def test_large_sums_are_counted_in_units(monkeypatch):
+    monkeypatch.setattr(mixing, "SUM_BITS", 1000)
+    rng = random.Random(3)
+    sizes = [rng.randrange(10**6, 10**7) for _ in range(40)]
+    room = sum(sizes) // 2
+    picked = mixing.nearest_subset(sizes, room)
+    assert abs(sum(sizes[i] for i in picked) - room) <= 41 * (1 + sum(sizes) // 1000) / 2 + 1
+
+
+def test_a_mix_keeps_all_columns(spark):
+    docs = odd.clashing(spark)
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert all(r["mix_size"].startswith("mix_size of") and r["a.b"].startswith("a.b of") for r in out.collect())
+    assert mixing.mixed(docs.limit(0)).count() == 0
+    one = mixing.mixed(odd.documents(spark, [(5, "one two", "en", "x")])).collect()
+    assert [r.doc_id for r in one] == [5]
 
 
 @given(st.lists(st.integers(1, 64), max_size=300), st.integers(1, 10))
