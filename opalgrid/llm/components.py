@@ -18,16 +18,16 @@ def _least_neighbour(links: DataFrame) -> DataFrame:
     return links.withColumn("k", F.bitwise_not("u")).join(least, "k").select("u", "v", "m")
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a long, b long); the component is its least node.
 
     Alternating large-star and small-star steps, each written to the shared folder, until none changes a
-    link. A node linked only with itself is its own component. Nulls are ignored; no links give no rows.
+    link; their number grows with the logarithm of the size of a component. A node linked only with itself is its own component. Nulls are ignored; no links give no rows.
     """
     both = links.select(F.col(links.columns[0]).cast("long").alias("a"), F.col(links.columns[1]).cast("long").alias("b")).where("a is not null and b is not null")
     current = materialize(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    while True:
         proper = current.where("u <> v")
         all_ = proper.unionByName(proper.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbour(all_).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -36,13 +36,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = _least_neighbour(own)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         current = materialize(small.where("u <> v").distinct(), "links")
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") / F.lit(2.0**32)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        state = (state[0], state[2])
+        state = tuple(current.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first())
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     lone = both.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))

@@ -7,12 +7,13 @@
 3. Rows are dealt by band key. Within a bucket, the share of equal low bits, corrected for chance
    collisions, estimates similarity by bit counts. A breadth-first search over estimates of at least
    ``MARGIN`` gives a spanning forest: one row per member at most, however large the bucket.
-   Buckets with very many members are found by a sketch and linked to their least id instead, without estimates.
+   Buckets with very many members are found by a sketch and taken for families, whose estimates step 5 makes in blocks.
 4. Components of these links are families. Every pair that shares a bucket and whose estimate reaches
    ``MARGIN`` lies in one family. A small family goes to one task, with its full sets, which searches
    breadth-first over exact similarities, so that no pair is left untested unless it is connected already.
 5. In a large family, the member with most estimated links is the hub, and all others are compared with it, block by
-   block. Those that it links are connected; each of the rest is compared with all, by pairs of blocks.
+   block; then a next hub takes what is left, as long as hubs link much. What is not linked by then meets all others by
+   signature, in pairs of blocks, and full sets only where an estimate reaches ``MARGIN``.
    Components of the exact links are the result.
 
 A pair of similarity 0.75 is missed if no band agrees (chance (1 - 0.75**4)**36 = 1e-6) or if its estimate, of
@@ -30,16 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import materialize, read_table, small_batches
+from .store import column, materialize, read_table, small_batches
 
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 36, 4
 MINIMA = 192
 MARGIN = 0.55
-#: Members of a family that a task compares with each other, or with as many others.
-BLOCK = 256
-#: Above this size, the members of a bucket are linked in a row without estimates: the exact step decides.
+#: Members of a family that a task compares with each other, or with as many others, by full sets, and by signatures.
+BLOCK, WIDE_BLOCK = 256, 4096
+#: Above this size, the members of a bucket are taken for one family, whose signatures are compared in blocks instead.
 LARGEST_BUCKET = 20_000
 #: Band keys that are looked for as hot ones, and how many the sketch tracks for that.
 HOT_KEYS, TRACKED_KEYS = 1000, 20_000
@@ -137,45 +138,54 @@ def _spanning(signatures: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _exact_links(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray, core: np.ndarray) -> list[tuple[int, int]]:
+def _exact_links(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     """Pairs that connect what exact similarities connect.
 
-    Where there are two sides, only pairs across them count. Members of the core are known to be connected.
+    Members with one label are known to be connected. Where there are two sides, only pairs across them count. No pair is left untested
+    unless it is connected already or its estimate is below MARGIN.
     """
-    left, out = np.arange(len(sets)), []
+    root, out = np.unique(label, return_inverse=True)[1], []
     across = bool((side != side[0]).any())
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            if core[x]:  # all of the core is reached with one
-                more = core[left]
-                queue += left[more].tolist()
-                left = left[~more]
-            try_ = estimates(signatures[x], signatures[left]) >= MARGIN
-            if across:
-                try_ &= side[left] != side[x]
-            hit = np.zeros(len(left), bool)
-            for i in np.flatnonzero(try_).tolist():
-                hit[i] = similar(sets[x], sets[left[i]])
-                if hit[i] and core[left[i]] and not core[x]:
-                    try_core = core[left]
-                    out.append((x, int(left[i])))
-                    queue += left[try_core].tolist()
-                    hit[:] = hit & ~try_core
-                    found = left[hit].tolist()
-                    out += [(x, y) for y in found]
-                    queue += found + [x]  # the rest of its pairs is tested when it comes again
-                    left = left[~(hit | try_core)]
-                    break
-            else:
-                found = left[hit].tolist()
-                left = left[~hit]
-                out += [(x, y) for y in found]
-                queue += found
+    for x in range(len(sets) - 1):
+        try_ = root[x + 1 :] != root[x]
+        if across:
+            try_ &= side[x + 1 :] != side[x]
+        if not try_.any():
+            continue
+        try_[try_] = estimates(signatures[x], signatures[x + 1 :][try_]) >= MARGIN
+        for y in (np.flatnonzero(try_) + x + 1).tolist():
+            if root[y] != root[x] and similar(sets[x], sets[y]):
+                out.append((x, y))
+                root[root == root[y]] = root[x]
     return out
 
 
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, id, side, label, block, bits, component) in group order to (component, lo, hi, id): the pairs of blocks for which a
+    member has to be compared, as it has a partner there of another label by estimate."""
+    for table, cuts, _ in _runs(batches):
+        ids, side, label, block = (table.column(i).to_numpy() for i in (1, 2, 3, 4))
+        bits = planes(table.column(5).to_pylist())
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own, s, b, sig = label[lo:hi], side[lo:hi], block[lo:hi], bits[lo:hi]
+            across = bool((s != s[0]).any())
+            if (own == own[0]).all():
+                continue
+            kinds, b = np.unique(b, return_inverse=True)
+            meets = np.zeros((hi - lo, len(kinds)), bool)  # whether a member has a partner in a block
+            for x in range(hi - lo - 1):
+                try_ = own[x + 1 :] != own[x]
+                if across:
+                    try_ &= s[x + 1 :] != s[x]
+                near = np.flatnonzero(try_)
+                near = near[estimates(sig[x], sig[x + 1 :][near]) >= MARGIN] + x + 1
+                meets[x, b[near]] = True
+                meets[near, b[x]] = True
+            component, (x, other) = table.column(6)[lo].as_py(), np.nonzero(meets)
+            rows = zip(kinds[np.minimum(b[x], other)].tolist(), kinds[np.maximum(b[x], other)].tolist(), ids[lo + x].tolist(), strict=True)
+            yield _columns([(component, *r) for r in rows], [pa.int64(), pa.int32(), pa.int32(), pa.int64()], ["component", "lo", "hi", "id"])
+
+
 def _columns(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
@@ -274,20 +284,20 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, id, side, core, set, bits) in group order to exact links."""
+    """Rows (group, id, side, label, set, bits) in group order to exact links."""
     for table, cuts, _ in _runs(batches):
         rows = []
-        ids, side, core = table.column(1).to_pylist(), table.column(2).to_numpy(), table.column(3).to_numpy()
+        ids, side, label = table.column(1).to_pylist(), table.column(2).to_numpy(), table.column(3).to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column(4).to_pylist()]
         bits = planes(table.column(5).to_pylist())
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            rows += [(ids[lo + i], ids[lo + j]) for i, j in _exact_links(sets[lo:hi], bits[lo:hi], side[lo:hi], core[lo:hi])]
+            rows += [(ids[lo + i], ids[lo + j]) for i, j in _exact_links(sets[lo:hi], bits[lo:hi], side[lo:hi], label[lo:hi])]
         yield _columns(rows, [pa.int64(), pa.int64()], ["a", "b"])
 
 
 def _compared(grouped: DataFrame, partitions: int) -> DataFrame:
-    """The exact links within each group of rows (group, id, side, core, set, bits)."""
-    grouped = grouped.select("group", "id", "side", "core", "set", "bits")
+    """The exact links within each group of rows (group, id, side, label, set, bits)."""
+    grouped = grouped.select("group", "id", "side", "label", "set", "bits")
     return grouped.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_family_links, "a long, b long")
 
 
@@ -310,30 +320,38 @@ def _likely_links(reps: DataFrame, partitions: int) -> DataFrame:
 def _large_family_links(sets: DataFrame, likely: DataFrame, partitions: int) -> DataFrame:
     """Exact links of families of several blocks; ``sets`` has (id, set, component, _blocks, _block, bits)."""
     ends = likely.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    light = sets.select("id", "component")
-    hubs = materialize(light.join(ends, "id").groupBy("component").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("hub")).select(F.bitwise_not("component").alias("k"), "hub"), "near")
-    found = sets.withColumn("k", F.bitwise_not("component")).join(hubs, "k")
-    hub_rows = found.where("id = hub").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("side", F.lit(1))
-    star = found.where("id <> hub").withColumn("side", F.lit(0)).unionByName(hub_rows)
-    star = star.withColumns({"group": F.xxhash64("component", F.lit("hub"), "_block"), "core": F.lit(False)})
-    first = materialize(_compared(star, partitions), "near")
-
-    # the linked are the core; each of the rest is compared with the core and the rest, a pair of blocks at a time
-    linked = first.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.col("id").alias("_linked"))
-    kinds = light.join(linked, F.col("id") == F.col("_linked"), "left").select("id", "component", F.col("_linked").isNotNull().alias("core"))
-    counts = kinds.groupBy("component").agg(F.sum(F.col("core").cast("int")).alias("n_core"), F.sum((~F.col("core")).cast("int")).alias("n_rest")).where("n_rest > 0")
-    counts = counts.select(F.bitwise_not("component").alias("k"), F.ceil(F.col("n_core") / BLOCK).cast("int").alias("cores"), F.ceil(F.col("n_rest") / BLOCK).cast("int").alias("rests"))
-    kinds = materialize(kinds.withColumn("k", F.bitwise_not("component")).join(counts, "k").drop("k", "component"), "near")
-    rows = sets.drop("_blocks", "_block").join(kinds, "id")
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("core"), F.greatest("cores", F.lit(1))).otherwise(F.col("rests"))).cast("int")
-    rows = rows.withColumn("own", own)
-    # a block of the core meets each block of the rest; a block of the rest meets all blocks of both
-    with_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: F.struct(F.when(F.col("core"), i).otherwise(F.least("own", i)).alias("i"), F.when(F.col("core"), F.col("own")).otherwise(F.greatest("own", i)).alias("j"), F.col("core").alias("mixed")))
-    with_core = F.when(~F.col("core") & (F.col("cores") > 0), F.transform(F.sequence(F.lit(0), F.greatest(F.col("cores"), F.lit(1)) - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(True).alias("mixed")))).otherwise(F.expr("cast(array() as array<struct<i:int,j:int,mixed:boolean>>)"))
-    rows = rows.withColumn("g", F.explode(F.concat(with_rest, with_core)))
-    side = F.when(F.col("g.mixed"), F.col("core").cast("int")).otherwise(F.col("own"))
-    rows = rows.withColumns({"group": F.xxhash64("component", "g"), "side": side})
-    return first.unionByName(_compared(rows, partitions))
+    rest = materialize(sets.select("id", "component").join(ends, "id"), "near")
+    links, left = None, rest.count()
+    while True:
+        # the member with most likely links is the hub, and all that are not linked yet are compared with it
+        hubs = rest.groupBy("component").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("hub")).select(F.bitwise_not("component").alias("k"), "hub")
+        hubs = materialize(hubs, "near")
+        found = sets.join(rest.select("id"), "id", "left_semi").withColumn("k", F.bitwise_not("component")).join(hubs, "k")
+        hub_rows = found.where("id = hub").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("side", F.lit(1))
+        star = found.where("id <> hub").withColumn("side", F.lit(0)).unionByName(hub_rows)
+        star = materialize(_compared(star.withColumns({"group": F.xxhash64("component", F.lit("hub"), "_block"), "label": F.col("id")}), partitions), "near")
+        links = star if links is None else links.unionByName(star)
+        linked = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        rest = materialize(rest.join(linked, "id", "left_anti"), "near")
+        before, left = left, rest.count()
+        # another round while one links a tenth of what is left
+        if not left or 10 * (before - left) < before:
+            break
+
+    # what is linked has a label in common; members of other labels are compared by signatures, in pairs of wide blocks, ...
+    labels = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("label"))
+    members = materialize(sets.select("id", "component", "_blocks", "_block", "bits").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "near")
+    wide = F.ceil(F.col("_blocks") * BLOCK / WIDE_BLOCK).cast("int")
+    dealt = members.withColumn("_wides", wide).withColumn("_wide", F.pmod(F.xxhash64("id", F.lit(2)), F.col("_wides")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_wides") - 1)))
+    dealt = dealt.withColumn("group", F.xxhash64("component", F.least("_wide", "_other"), F.greatest("_wide", "_other")))
+    side = F.when(F.col("_wide") == F.col("_other"), 0).otherwise((F.col("_wide") > F.col("_other")).cast("int"))
+    dealt = dealt.select("group", "id", side.alias("side"), "label", F.col("_block").alias("block"), "bits", "component").repartition(partitions, "group").sortWithinPartitions("group")
+    pairs = dealt.mapInArrow(_candidates, "component long, lo int, hi int, id long").distinct()
+    # ... and full sets go only where a member has a likely partner of another label
+    rows = pairs.select("component", "lo", "hi", "id").join(members.select("id", "label", "_block"), "id").join(sets.select("id", "set", "bits"), "id")
+    rows = rows.withColumns({"group": F.xxhash64("component", "lo", "hi"), "side": ((F.col("lo") < F.col("hi")) & (F.col("_block") == F.col("hi"))).cast("int")})
+    return links.unionByName(_compared(rows, partitions))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,13 +359,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are lower-cased (A-Z) runs without ASCII white space. Texts with fewer than five words are one
     shingle; texts without words, null texts too, have none and are linked with nothing. Rows that repeat an id
-    count as one node of the graph. A null id is never a ``component_id`` of others: such a row gets the
+    count as one node of the graph; texts of any length are taken whole. A null id is never a ``component_id`` of others: such a row gets the
     component of its class of equal sets, or null, and is kept in the latter case. An empty table gives an
     empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    texts = docs.select(column(id_col).cast("long").alias("_id"), column(text_col).alias("_text"))
     signed = materialize(texts.mapInArrow(_signed, "doc_id long, n_shingles long, class binary, bits binary, bands array<long>"), "near")
     # a class of equal sets is represented by its least id
     classes = materialize(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "near")
@@ -368,7 +386,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = texts.join(members.join(bits, "_id"), "_id").dropDuplicates(["_id"])
     work = work.select("_id", "_text", "component", "_blocks", "_block", "bits")
     sets = materialize(work.mapInArrow(_full_sets, "id long, set binary, component long, _blocks int, _block int, bits binary"), "near")
-    small = sets.where("_blocks = 1").withColumns({"group": F.col("component"), "side": F.lit(0), "core": F.lit(False)})
+    small = sets.where("_blocks = 1").withColumns({"group": F.col("component"), "side": F.lit(0), "label": F.col("id")})
     links = _compared(small, n)
     large = sets.where("_blocks > 1")
     if not large.isEmpty():
@@ -386,11 +404,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but for those whose component has a smaller id, with the columns of ``docs``.
 
-    Rows that repeat a kept id all stay: they are the same document to this operator. Rows without an id stay too.
+    Rows that repeat a kept id all stay: they are the same document to this operator. Rows without an id stay too, and those with null and
+    empty texts. Columns pass through whatever their names. An empty table gives an empty result.
     """
     dropped = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__opal_gone")).distinct()
     dropped = materialize(dropped, "near")
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("__opal_gone"), "left_anti")
+    return docs.join(dropped, column(id_col).cast("long") == F.col("__opal_gone"), "left_anti")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:

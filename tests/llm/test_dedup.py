@@ -205,10 +205,11 @@ def test_digest_column(spark, tiny):
     assert all(r.text_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
 
 
-@pytest.mark.parametrize("block, largest", [(8, 20_000), (40, 30), (256, 10)])
-def test_near_duplicates_with_large_families_and_hot_buckets(spark, monkeypatch, block, largest):
+@pytest.mark.parametrize("block, wide, largest", [(8, 20, 20_000), (40, 4096, 30), (256, 4096, 10), (4, 30, 10)])
+def test_near_duplicates_with_large_families_and_hot_buckets(spark, monkeypatch, block, wide, largest):
     """Families over many blocks, and band keys that count as hot: no link is lost."""
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "WIDE_BLOCK", wide)
     monkeypatch.setattr(near_dup, "LARGEST_BUCKET", largest)
     rng = random.Random(8)
     rows = variants(4, 100)
@@ -218,6 +219,13 @@ def test_near_duplicates_with_large_families_and_hot_buckets(spark, monkeypatch,
         for _ in range(rng.randrange(0, 5)):
             words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
         rows.append((1000 + i, " ".join(words), "en", "s"))
+    # families of several clusters, with pairs a little above and below the threshold
+    for i in range(120):
+        words = [f"c{k}" for k in range(60)]
+        at = 6 * (i % 5)
+        words[at : at + 4 + i % 3] = [f"d{i % 5}{k}" for k in range(4 + i % 3)]
+        words[40 + i % 7] = f"e{i}"
+        rows.append((2000 + i, " ".join(words), "en", "s"))
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(odd.documents(spark, rows)).collect())
     assert got == brute_force(rows)
 
