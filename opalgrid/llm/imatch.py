@@ -1,12 +1,14 @@
 """Document fingerprints by I-Match over randomised lexicons.
 
-Terms are counted by documents over the whole corpus, in a table of hashed slots of fixed size. The lexicon is
-the slots whose inverse document frequency, as a share of that of a term of one document, lies within
-``BAND``; it reaches the executors as one bit per slot. A fingerprint is the hashes of a text's sorted distinct lexicon terms
+Terms are counted by documents over the whole corpus, each by its 64-bit hash. The lexicon is the terms whose inverse document
+frequency, as a share of that of a term of one document, lies within ``BAND``. A fingerprint is the hashes of a text's sorted distinct lexicon terms
 that fall into each of ``len(SEEDS) * LEVELS + 1`` subsets of the lexicon: the whole one, and for each seed nested random halves,
 quarters and so on, so that some subset holds a few terms of any text, short or long. Texts without
 a term of the lexicon are represented by all their terms.
 
+A lexicon of up to ``BROADCAST_TERMS`` terms is broadcast. Of a larger one, each task gets the terms that occur in its own documents, by a
+join; the fingerprints are the same.
+
 Likeness of two fingerprints is an estimate of the resemblance of the term sets: how often subsets
 agree tells the size of the sets' difference, how often both are empty that of their union.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,9 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize, read_table, small_batches
+from .store import column, materialize, read_table, small_batches
 
-SLOTS = 1 << 22
+#: Terms of a lexicon that is broadcast, at most: 64 MB.
+BROADCAST_TERMS = 1 << 23
+#: Hashes that a task holds before it counts them.
+COUNTED = 1 << 22
 BAND = (0.1, 0.95)
 SEEDS = (11, 23, 37, 41, 59, 67, 83)
 LEVELS = 13
@@ -36,15 +42,25 @@ _SALTS = np.array([xxhash.xxh64_intdigest(str(s)) for s in SEEDS], np.uint64)
 
 
 class Terms(dict):
-    """64-bit hashes of terms by word as written; emptied at ``most`` words. Words without letters or digits have 0."""
+    """64-bit hashes of terms by word as written; emptied at ``most`` words. Words without letters or digits have 0.
+
+    The lowest bit tells whether the term is in the lexicon, sorted hashes without that bit.
+    """
 
     most = 400_000
 
+    def __init__(self, lexicon: np.ndarray | None = None) -> None:
+        self.lexicon = np.zeros(0, np.uint64) if lexicon is None else lexicon
+
     def __missing__(self, word: str) -> int:
         if len(self) > self.most:
             self.clear()
-        term = word.lower().strip(_STRIP)
-        found = self[word] = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) | 1 if term else 0
+        term, found = word.lower().strip(_STRIP), 0
+        if term:
+            found = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) & ~1 or 2
+            at = self.lexicon.searchsorted(np.uint64(found))
+            found |= int(at < len(self.lexicon) and self.lexicon[at] == found)
+        self[word] = found
         return found
 
 
@@ -85,45 +101,43 @@ def edited_hashes(head: str, own: np.ndarray, tail: str, other: np.ndarray, term
     return np.concatenate([own[: len(a) - 1], look(seam), middle, look(seam_end)])
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(42)).astype(np.int64)  # 22 leading bits
-
-
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(slot, n): in how many documents each slot occurs; slot -1 has the number of documents."""
+    """(term, n): in how many documents each term occurs, by its hash; term 0 has the number of documents."""
     small_batches(docs.sparkSession)
 
+    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, counts, n = Terms(), np.zeros(SLOTS, np.int32), 0
+        terms, held, size = Terms(), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts[np.unique(slots(term_hashes(text or "", terms)))] += 1
-                n += 1
-        found = np.flatnonzero(counts)
-        for lo in range(0, len(found), 100_000):
-            part = found[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], names=["slot", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], names=["slot", "n"])
+                held += [np.zeros(1, np.uint64), term_hashes(text or "", terms)]
+                size += len(held[-1]) + 1
+                if size > COUNTED:
+                    yield counts(held)
+                    held, size = [], 0
+        if held:
+            yield counts(held)
+
+    return docs.select(column(text_col).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
 
+def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
+    """(term): the terms of the band. Null and empty texts have no terms but count as documents; texts of any length count once.
 
-def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> np.ndarray:
-    """One bit per slot: whether it is in the band. What the driver gets is ``SLOTS`` slots at most."""
+    A term of one document is never in the band. An empty table gives an empty lexicon.
+    """
     counted = materialize(document_frequencies(docs, text_col), "imatch")  # used twice
-    total = counted.where("slot = -1").agg(F.sum("n")).first()[0] or 0
+    total = counted.where("term = 0").agg(F.sum("n")).first()[0] or 0
     share = F.log(total / F.col("n")) / float(np.log(max(total, 2)))
-    kept = counted.where((F.col("slot") >= 0) & (F.col("n") > 1) & share.between(*band)).select("slot").toArrow()
-    bits = np.zeros(SLOTS, np.uint8)
-    bits[kept.column(0).to_numpy()] = 1
-    return np.packbits(bits)
+    return materialize(counted.where((F.col("term") != 0) & (F.col("n") > 1) & share.between(*band)).select("term"), "imatch")
 
 
-def fingerprint(hashes: np.ndarray, lexicon_bits: np.ndarray) -> str:
+def fingerprint(hashes: np.ndarray) -> str:
     """The subset hashes of sorted distinct terms, as text."""
-    at = slots(hashes)
-    inside = (lexicon_bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-    own = hashes[inside.astype(bool)]
+    own = hashes[(hashes & np.uint64(1)).astype(bool)]
     if not len(own):
         own = hashes
     out = [xxhash.xxh3_64_hexdigest(own.tobytes())[:HEX]]
@@ -171,21 +185,76 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_neighbours(docs: DataFrame, lexicon_bits: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and likenesses to it and to the next document.
+def _neighbours(batches: Iterator[pa.RecordBatch], terms: Terms) -> Iterator[list[tuple]]:
+    """(part, id, text, its word hashes, the next text, its word hashes) of rows (id, text, part, copy) in order, batch by batch.
 
-    Documents are dealt by ranges of ids. A range's last document needs the first of the next range, and the
+    A copy is the first document of the next part, which comes last and is only a neighbour.
+    """
+    held: tuple | None = None
+    for batch in batches:
+        out = []
+        for doc, text, part, copy in zip(*[c.to_pylist() for c in batch.columns[:4]], strict=True):
+            if copy and (held is None or held[0] != part):
+                continue
+            words = word_hashes(text, terms)
+            if held is not None and held[0] == part:
+                out.append((*held, text, words))
+            held = None if copy else (part, doc, text, words)
+        yield out
+
+
+def _edited_words(own: str, words: np.ndarray, text: str, other: np.ndarray, terms: Terms) -> np.ndarray:
+    half = len(own) // 2
+    return edited_hashes(own[: len(own) - half], words, text[:half], other, terms)
+
+
+def _terms_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, term) of all terms that a part's fingerprints are made of."""
+    terms = Terms()
+    for rows in _neighbours(batches, terms):
+        found: dict[int, list[np.ndarray]] = {}
+        for part, _, own, words, text, other in rows:
+            found.setdefault(part, []).extend((words, other, _edited_words(own, words, text, other, terms)))
+        for part, hashes in found.items():
+            own = distinct(np.concatenate(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, np.int32)), pa.array(own.view(np.int64))], names=["part", "term"])
+
+
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _marked(batches: Iterator[pa.RecordBatch], terms: Terms) -> Iterator[pa.RecordBatch]:
+    marks: dict[str, str] = {}  # of the last text, which is the next row's own
+    for rows in _neighbours(batches, terms):
+        out = []
+        for _, doc, own, words, text, other in rows:
+            fp = marks.get(own) or fingerprint(distinct(words))
+            mark = fp if text == own else fingerprint(distinct(other))
+            marks = {text: mark}
+            changed = fingerprint(distinct(_edited_words(own, words, text, other, terms)))
+            digest = hashlib.sha256(edited(own, text).encode("utf-8", "surrogatepass")).hexdigest()
+            out.append((doc, len(own), digest, fp, changed, likeness(fp, changed), likeness(fp, mark)))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _RESULT.split(", ")])
+
+
+def fingerprint_neighbours(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document's fingerprint over the lexicon ``terms``, that of its edited text, and likenesses to it and to the next document.
+
+    Documents are dealt by ranges of ids, one to a partition. A range's last document needs the first of the next range, and the
     last of all the first of all: the first document of each range goes to the range before it as well. Texts are moved once.
     """
     spark = docs.sparkSession
     small_batches(spark)
     least = -(2**63)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("_at"))
+    id_ = column(id_col).cast("long")
+    rows = docs.select(id_.alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"), F.coalesce(id_, F.lit(least)).alias("_at"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.agg(F.min("_at").alias("first"), F.percentile_approx("_at", [i / n for i in range(n)], 10_000).alias("cuts")).first()
     # each cut is an id that exists: the first of its range
     firsts = np.array(sorted({found["first"], *(found["cuts"] or [])} - {None}), np.int64)
-    shared = spark.sparkContext.broadcast(lexicon_bits)
+    n = max(1, len(firsts))
 
     @F.pandas_udf("array<int>")
     def ranges(at: pd.Series) -> pd.Series:
@@ -195,43 +264,52 @@ def fingerprint_neighbours(docs: DataFrame, lexicon_bits: np.ndarray, id_col: st
         # negative: a copy for the range before, for its last document
         return pd.Series([[int(b), -1 - int((b - 1) % len(firsts))] if f else [int(b)] for b, f in zip(own, first, strict=True)])
 
+    dealt = rows.withColumn("_to", F.explode(ranges("_at")))
+    dealt = dealt.select("doc_id", "text", F.when(F.col("_to") < 0, -1 - F.col("_to")).otherwise(F.col("_to")).alias("_part"), (F.col("_to") < 0).alias("_copy"), "_at")
+    order = ("_part", "_copy", "_at", "text")
+    if terms.count() <= BROADCAST_TERMS:
+        shared = spark.sparkContext.broadcast(np.sort(terms.toArrow().column(0).to_numpy().view(np.uint64)))
+        ordered = dealt.repartitionById(n, "_part").sortWithinPartitions(*order).select("doc_id", "text", "_part", "_copy")
+        return ordered.mapInArrow(lambda batches: _marked(batches, Terms(shared.value)), _RESULT)
+
+    # the lexicon's terms of each part come before its documents
+    dealt = materialize(dealt, "imatch")
+    ordered = dealt.repartitionById(n, "_part").sortWithinPartitions(*order).select("doc_id", "text", "_part", "_copy")
+    own = ordered.mapInArrow(_terms_of_parts, "part int, term long").distinct().join(terms, "term", "left_semi")
+    own = own.groupBy("part", F.pmod("term", F.lit(256)).alias("chunk")).agg(F.collect_list("term").alias("terms"))
+    first = own.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.col("part").alias("_part"), F.lit(False).alias("_copy"), F.lit(least).cast("long").alias("_at"), "terms")
+    both = first.unionByName(dealt.withColumn("terms", F.lit(None).cast("array<long>"))).repartitionById(n, "_part")
+    both = both.sortWithinPartitions("_part", F.col("terms").isNull(), "_copy", "_at", "text").select("doc_id", "text", "_part", "_copy", "terms")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, bits = Terms(), shared.value
-        held: tuple | None = None  # the range, id, text, words and fingerprint of a document that waits for its next
+        held: list[np.ndarray] = []
 
-        def pair(one: tuple, text: str, words: np.ndarray, mark: str) -> tuple:
-            _, doc, own, own_words, fp = one
-            half = len(own) // 2
-            changed = edited(own, text)
-            other = fingerprint(distinct(edited_hashes(own[: len(own) - half], own_words, text[:half], words, terms)), bits)
-            return doc, len(own), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), fp, other, likeness(fp, other), likeness(fp, mark)
+        def documents() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of_terms = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+                chunks = batch.column(4).drop_null()
+                if len(chunks):
+                    held.append(chunks.flatten().to_numpy().view(np.uint64))
+                rest = batch.filter(pa.array(~of_terms))
+                if rest.num_rows:
+                    yield rest
 
-        for batch in batches:
-            out = []
-            for doc, text, part, copy in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if copy and (held is None or held[0] != part):
-                    continue
-                words = word_hashes(text, terms)
-                mark = fingerprint(distinct(words), bits)
-                if held is not None and held[0] == part:
-                    out.append(pair(held, text, words, mark))
-                held = None if copy else (part, doc, text, words, mark)
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        source = documents()
+        first = next(source, None)
+        if first is None:
+            return
+        # a partition is one part: all its terms have come before its first document
+        yield from _marked(chain([first], source), Terms(np.sort(np.concatenate(held)) if held else None))
 
-    dealt = rows.withColumn("_to", F.explode(ranges("_at")))
-    dealt = dealt.select("doc_id", "text", F.when(F.col("_to") < 0, -1 - F.col("_to")).otherwise(F.col("_to")).alias("_part"), (F.col("_to") < 0).alias("_copy"), "_at")
-    dealt = dealt.repartition(n, "_part").sortWithinPartitions("_part", "_copy", "_at", "text").select("doc_id", "text", "_part", "_copy")
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return both.mapInArrow(run, _RESULT)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of all documents and of their edited texts.
 
     Null texts are empty; two texts without any terms are alike by 1. A null id comes first in the order. Rows that repeat an id
-    follow each other by text. The only document of a table is its own next. Extra columns are ignored.
-    An empty table gives an empty result.
+    follow each other by text; rows of one id go to one task. The only document of a table is its own next. Texts of any length are taken whole. Extra columns are
+    ignored, whatever their names. An empty table gives an empty result.
     """
     return fingerprint_neighbours(docs, lexicon(docs, text_col), id_col, text_col)
 
