@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import read_table, small_batches
+from .store import column, read_table, small_batches
 
 BUCKETS = 1 << 18
 DIM = 12
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 3000
+#: The learning rate of vectors, as a multiple of that of the layer.
+VECTOR_RATE = 16
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -46,10 +48,20 @@ class Words:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.hash = np.zeros(0, np.uint64)
-        self.sums, self.counts = np.zeros(0, np.float64), np.zeros(0, np.int64)
+        # of the first ``self.known`` words; there is room for more
+        self.known = 0
+        self.hash, self.sums, self.counts = np.zeros(1024, np.uint64), np.zeros(1024, np.float64), np.zeros(1024, np.int64)
         self.grams: list[np.ndarray] = []
 
+    def _room(self, n: int) -> slice:
+        """Places for ``n`` more words; buffers double, so that each word is copied a few times at most."""
+        new = slice(self.known, self.known + n)
+        if new.stop > len(self.hash):
+            more = max(new.stop, 2 * len(self.hash)) - len(self.hash)
+            self.hash, self.sums, self.counts = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.hash, self.sums, self.counts))
+        self.known = new.stop
+        return new
+
     def look_up(self, words: list[str]) -> np.ndarray:
         if len(self.number) > self.most:
             self.clear()
@@ -79,13 +91,13 @@ class Words:
         gram, own = np.concatenate(grams), np.concatenate(owners)
         gram, own = np.concatenate([_buckets(whole), gram]), np.concatenate([np.arange(len(words)), own])
         counts = np.bincount(own, minlength=len(words))
-        self.hash = np.concatenate([self.hash, whole])
-        self.counts = np.concatenate([self.counts, counts])
+        new = self._room(len(words))
+        self.hash[new], self.counts[new] = whole, counts
         if self.table is None:
             by_word = gram[np.argsort(own, kind="stable")]
             self.grams += np.split(by_word, np.cumsum(counts)[:-1])
         else:
-            self.sums = np.concatenate([self.sums, np.bincount(own, weights=self.table[gram], minlength=len(words))])
+            self.sums[new] = np.bincount(own, weights=self.table[gram], minlength=len(words))
 
     def pairs(self, idx: np.ndarray) -> np.ndarray:
         h = self.hash[idx]
@@ -119,12 +131,16 @@ class Words:
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 6, rate: float = 0.5, dim: int = DIM, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Stochastic gradient descent over (label, features, counts); each bucket's share of the log odds, and the bias."""
+    """Stochastic gradient descent over (label, features, counts); each bucket's share of the log odds, and the bias.
+
+    Without rows both are 0.
+    """
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     layer = rng.uniform(-0.5, 0.5, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     rows = [r for r in rows if len(r[1])]
+    seen = np.zeros(BUCKETS, bool)
     steps, done = epochs * max(1, len(rows)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -141,26 +157,28 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 6, rate: f
             back = layer @ p
             layer -= lr * np.outer(mean, p)
             bias -= lr * 0.1 * p
-            # a feature's step is its share; scaled so that rare but telling features move
-            table[found] -= (lr * 8) * np.outer(np.minimum(share * 8, 1), back)
+            # the gradient of a vector is its feature's share of the text, so vectors have a larger rate than the layer
+            table[found] -= (lr * VECTOR_RATE) * np.outer(share, back)
+            seen[found] = True
+    table[~seen] = 0  # what training never saw says nothing
     return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+    return F.coalesce(F.crc32(column(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Fit on at most ``sample`` labelled rows of ``docs`` outside the held-out fold, those whose seeded hash is least.
 
     Labels are ``quality`` of ``labels`` by ``doc_id``; null labels and ids are left out, of repeated ones
-    the largest counts. Without labelled rows every score is 0.5.
+    the largest counts; of rows that repeat an id each counts. Null and empty texts teach nothing, long ones are read whole. Without labelled rows every score is 0.5.
     """
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), "quality").where("_id is not null and quality is not null")
     known = known.where(~held_out("_id")).groupBy("_id").agg(F.max("quality").alias("_label"))
-    present = docs.select(F.col(id_col).cast("long").alias("_id")).join(known, "_id").groupBy("_id").agg(F.first("_label").alias("_label"))
+    present = docs.select(column(id_col).cast("long").alias("_id")).join(known, "_id").groupBy("_id").agg(F.first("_label").alias("_label"))
     chosen = present.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))], names=["id", "label", "found", "counts"])
 
     # the sample has a fixed number of rows at most
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    texts = docs.select(column(id_col).cast("long").alias("_id"), column(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     table = texts.select("_id", F.col("_label").cast("int"), "_text").mapInArrow(run, "id long, label int, found array<int>, counts array<int>").toArrow()
     rows = sorted(zip(*[table.column(i).to_pylist() for i in (0, 1)], range(table.num_rows), strict=True))
     found, counts = table.column(2).combine_chunks(), table.column(3).combine_chunks()
@@ -178,15 +196,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([(label, at(found, i), at(counts, i)) for _, label, i in rows])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with ``score`` (double, 0 to 1). Null and empty texts get the score of the bias alone.
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", drop: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """``docs`` with ``score`` (double, 0 to 1), or the name in ``out``. Null and empty texts get the score of the bias alone.
 
-    An input column named ``score`` is replaced; all others pass through, but for those in ``drop``. An empty table gives an empty result.
+    Texts of any length are scored whole, equal ones alike; repeated rows are scored one by one. An input column of the result's name is
+    replaced; all others pass through, but for those in ``drop``. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("score")
-    keep = [c for c in docs.columns if c not in drop]
+    keep = [c for c in docs.columns if c not in (*drop, out)]
     table, bias = model
     shared = spark.sparkContext.broadcast(table)
 
@@ -196,15 +214,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
             texts = [t or "" for t in batch.column(text_at).to_pylist()]
             z = np.concatenate([np.zeros(0), *[words.log_odds(texts[i : i + 64]) for i in range(0, len(texts), 64)]]) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept_at], pa.array(p, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept_at], pa.array(p, pa.float64())], names=[*[batch.schema.names[i] for i in kept_at], "score"])
 
     text_at, kept_at = docs.columns.index(text_col), [docs.columns.index(c) for c in keep]
-    return docs.mapInArrow(scores, docs.select(*keep).schema.add("score", "double"))
+    # plain names inside: those of the input may have dots
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(scores, plain.select(*[f"c{i}" for i in kept_at]).schema.add("score", "double")).toDF(*keep, out)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``, with the columns of ``docs``."""
-    return score(docs, train(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` whose score is at least ``threshold``, with all columns of ``docs`` as they are, whatever their names.
+
+    Null and empty texts have the score of the bias; repeated rows stay or go together. Without labels every row stays. An empty table gives an empty result.
+    """
+    out = "__opal_score"
+    return score(docs, train(docs, labels), out=out).where(F.col(out) >= threshold).drop(out)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
