@@ -82,7 +82,9 @@ class Booster:
             self.knots = (np.array([b[0] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks]))
         return self
 
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        """Probabilities of log odds."""
+        return self.knots[1][np.clip(np.searchsorted(self.knots[0], z, "right") - 1, 0, None)]
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0)
-        return self.knots[1][np.clip(np.searchsorted(self.knots[0], self.raw(x), "right") - 1, 0, None)]
+        return self.calibrated(self.raw(x)) if len(x) else np.zeros(0)

@@ -3,7 +3,8 @@
 Generators with high recall propose overlapping spans of four kinds: the base formats, and looser forms of them
 (addresses with "at" and "dot" written out, numbers with other separators or without a plus sign). A base match is
 always redacted. Any other candidate is scored by boosted trees over its format and its context, and redacted where
-the calibrated probability reaches its kind's threshold and it overlaps no base match.
+the calibrated probability reaches its kind's threshold and it overlaps no base match. A kind's threshold is the least with which the
+accepted examples of a calibration fold have a precision of ``PRECISION``, at least ``LEAST_PROBABILITY``; a kind for which none has accepts nothing.
 
 There are no labelled spans, so the trees learn from base matches, as written and rewritten in the looser forms, against
 candidates of the same generators that are none: numbers with wrong check digits, octets or lengths, pieces of longer
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Booster
-from .store import read_table, small_batches
+from .store import column, read_table, small_batches
 
 #: The kinds in their order, and the base formats.
 KINDS = ("email", "ip", "card", "phone")
@@ -57,7 +59,11 @@ LENGTHS = {"card": (12, 19), "phone": (9, 15)}
 #: Rows that the trees are fitted and calibrated on, at most.
 SAMPLE_DOCS = 1500
 SAMPLE_SPANS = 12_000
-THRESHOLD = 0.95
+#: Share of true ones among the examples that a kind's threshold accepts in the calibration fold, how many it takes at least, and
+#: the probability below which nothing is accepted.
+PRECISION = 0.97
+LEAST_ACCEPTED = 20
+LEAST_PROBABILITY = 0.9
 CONTEXT = 24
 _HINTS = {
     "email": ("mail", "contact", "write", "correo", "courriel"),
@@ -84,6 +90,39 @@ class Span:
         return f"{self.kind}:{self.start}:{self.end}"
 
 
+class Ground:
+    """Places that spans take, as disjoint ranges in order."""
+
+    def __init__(self, spans: list[Span] = ()) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s in sorted(spans, key=lambda s: s.start):
+            if self.ends and s.start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], s.end)
+            else:
+                self.starts.append(s.start)
+                self.ends.append(s.end)
+
+    def meets(self, s: Span) -> bool:
+        i = bisect_left(self.starts, s.end) - 1
+        return i >= 0 and self.ends[i] > s.start
+
+    def add(self, s: Span) -> None:
+        """Take the places of a span that meets none."""
+        i = bisect_left(self.starts, s.start)
+        self.starts.insert(i, s.start)
+        self.ends.insert(i, s.end)
+
+
+@dataclass
+class Model:
+    """Trees, the threshold of each kind, and (precision, recall, true ones) of each on a fold that neither saw."""
+
+    booster: Booster
+    thresholds: dict[str, float]
+    tested: dict[str, tuple[float, float, int]]
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -252,13 +291,10 @@ def examples(text: str, seed: int) -> list[tuple[Span, str, int]]:
     """(span, text, label) for training: from base matches, rewritten ones and decoys in their place, and other candidates."""
     rng = random.Random(seed)
     base = base_spans(text)
-    taken = {(s.kind, s.start, s.end) for s in base}
+    taken = {k: Ground([s for s in base if s.kind == k]) for k in KINDS}
     out = [(s, text, 1) for s in base]
-    for s in candidates(text):
-        if (s.kind, s.start, s.end) not in taken:
-            # a piece of a base match of its kind has no label of its own
-            if not any(b.start < s.end and s.start < b.end for b in base if b.kind == s.kind):
-                out.append((s, text, 0))
+    # a piece of a base match of its kind has no label of its own
+    out += [(s, text, 0) for s in candidates(text) if not taken[s.kind].meets(s)]
     for s in base:
         for new, label in ((_rewritten(s.kind, text[s.start : s.end], rng), 1), (_decoy(s.kind, rng), 0)):
             if new is None:
@@ -281,13 +317,29 @@ def examples(text: str, seed: int) -> list[tuple[Span, str, int]]:
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> Booster:
+def chosen_thresholds(kinds: np.ndarray, p: np.ndarray, y: np.ndarray, precision: float = PRECISION, least: int = LEAST_ACCEPTED) -> dict[str, float]:
+    """For each kind the least probability with which the accepted rows are true ones to a share of ``precision``; 2 where none is."""
+    out = {}
+    for i, kind in enumerate(KINDS):
+        own = kinds == i
+        order = np.argsort(-p[own], kind="stable")
+        ps, hits = p[own][order], np.cumsum(y[own][order])
+        n = np.arange(1, len(ps) + 1)
+        # a threshold accepts all rows of its probability
+        last = np.append(ps[1:] != ps[:-1], True) if len(ps) else np.zeros(0, bool)
+        good = last & (hits >= precision * n) & (n >= least) & (ps >= LEAST_PROBABILITY)
+        out[kind] = float(ps[np.flatnonzero(good)[-1]]) if good.any() else 2.0
+    return out
+
+
+def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> Model:
     """Fit on the spans of at most ``sample_docs`` documents that hold a base format, those whose seeded hash is least.
 
-    A fifth of the examples is kept for calibration. Without any, no candidate is ever accepted.
+    Of five parts of the documents, three are for the trees, one for calibration and thresholds, and one to test them. Documents without an id, and those that
+    repeat one, count together. Without examples no candidate is ever accepted.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(column(id_col).cast("string").alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     telling = texts.where(F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]{12}"))
     order = F.xxhash64("id", F.lit(17))
     chosen = telling.select(order.alias("h")).orderBy("h").limit(sample_docs)
@@ -300,39 +352,49 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sampl
     # as many hashes as the sample has documents
     picked = telling.select("text", order.alias("h")).join(F.broadcast(chosen.distinct()), "h").select("text", "h")
     found = picked.mapInArrow(run, "h long, label int, x array<double>").orderBy("h", "label", "x").limit(sample_spans).toArrow()
-    model = Booster()
+    model = Model(Booster(), dict.fromkeys(KINDS, 2.0), {})
     if not found.num_rows:
         return model
     x = np.array(found.column(2).to_pylist(), float)
     y, h = found.column(1).to_numpy().astype(float), found.column(0).to_numpy()
-    kept = h % 5 == 0
-    if not (~kept).any() or len(set(y[~kept])) < 2:
+    calibration, test = h % 5 == 0, h % 5 == 1
+    fitted = ~(calibration | test)
+    if len(set(y[fitted])) < 2 or not calibration.any():
         return model
-    model.fit(x[~kept], y[~kept])
-    return model.calibrate(x[kept], y[kept]) if kept.any() else model
+    model.booster.fit(x[fitted], y[fitted]).calibrate(x[calibration], y[calibration])
+    model.thresholds = chosen_thresholds(x[calibration, 0], model.booster.probability(x[calibration]), y[calibration])
+    p = model.booster.probability(x[test])
+    for i, kind in enumerate(KINDS):
+        own = x[test, 0] == i
+        taken, true = p[own] >= model.thresholds[kind], y[test][own] > 0
+        model.tested[kind] = (float((taken & true).sum() / max(1, taken.sum())), float((taken & true).sum() / max(1, true.sum())), int(true.sum()))
+    return model
 
 
-def all_spans(text: str, model: Booster, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     """Base spans, and those with the accepted candidates, best first where candidates overlap."""
     base = base_spans(text)
-    loose = [c for c in candidates(text) if not any(b.start < c.end and c.start < b.end for b in base)]
+    ground = Ground(base)
+    loose = [c for c in candidates(text) if not ground.meets(c)]
     added: list[Span] = []
-    if loose and model.trees:
-        x = np.array([features(text, c) for c in loose], float)
-        p = model.probability(x)
-        z = model.raw(x)
+    if loose and model.booster.trees:
+        z = model.booster.raw(np.array([features(text, c) for c in loose], float))
+        p = model.booster.calibrated(z)
+        accepted = [i for i, c in enumerate(loose) if p[i] >= model.thresholds[c.kind]]
         # probabilities come in steps: log odds tell within one, and of an address the longest reading stands
-        for i in sorted(np.flatnonzero(p >= threshold).tolist(), key=lambda i: (-p[i], loose[i].start - loose[i].end if loose[i].kind == "email" else 0, -z[i], loose[i].order())):
-            if not any(a.start < loose[i].end and loose[i].start < a.end for a in added):
+        for i in sorted(accepted, key=lambda i: (-p[i], loose[i].start - loose[i].end if loose[i].kind == "email" else 0, -z[i], loose[i].order())):
+            if not ground.meets(loose[i]):
+                ground.add(loose[i])
                 added.append(loose[i])
     return base, sorted(base + added, key=Span.order)
 
 
-def find(docs: DataFrame, model: Booster, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted) for each row of ``docs``.
 
     Counts and the digest are of base spans, ``spans`` has all of them, by start and then kind; places are code points. In
-    ``redacted`` each span is replaced by its kind in brackets. Null texts are empty; extra columns are ignored. An
+    ``redacted`` each span is replaced by its kind in brackets. Null texts are empty, texts of any length are searched whole; null ids pass through, rows that
+    repeat an id are searched one by one; extra columns are ignored, whatever their names. Where spans start at one place, the kinds come in their order. An
     empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -343,14 +405,14 @@ def find(docs: DataFrame, model: Booster, id_col: str = "doc_id", text_col: str
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                base, spans = all_spans(text, shared.value, threshold)
+                base, spans = all_spans(text, shared.value)
                 digest = hashlib.sha256(",".join(map(str, base)).encode()).hexdigest()
                 rows.append((doc, *[sum(s.kind == k for s in base) for k in KINDS], digest, ",".join(map(str, spans)), redact(text, spans)))
             columns = list(zip(*rows, strict=True)) or [()] * 8
             types = [pa.int64()] * 5 + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "redacted"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, redacted string")
 
 
