@@ -401,8 +401,8 @@ def extract(html: str | None) -> str:
 def with_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the visible text of each.
 
-    Null and empty html give empty text, and every row stays, repeated ones too. An input column named ``out`` is replaced, all others pass
-    through. An empty table gives an empty result.
+    Null and empty html give empty text, html of any length is read whole, and every row stays, repeated ones too. An input column named ``out`` is replaced, all
+    others pass through, whatever their names. An empty table gives an empty result.
     """
     small_batches(pages.sparkSession)
     at = pages.columns.index(html_col)
@@ -411,10 +411,11 @@ def with_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(h) for h in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(texts, pa.string())], names=[*[batch.schema.names[i] for i in keep], out])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(texts, pa.string())], names=[*[batch.schema.names[i] for i in keep], "text"])
 
-    kept = pages.select(*[pages.columns[i] for i in keep])
-    return pages.mapInArrow(run, kept.schema.add(out, "string"))
+    # plain names inside: those of the input may have dots
+    plain = pages.toDF(*[f"c{i}" for i in range(len(pages.columns))])
+    return plain.mapInArrow(run, plain.select(*[f"c{i}" for i in keep]).schema.add("text", "string")).toDF(*[pages.columns[i] for i in keep], out)
 
 
 def op8_html_text(spark, sf_dir: str) -> DataFrame:
