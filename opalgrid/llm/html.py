@@ -1,6 +1,7 @@
 """HTML to text by layout: a tree with implied tags, rules of visibility, and a renderer.
 
-All visible text comes out, navigation and footers too. Blocks are on lines of their own, with an empty line where
+All visible text comes out, navigation and footers too. What is hidden is told by tags, the ``hidden`` attribute, closed ``details``, inline styles, and rules
+of ``style`` elements whose selectors are simple (names, classes, ids, without combinators); ``visibility`` is inherited, and may be visible again further in. Blocks are on lines of their own, with an empty line where
 browsers have a margin; lists are marked and indented; the cells of a table are aligned; preformatted text keeps
 its white space. Neither the builder nor the renderer recurses, so depth is bounded by memory alone.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -44,7 +46,61 @@ IMPLIED = {
 }
 SCOPE = frozenset(["table", "td", "th", "caption", "html", "button", "object"])
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
+_SHOWING = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.IGNORECASE)
+_SIMPLE = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][a-z_-][a-z0-9_-]*)*)", re.IGNORECASE)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.DOTALL)
+#: Media of style sheets that hold for what is shown.
+_SHOWN_MEDIA = frozenset(("", "all", "screen"))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a simple selector says of display or visibility; of several, the last of the greatest weight holds."""
+
+    tag: str
+    ids: frozenset[str]
+    classes: frozenset[str]
+    name: str
+    value: str
+    weight: tuple
+
+
+def _declared(style: str) -> list[tuple[str, str, bool]]:
+    return [(n.lower(), v.lower(), bool(i)) for n, v, i in _SHOWING.findall(style)]
+
+
+def style_rules(css: str) -> list[Rule]:
+    """Rules on display and visibility in a style sheet; other at-rules than media of screens, and selectors with combinators, are passed over."""
+    css, out, at = _COMMENT.sub(" ", css), [], 0
+    ends: list[bool] = []  # of the blocks that are open: whether they hold
+    while at < len(css):
+        opening, closing = css.find("{", at), css.find("}", at)
+        if closing >= 0 and (opening < 0 or closing < opening):
+            if ends:
+                ends.pop()
+            at = closing + 1
+            continue
+        if opening < 0:
+            break
+        head = css[at:opening].rsplit(";", 1)[-1].strip()
+        at = opening + 1
+        if head.startswith("@"):
+            name, _, media = head[1:].partition(" ")
+            ends.append(all(ends) and name.lower() in ("media", "supports", "layer") and (name.lower() != "media" or any(m.strip().lower() in _SHOWN_MEDIA for m in media.split(","))))
+            continue
+        end = css.find("}", at)
+        body, at = css[at : end if end >= 0 else len(css)], (end + 1 if end >= 0 else len(css))
+        declared = _declared(body) if all(ends) else ()
+        for selector in head.split(",") if declared else ():
+            found = _SIMPLE.fullmatch(selector.strip())
+            if not found or not selector.strip():
+                continue
+            parts = re.findall(r"([.#])([^.#]+)", found[2])
+            ids, classes = frozenset(v for k, v in parts if k == "#"), frozenset(v for k, v in parts if k == ".")
+            tag = (found[1] or "*").lower()
+            for name, value, important in declared:
+                out.append(Rule(tag, ids, classes, name, value, (important, False, len(ids), len(classes), tag != "*", len(out))))
+    return out
 _PRE = re.compile(r"(?:^|;)\s*white-space\s*:\s*pre", re.IGNORECASE)
 
 
@@ -63,35 +119,36 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
-        self.counts = {"html": 1}
+        self.places: dict[str, list[int]] = {"html": [0]}  # of the open elements of each tag
+        self.css: list[str] = []
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.open))
         self.open.append(node)
-        self.counts[node.tag] = self.counts.get(node.tag, 0) + 1
 
     def _pop(self) -> Node:
         node = self.open.pop()
-        self.counts[node.tag] -= 1
+        self.places[node.tag].pop()
         return node
 
     def _close(self, tags, barrier) -> None:
         """Close the nearest open element of ``tags``, with all in it, unless one of ``barrier`` is nearer."""
-        if not any(self.counts.get(t) for t in tags):
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        if not at:
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in tags:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if tag in barrier:
+        if len(self.open) - at < 16:
+            if any(node.tag in barrier for node in self.open[at + 1 :]):
                 return
+        elif any(self.places.get(t) and self.places[t][-1] > at for t in barrier):
+            return
+        while len(self.open) > at:
+            self._pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
             return
-        if self.counts.get("head") and tag not in HIDDEN and tag not in ("meta", "link", "base", "head"):
+        if self.places.get("head") and tag not in HIDDEN and tag not in ("meta", "link", "base", "head"):
             self._close({"head"}, ())  # content ends the head
         if tag == "body":
             return
@@ -99,7 +156,7 @@ class TreeBuilder(HTMLParser):
             self._close({"p"}, SCOPE)
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
-        if tag in ("td", "th") and self.counts.get("table") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
+        if tag in ("td", "th") and self.places.get("table") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._push(Node("tr"))
         found: dict[str, str | None] = {}
         for k, v in attrs:
@@ -119,12 +176,12 @@ class TreeBuilder(HTMLParser):
 
     def _foreign(self) -> bool:
         """Whether a drawing or a formula is open: there a stroke ends an element."""
-        return bool(self.counts.get("svg") or self.counts.get("math"))
+        return bool(self.places.get("svg") or self.places.get("math"))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
-        if tag == "p" and not self.counts.get("p"):
+        if tag == "p" and not self.places.get("p"):
             self.open[-1].children.append(Node("p"))
         elif tag == "br":
             self.open[-1].children.append(Node("br"))
@@ -134,28 +191,45 @@ class TreeBuilder(HTMLParser):
             self._close({tag}, barrier)
 
     def handle_data(self, data: str) -> None:
-        if self.counts.get("head") and data.strip() and self.open[-1].tag == "head":
+        if self.places.get("head") and data.strip() and self.open[-1].tag == "head":
             self._close({"head"}, ())
-        self.open[-1].children.append(data)
+        last = self.open[-1]
+        if last.tag == "style" and (last.attrs.get("media") or "").strip().lower() in _SHOWN_MEDIA:
+            self.css.append(data)
+        last.children.append(data)
 
 
-def parse(html: str | None) -> Node:
+def parse(html: str | None) -> tuple[Node, list[Rule]]:
+    """The tree of a page, and the rules of its style elements."""
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
-    return builder.root
+    return builder.root, style_rules("\n".join(builder.css)) if builder.css else []
 
 
-def visible(node: Node) -> bool:
-    """Whether an element is shown, by its tag, ``hidden``, ``type=hidden`` and inline style."""
+def declared(node: Node, rules: list[Rule]) -> dict[str, str]:
+    """The display and visibility that styles give an element."""
+    style = node.attrs.get("style")
+    held: dict[str, tuple[tuple, str]] = {}
+    for name, value, important in _declared(style) if style else ():
+        held[name] = max(held.get(name, ((), "")), ((important, True), value))
+    if rules:
+        own, id_ = frozenset((node.attrs.get("class") or "").split()), node.attrs.get("id")
+        for r in rules:
+            if r.tag in ("*", node.tag) and r.classes <= own and (not r.ids or r.ids == {id_}):
+                held[r.name] = max(held.get(r.name, ((), "")), (r.weight, r.value))
+    return {name: value for name, (_, value) in held.items()}
+
+
+def displayed(node: Node, display: str | None) -> bool:
+    """Whether an element has a place on the page, by its tag, ``type=hidden``, what styles give for display, and ``hidden``."""
     if node.tag in HIDDEN and not (node.tag == "dialog" and "open" in node.attrs):
         return False
-    if "hidden" in node.attrs and (node.attrs["hidden"] or "").lower() != "until-found":
-        return False
     if node.tag == "input" and (node.attrs.get("type") or "text").lower() not in ("submit", "button", "reset"):
         return False
-    style = node.attrs.get("style")
-    return not (style and _STYLE.search(style))
+    if display is not None:
+        return display != "none"
+    return "hidden" not in node.attrs or (node.attrs["hidden"] or "").lower() == "until-found"
 
 
 def _width(text: str) -> int:
@@ -236,7 +310,11 @@ class Canvas:
 
 def _span(cell: Node, name: str) -> int:
     raw = (cell.attrs.get(name) or "1").strip()
-    return min(1000, max(1, int(raw))) if raw.isascii() and raw.isdigit() else 1
+    if not (raw.isascii() and raw.isdigit()):
+        return 1
+    # the limits of HTML; a cell over 0 rows goes to the end of its group
+    n = int(raw[:9])
+    return min(1000, max(1, n)) if name == "colspan" else min(65534, n or 65534)
 
 
 def align(rows: list[list[tuple[list[str], int]]]) -> list[str]:
@@ -300,35 +378,39 @@ class _Table:
             self.hanging[-k - 1] = self.hanging.pop(k)
 
 
-def render(root: Node) -> str:
+def render(root: Node, rules: list[Rule] = ()) -> str:
     """The visible text of a tree."""
     canvas, canvases, tables = Canvas(), [], []
     counters: list[list] = []  # of open lists: kind and next number
     pre = 0
+    shown = [True]  # the visibility of open elements
     stack: list[tuple[str, Node | str]] = [("enter", root)]
     while stack:
         step, node = stack.pop()
         if isinstance(node, str):
-            canvas.text(node, pre > 0)
+            if shown[-1]:
+                canvas.text(node, pre > 0)
             continue
         tag = node.tag
         is_pre = tag in ("pre", "textarea", "listing") or bool(node.attrs.get("style") and _PRE.search(node.attrs["style"] or ""))
         if step == "enter":
-            if not visible(node):
+            style = declared(node, rules)
+            if not displayed(node, style.get("display")):
                 continue
+            sees = shown[-1]
+            if style.get("visibility", "inherit") not in ("inherit", "unset"):
+                sees = style["visibility"] not in ("hidden", "collapse")
             if tag == "br":
                 canvas.end_line(True)
                 continue
             if tag == "hr":
                 canvas.margin()
                 continue
-            if tag == "img":
-                if node.attrs.get("alt"):
-                    canvas.text(f"{node.attrs['alt']}", False)
-                continue
-            if tag == "input":
-                canvas.text(node.attrs.get("value") or "", False)
+            if tag in ("img", "input"):
+                if sees:
+                    canvas.text(node.attrs.get("alt" if tag == "img" else "value") or "", False)
                 continue
+            shown.append(sees)
             if tag in MARGINS and not (tag in ("ul", "ol", "menu", "dl") and counters):
                 canvas.margin()
             elif tag in BLOCKS:
@@ -346,7 +428,7 @@ def render(root: Node) -> str:
                     mark = f"{kind[1]}. "
                     kind[1] += 1
                 canvas.prefix.append(" " * len(mark))
-                canvas.marker = mark
+                canvas.marker = mark if sees else None
             elif tag in ("dd", "blockquote"):
                 canvas.prefix.append("  ")
             elif tag == "table":
@@ -361,11 +443,14 @@ def render(root: Node) -> str:
             pre += is_pre
             stack.append(("leave", node))
             children = node.children
+            if tag == "details" and "open" not in node.attrs:
+                children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             if is_pre and children and isinstance(children[0], str) and children[0].startswith("\n"):
                 children = [children[0][1:], *children[1:]]
             stack.extend(("enter", c) for c in reversed(children))
             continue
         pre -= is_pre
+        shown.pop()
         if tag == "li":
             canvas.end_line()
             canvas.prefix.pop()
@@ -395,7 +480,7 @@ def render(root: Node) -> str:
 
 def extract(html: str | None) -> str:
     """The visible text of a page; empty for null, empty and invisible ones."""
-    return render(parse(html)).replace("\xa0", " ")
+    return render(*parse(html)).replace("\xa0", " ")
 
 
 def with_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@ import base64
 import hashlib
 import heapq
 import random
+import re
+import time
 import zlib
 
 import odd  # noqa: F401  (shared path)
@@ -197,3 +199,94 @@ def test_html_operator(spark, tiny):
 ])
 def test_formulas_drawings_and_fallbacks_are_shown(page, want):
     assert html.extract(page).strip() == want
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<style>.x{display:none}</style><p class=x>hid<p>shown", "shown"),
+    ("<style>/* .y{ */ p.x , #q {color:red;display : none !important}</style><p class='a x'>hid<p id=q style='display:block'>hid too<p class=y>shown", "shown"),
+    ("<style>p{display:none} .on{display:block} #off{display:none}</style><p>no<p class=on>yes<p class=on id=off>no", "yes"),
+    ("<style>div p{display:none} a:hover{display:none} @media print{p{display:none}} @media screen{.z{visibility:hidden}}</style><div><p>one</div><p class=z>two", "one"),
+    ("<style media=print>p{display:none}</style><p>shown", "shown"),
+    ("<style>.h{display:none}</style><style>.h{display:inline}</style>a <b class=h>b</b>", "a b"),
+    ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c<i style='visibility:inherit'>d</i></div>e", "b\ne"),
+    ("<div hidden>a</div><div hidden style='display:block'>b</div><div hidden=until-found>c</div>", "b\nc"),
+    ("<details><summary>more</summary><p>inside</details><details open><summary>s</summary><p>seen</details>", "more\ns\n\nseen"),
+    ("<table><tr><td rowspan=0>r<td>a<tr><td>b<tr><td>c</table>", "r | a\n  | b\n  | c"),
+    ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "- b"),
+])
+def test_what_styles_hide(page, want):
+    assert html.extract(page) == want
+
+
+@pytest.mark.parametrize("page", ["<p>" + "<span>" * 9000 + "</p>" * 9000, "<p>" * 9000 + "<b>" * 9000 + "<div>x</div>" * 3000, "<div>" * 4000 + "<p>a" * 4000, "<ul><li>" * 3000 + "<b></i>" * 3000])
+def test_closing_under_deep_nesting_is_not_quadratic(page):
+    began = time.time()
+    html.parse(page)
+    assert time.time() - began < 3
+
+
+GAP = object()
+
+
+def page_of(rng, depth=0):
+    """A random page and, computed from its parts and not from its source, the lines that it shows, with GAP for a margin."""
+    words = lambda: " ".join(rng.choice(["alpha", "be", "Gam", "x", "12"]) for _ in range(rng.randint(1, 5)))
+    source, lines = [], []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["p", "h2", "div", "ul", "ol", "table", "pre", "hidden", "inline"] if depth < 3 else ["p", "inline", "h2"])
+        t = words()
+        if kind in ("p", "h2"):
+            source.append(f"<{kind}>{t.replace(' ', rng.choice([' ', '  ', chr(10)]), 1)}</{kind}>")
+            lines += [GAP, t, GAP]
+        elif kind == "inline":
+            source.append(f"<div><b>{t}</b> <i>{t}</i></div>")
+            lines.append(f"{t} {t}")
+        elif kind == "div":
+            inner, own = page_of(rng, depth + 1)
+            source.append(f"<div>{inner}</div>")
+            lines += own
+        elif kind == "hidden":
+            source.append(rng.choice(["<script>{}</script>", "<div hidden>{}</div>", "<!-- {} -->", "<p style='display:none'>{}</p>"]).format(t))
+        elif kind == "pre":
+            source.append(f"<pre>{t}\n  {t}</pre>")
+            lines += [GAP, t, "  " + t, GAP]
+        elif kind == "table":
+            cells = [[words() for _ in range(3)] for _ in range(rng.randint(1, 3))]
+            source.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in cells) + "</table>")
+            widths = [max(len(row[i]) for row in cells) for i in range(3)]
+            lines += [GAP, *[" | ".join(c.ljust(w) for c, w in zip(row, widths, strict=True)).rstrip() for row in cells], GAP]
+        else:
+            items = [words() for _ in range(rng.randint(1, 3))]
+            source.append(f"<{kind}>" + "".join(f"<li>{x}" for x in items) + f"</{kind}>")
+            lines += [GAP, *[("- " if kind == "ul" else f"{i}. ") + x for i, x in enumerate(items, 1)], GAP]
+    return "".join(source), lines
+
+
+@pytest.mark.parametrize("seed", range(120))
+def test_random_pages_show_their_parts(seed):
+    source, lines = page_of(random.Random(seed))
+    want = []
+    for i, x in enumerate(lines):
+        if x is not GAP:
+            want.append(x)
+        elif want and want[-1] != "" and any(y is not GAP for y in lines[i:]):
+            want.append("")
+    assert html.extract(source) == "\n".join(want)
+
+
+def test_pages_show_all_words_and_no_others(tiny):
+    """Real pages, against the words that are left when tags and what never shows are cut out of the source."""
+    import html as entities
+
+    import pyarrow.parquet as pq
+
+    checked = 0
+    for source in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        if not source or re.search(r"hidden|display|visibility|<details|<input|<img|<select|<ol|<svg", source, re.IGNORECASE):
+            continue
+        plain = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|template|title|iframe)\b.*?</\1\s*>", " ", source)
+        plain = re.sub(r"(?s)<!?/?[a-zA-Z][^<>]*>", "", plain)
+        joined = lambda t: re.sub(r"[\s|]+", "", t)
+        assert joined(re.sub(r"(?m)^ *- ", "", html.extract(source))) == joined(entities.unescape(plain))
+        checked += 1
+    assert checked > 10
