@@ -42,25 +42,15 @@ _SALTS = np.array([xxhash.xxh64_intdigest(str(s)) for s in SEEDS], np.uint64)
 
 
 class Terms(dict):
-    """64-bit hashes of terms by word as written; emptied at ``most`` words. Words without letters or digits have 0.
-
-    The lowest bit tells whether the term is in the lexicon, sorted hashes without that bit.
-    """
+    """64-bit hashes of terms by word as written; emptied at ``most`` words. Words without letters or digits have 0, other terms have not."""
 
     most = 400_000
 
-    def __init__(self, lexicon: np.ndarray | None = None) -> None:
-        self.lexicon = np.zeros(0, np.uint64) if lexicon is None else lexicon
-
     def __missing__(self, word: str) -> int:
         if len(self) > self.most:
             self.clear()
-        term, found = word.lower().strip(_STRIP), 0
-        if term:
-            found = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) & ~1 or 2
-            at = self.lexicon.searchsorted(np.uint64(found))
-            found |= int(at < len(self.lexicon) and self.lexicon[at] == found)
-        self[word] = found
+        term = word.lower().strip(_STRIP)
+        found = self[word] = (xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) or 1) if term else 0
         return found
 
 
@@ -135,25 +125,28 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
     return materialize(counted.where((F.col("term") != 0) & (F.col("n") > 1) & share.between(*band)).select("term"), "imatch")
 
 
-def fingerprint(hashes: np.ndarray) -> str:
-    """The subset hashes of sorted distinct terms, as text."""
-    own = hashes[(hashes & np.uint64(1)).astype(bool)]
-    if not len(own):
+_LIMITS = np.uint64(1) << np.arange(63, 63 - LEVELS, -1, dtype=np.uint64)
+_NO_TERM = "0" * HEX
+
+
+def fingerprint(hashes: np.ndarray, lexicon: np.ndarray) -> str:
+    """The subset hashes of sorted distinct terms, as text; the lexicon is sorted."""
+    own = hashes
+    if len(lexicon) and len(hashes):
+        own = hashes[lexicon[np.minimum(lexicon.searchsorted(hashes), len(lexicon) - 1)] == hashes]
+    if not len(own) or not len(lexicon):
         own = hashes
-    out = [xxhash.xxh3_64_hexdigest(own.tobytes())[:HEX]]
-    empty = "0" * HEX
     mixed = (own[None, :] ^ _SALTS[:, None]) * _C
     mixed ^= mixed >> np.uint64(29)
     mixed *= _C
-    for s in range(len(SEEDS)):
-        left, m = own, mixed[s]
-        for level in range(1, LEVELS + 1):
-            keep = m < np.uint64(1 << (64 - level))
-            left, m = left[keep], m[keep]
-            if not len(left):
-                out += [empty] * (LEVELS + 1 - level)
-                break
-            out.append(xxhash.xxh3_64_hexdigest(left.tobytes(), level)[:HEX])
+    # the terms of all subsets in a row, those of a subset in their order
+    inside = mixed[:, None, :] < _LIMITS[:, None]
+    joined = memoryview(own[np.nonzero(inside)[2]].tobytes())
+    out, at = [xxhash.xxh3_64_hexdigest(own.tobytes())[:HEX]], 0
+    for sizes in (8 * inside.sum(axis=2)).tolist():
+        for level, size in enumerate(sizes, 1):
+            out.append(xxhash.xxh3_64_hexdigest(joined[at : at + size], level)[:HEX] if size else _NO_TERM)
+            at += size
     return "".join(out)
 
 
@@ -163,20 +156,23 @@ _NONE = -np.outer(_RATES, _SIZES)  # log chance that a subset has none of so man
 _SOME = np.log(-np.expm1(_NONE))
 
 
-def likeness(a: str, b: str) -> float:
-    """Estimated resemblance of the term sets of two fingerprints, 0 to 1; 1 where they are equal."""
-    if a == b:
-        return 1.0
-    x, y = (np.frombuffer(t[HEX:].encode(), f"S{HEX}").reshape(len(SEEDS), LEVELS) for t in (a, b))
-    empty = b"0" * HEX
-    differ = (x != y).sum(axis=0)
-    some = ((x != empty) | (y != empty)).sum(axis=0)
-    if not some.any():
-        return 0.0
+def likenesses(a: list[str], b: list[str]) -> np.ndarray:
+    """Estimated resemblances of the term sets of pairs of fingerprints, 0 to 1; 1 where they are equal."""
+    if not a:
+        return np.zeros(0)
     n = len(SEEDS)
-    difference = _SIZES[np.argmax(differ @ _SOME + (n - differ) @ _NONE)] if differ.any() else 0.0
-    union = _SIZES[np.argmax(some @ _SOME + (n - some) @ _NONE)]
-    return float(min(1.0, max(0.0, 1 - difference / union)))
+    x, y = (np.frombuffer("".join(t).encode(), f"S{HEX}").reshape(len(t), -1)[:, 1:].reshape(len(t), n, LEVELS) for t in (a, b))
+    empty = _NO_TERM.encode()
+    differ = (x != y).sum(axis=1)
+    some = ((x != empty) | (y != empty)).sum(axis=1)
+    best = lambda hits: _SIZES[np.argmax(hits @ _SOME + (n - hits) @ _NONE, axis=1)]
+    difference = np.where(differ.any(axis=1), best(differ), 0.0)
+    out = np.where(some.any(axis=1), np.clip(1 - difference / best(some), 0, 1), 0.0)
+    return np.where(np.array(a) == np.array(b), 1.0, out)
+
+
+def likeness(a: str, b: str) -> float:
+    return float(likenesses([a], [b])[0])
 
 
 def edited(text: str, following: str) -> str:
@@ -223,18 +219,19 @@ def _terms_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _marked(batches: Iterator[pa.RecordBatch], terms: Terms) -> Iterator[pa.RecordBatch]:
-    marks: dict[str, str] = {}  # of the last text, which is the next row's own
+def _marked(batches: Iterator[pa.RecordBatch], lexicon: np.ndarray) -> Iterator[pa.RecordBatch]:
+    terms, last, mark = Terms(), None, ""  # the last text, which is the next row's own, and its fingerprint
     for rows in _neighbours(batches, terms):
-        out = []
+        docs, sizes, digests, own_marks, changed, next_marks = [], [], [], [], [], []
         for _, doc, own, words, text, other in rows:
-            fp = marks.get(own) or fingerprint(distinct(words))
-            mark = fp if text == own else fingerprint(distinct(other))
-            marks = {text: mark}
-            changed = fingerprint(distinct(_edited_words(own, words, text, other, terms)))
-            digest = hashlib.sha256(edited(own, text).encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((doc, len(own), digest, fp, changed, likeness(fp, changed), likeness(fp, mark)))
-        columns = list(zip(*out, strict=True)) or [()] * 7
+            own_marks.append(mark if own == last else fingerprint(distinct(words), lexicon))
+            last, mark = text, own_marks[-1] if text == own else fingerprint(distinct(other), lexicon)
+            next_marks.append(mark)
+            changed.append(fingerprint(distinct(_edited_words(own, words, text, other, terms)), lexicon))
+            digests.append(hashlib.sha256(edited(own, text).encode("utf-8", "surrogatepass")).hexdigest())
+            docs.append(doc)
+            sizes.append(len(own))
+        columns = [docs, sizes, digests, own_marks, changed, likenesses(own_marks, changed), likenesses(own_marks, next_marks)]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _RESULT.split(", ")])
 
@@ -268,9 +265,9 @@ def fingerprint_neighbours(docs: DataFrame, terms: DataFrame, id_col: str = "doc
     dealt = dealt.select("doc_id", "text", F.when(F.col("_to") < 0, -1 - F.col("_to")).otherwise(F.col("_to")).alias("_part"), (F.col("_to") < 0).alias("_copy"), "_at")
     order = ("_part", "_copy", "_at", "text")
     if terms.count() <= BROADCAST_TERMS:
-        shared = spark.sparkContext.broadcast(np.sort(terms.toArrow().column(0).to_numpy().view(np.uint64)))
+        shared = spark.sparkContext.broadcast(np.sort(np.append(terms.toArrow().column(0).to_numpy().view(np.uint64), np.uint64(0))))
         ordered = dealt.repartitionById(n, "_part").sortWithinPartitions(*order).select("doc_id", "text", "_part", "_copy")
-        return ordered.mapInArrow(lambda batches: _marked(batches, Terms(shared.value)), _RESULT)
+        return ordered.mapInArrow(lambda batches: _marked(batches, shared.value), _RESULT)
 
     # the lexicon's terms of each part come before its documents
     dealt = materialize(dealt, "imatch")
@@ -299,7 +296,7 @@ def fingerprint_neighbours(docs: DataFrame, terms: DataFrame, id_col: str = "doc
         if first is None:
             return
         # a partition is one part: all its terms have come before its first document
-        yield from _marked(chain([first], source), Terms(np.sort(np.concatenate(held)) if held else None))
+        yield from _marked(chain([first], source), np.sort(np.concatenate([np.zeros(1, np.uint64), *held])))
 
     return both.mapInArrow(run, _RESULT)
 

@@ -150,12 +150,12 @@ def plain_lexicon(texts):
 
 
 def plain_hash(term):
-    return xxhash.xxh64_intdigest(term.encode()) & ~1 or 2
+    return xxhash.xxh64_intdigest(term.encode())
 
 
 def plain_fingerprint(text, lexicon):
     """From the definition: the terms in the lexicon or else all, sorted by hash; the whole and, for each seed, nested random subsets."""
-    own = sorted(plain_hash(t) | 1 for t in plain_terms(text) & lexicon) or sorted(map(plain_hash, plain_terms(text)))
+    own = sorted(plain_hash(t) for t in plain_terms(text) & lexicon) or sorted(map(plain_hash, plain_terms(text)))
     joined = lambda hashes: b"".join(h.to_bytes(8, "little") for h in hashes)
     out = [xxhash.xxh3_64_hexdigest(joined(own))[: imatch.HEX]]
     c, mask = 0xBF58476D1CE4E5B9, 2**64 - 1
@@ -221,7 +221,7 @@ def test_likeness_follows_resemblance():
             for _ in range(12):
                 a = [f"t{rng.random()}" for _ in range(n)]
                 b = [x if rng.random() >= share else f"u{rng.random()}" for x in a]
-                x, y = (imatch.fingerprint(imatch.term_hashes(" ".join(t), imatch.Terms())) for t in (a, b))
+                x, y = (imatch.fingerprint(imatch.term_hashes(" ".join(t), imatch.Terms()), np.zeros(0, np.uint64)) for t in (a, b))
                 got.append(imatch.likeness(x, y))
             true = (1 - share) / (1 + share)
             assert abs(np.mean(got) - true) < 0.15, (n, share, np.mean(got))
@@ -376,6 +376,19 @@ LICENSE_CASES = [
 ]
 
 
+LICENSE_CASES += [
+    (text, [(name, 0, len(text), 0)])
+    for text, name in [
+        ("SPDX-License-Identifier: Unlicense", "Unlicense"),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        ("available under the terms of the Apache License 2.0", "Apache-2.0"),
+        ("This code is MIT licensed.", "MIT"),
+        ("License: MIT", "MIT"),
+        ("Released under MPL 2.0.", "MPL-2.0"),
+    ]
+]
+
+
 @pytest.mark.parametrize("text, want", LICENSE_CASES)
 def test_notices(text, want):
     assert [(f.license, f.start, f.end, f.n_differences) for f in licenses.Scanner().scan(text)[1]] == want
@@ -426,7 +439,53 @@ def test_every_template_saves_enough_anywhere():
     scanner = licenses.Scanner()
     for t in scanner.templates:
         for text in (t.text, prose(90) + t.text + " " + prose(90)):
-            assert t.license in {c[0] for c in scanner.confirmed(text)}, t.text
+            assert t.license in {f.license for f in scanner.scan(text)[1]}, t.text
+
+
+class PlainScanner(licenses.Scanner):
+    """Aligns every template with every window of the whole text: no keywords, no ranking, no template passed over."""
+
+    @staticmethod
+    def possible(among, own):
+        return among
+
+    def scan(self, text):
+        return [c[0] for c in sorted(self.confirmed(text), key=lambda c: c[1])]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ranking_loses_nothing(seed, monkeypatch):
+    """Licenses, changed a little, among prose and wordings that are none, against an alignment with all templates."""
+    rng = random.Random(seed)
+    scanner, plain = licenses.Scanner(), PlainScanner()
+    parts = []
+    for _ in range(3):
+        t = rng.choice([x for x in scanner.templates if len(x.words) < 130])
+        own = t.text.split(" ")
+        for _ in range(rng.randrange(0, 1 + len(own) // 15)):
+            own[rng.randrange(len(own))] = rng.choice(["the", "any", "such"])
+        parts += [" ".join(own), prose(rng.choice([1, 5, 30])), rng.choice(["", "the license of the seller", "all permissions and warranties", "licensed to drive"])]
+    text = rng.choice(["\n\n", " ", "\n"]).join(parts)
+    got = [f.license for f in scanner.scan(text)[1]]
+    monkeypatch.setattr(licenses, "LEAST_REDUCTION", -1e9)
+    monkeypatch.setattr(licenses, "KEYWORD", re.compile(""))
+    assert got == plain.scan(text)
+
+
+def test_blocks_reach_over_lines_and_meet():
+    text = prose(50) + "\n" * 30 + prose(10) + "a license here " + prose(10) + "\n\n" + prose(10) + "copyright " + prose(300) + "permission"
+    for reach in (1, 5, 25, 40, 1000):
+        words = list(re.finditer(licenses._WORD, text))
+        near = set()
+        for hit in licenses.KEYWORD.finditer(text):
+            at = next(i for i, w in enumerate(words) if w.end() > hit.start())
+            near |= set(range(max(0, at - reach), min(len(words), at + reach + 1)))
+        got = licenses.blocks(text, reach)
+        assert all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
+        assert {i for i, w in enumerate(words) if any(a <= w.start() and w.end() <= b for a, b in got)} == near
+    began = time.time()
+    assert len(licenses.blocks("license, or the permission " * 60_000, 300)) == 1 and time.time() - began < 5
+    assert licenses.blocks("", 5) == [] and licenses.blocks("license", 5) == [(0, 7)]
 
 
 def test_licenses_that_stand_together():
