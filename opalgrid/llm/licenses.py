@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Blocks of lines that mention licensing are candidates. Each is cut into overlapping windows, of which one holds any place
-that a template can take. A window is compressed by zstandard alone, and with each template as its raw dictionary;
+Candidate blocks are the words around each mention of licensing, as many to either side as the longest template may take, wherever lines and
+paragraphs end. Each is cut into overlapping windows, of which one holds any place that a template can take. A window is compressed by zstandard alone, and with each template as its raw dictionary;
 templates are ranked by the bytes that this saves, as a share of what the template itself takes, so that text around a
 notice does not count. Those that save enough are aligned with the window word by word, and a license is
 reported where the differences in wording are few and none is in a name or a version. The longest wording that is
@@ -11,7 +11,7 @@ confirmed is taken out, and the rest ranked again until nothing is confirmed.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -22,12 +22,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import read_table, small_batches
+from .store import column, read_table, small_batches
 
 #: Licenses by identifier, the names that notices give them, and wordings of notices and texts.
 NAMES = {
-    "Apache-2.0": ["the Apache License, Version 2.0", "Apache 2.0", "Apache License 2.0"],
-    "MIT": ["the MIT License", "the MIT license"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "Apache 2.0", "Apache License 2.0"],
+    "MIT": ["the MIT License"],
     "ISC": ["the ISC License"],
     "BSD-2-Clause": ["the BSD 2-Clause License", "the 2-clause BSD license"],
     "BSD-3-Clause": ["the BSD 3-Clause License", "the 3-clause BSD license"],
@@ -38,6 +38,7 @@ NAMES = {
     "AGPL-3.0": ["the GNU Affero General Public License, version 3", "AGPLv3"],
     "MPL-2.0": ["the Mozilla Public License, version 2.0", "MPL 2.0"],
     "EPL-2.0": ["the Eclipse Public License, version 2.0"],
+    "Unlicense": ["the Unlicense"],
     "CC0-1.0": ["CC0 1.0", "the Creative Commons Zero v1.0 Universal license"],
     "CC-BY-3.0": ["CC BY 3.0", "the Creative Commons Attribution 3.0 License"],
     "CC-BY-4.0": ["CC BY 4.0", "the Creative Commons Attribution 4.0 International License"],
@@ -48,7 +49,12 @@ NAMES = {
     "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
     "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0", "the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
 }
-NOTICES = ["Licensed under {}.", "This work is licensed under {}.", "Released under {}.", "Distributed under the terms of {}."]
+NOTICES = ["Licensed under {}.", "This work is licensed under {}.", "Released under {}.", "Available under {}.", "Distributed under the terms of {}.", "Available under the terms of {}.", "Licensed under the terms of {}."]
+#: Notices that give an identifier, with its dashes or with spaces in their place.
+TAGS = ["License: {}", "Licensed under {}", "{} licensed"]
+#: What may follow the identifier of a license of these families.
+GNU = ("GPL", "LGPL", "AGPL")
+SUFFIXES = ["", "-only", "-or-later"]
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
     "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
@@ -61,6 +67,19 @@ _BSD = (
     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
     "documentation and/or other materials provided with the distribution."
 )
+_BSD_DISCLAIMER = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC_DISCLAIMER = (
+    ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+    "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+    "THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
 _GNU = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, "
     "either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
@@ -83,6 +102,7 @@ TEXTS = {
     "GPL-2.0": _GNU.format("General Public License", "2"),
     "GPL-3.0": _GNU.format("General Public License", "3"),
     "LGPL-2.1": _GNU.format("Lesser General Public License", "2.1"),
+    "LGPL-3.0": _GNU.format("Lesser General Public License", "3"),
     "AGPL-3.0": _GNU.format("Affero General Public License", "3"),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
     "file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -90,14 +110,22 @@ TEXTS = {
     "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
-KEYWORD = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant|spdx|public domain|copyleft|creative commons|\bCC[ -]?(?:BY|0)|\b[AL]?GPL", re.IGNORECASE)
+#: The texts of licenses that files often give with their disclaimers.
+WHOLE_TEXTS = {
+    "ISC": TEXTS["ISC"] + _ISC_DISCLAIMER,
+    "BSD-2-Clause": TEXTS["BSD-2-Clause"] + _BSD_DISCLAIMER,
+    "BSD-3-Clause": TEXTS["BSD-3-Clause"] + _BSD_DISCLAIMER,
+}
+
+#: What every template has some of.
+KEYWORD = re.compile(r"licen[cs]|(?:released|distributed|available)\s+under|copyright|permission|redistribut|warrant|spdx|public domain|copyleft|creative commons|\bCC[ -]?(?:BY|0)|\b[AL]?GPL", re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 #: Words that tell licenses apart: any difference in them rules a template out.
-_TELLING = re.compile(r"[0-9]|^(?:apache|mit|isc|bsd|gnu|gpl|lgpl|agpl|mpl|epl|mozilla|eclipse|affero|lesser|cc0?|by|by-.*|clause|zero|noncommercial|attribution.*|noderivatives|sharealike)", re.IGNORECASE)
+_TELLING = re.compile(r"[0-9]|^(?:apache|mit|isc|bsd|gnu|gpl|lgpl|agpl|mpl|epl|mozilla|eclipse|affero|lesser|cc0?|by|by-.*|clause|zero|noncommercial|attribution.*|noderivatives|sharealike|unlicense)", re.IGNORECASE)
 
-LEAST_REDUCTION = 0.15
+#: Share of a template's own compressed size that it must save; the wording alone decides on what is above.
+LEAST_REDUCTION = 0.02
 MOST_DIFFERENCES = 0.1
-GAP_LINES = 8
 LEVEL = 3
 #: What may stand between the names of licenses that a notice gives together.
 _JOINING = frozenset(("or", "and", "either"))
@@ -138,9 +166,14 @@ class Template:
 
 
 def templates() -> list[Template]:
+    """All templates, each wording once."""
     out = [Template(k, n.format(name), name) for k, names in NAMES.items() for name in names for n in NOTICES]
-    out += [Template(k, f"SPDX-License-Identifier: {k}", k) for k in NAMES]
-    return out + [Template(k, t) for k, t in TEXTS.items()]
+    for k in NAMES:
+        ids = [k + x for x in (SUFFIXES if k.startswith(GNU) else [""])]
+        out += [Template(k, f"SPDX-License-Identifier: {i}", i) for i in ids]
+        out += [Template(k, n.format(i), i if n.endswith("{}") else "") for i in dict.fromkeys([*ids, k.replace("-", " ")]) for n in TAGS]
+    out += [Template(k, t) for k, t in [*TEXTS.items(), *WHOLE_TEXTS.items()]]
+    return list({tuple(t.words): t for t in reversed(out)}.values())[::-1]
 
 
 @dataclass(frozen=True)
@@ -160,29 +193,36 @@ class Found:
         return len(self.differences.split()) if self.differences else 0
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Candidates: each line with a keyword, and those that are close together with the paragraphs around them."""
-    if not KEYWORD.search(text):
-        return []
-    spans, hits, at = [], [], 0
-    for n, line in enumerate(text.split("\n")):
-        spans.append((at, at + len(line), not line.strip()))
-        if KEYWORD.search(line):
-            hits.append(n)
-        at += len(line) + 1
-    out = [spans[n][:2] for n in hits]
-    first = 0
-    for i in range(1, len(hits) + 1):
-        if i == len(hits) or hits[i] - hits[i - 1] > GAP_LINES:
-            lo, hi = hits[first], hits[i - 1]
-            # to the ends of the paragraphs, if they are near
-            while lo > max(0, hits[first] - GAP_LINES) and not spans[lo - 1][2]:
-                lo -= 1
-            while hi < min(len(spans) - 1, hits[i - 1] + GAP_LINES) and not spans[hi + 1][2]:
-                hi += 1
-            if hi > lo:
-                out.append((spans[lo][0], spans[hi][1]))
-            first = i
+def _words_before(text: str, at: int, n: int) -> int:
+    """Where the n-th word before a place begins, or the first that there is."""
+    size = 16 * n
+    while True:
+        lo = max(0, at - size)
+        # the first of a cut text may be a piece of a word
+        starts = [m.start() for m in _WORD.finditer(text, lo, at)][lo > 0 :]
+        if len(starts) >= n:
+            return starts[-n]
+        if not lo:
+            return starts[0] if starts else at
+        size *= 4
+
+
+def blocks(text: str, reach: int) -> list[tuple[int, int]]:
+    """Candidates: ``reach`` words to either side of each keyword, joined where they meet."""
+    out: list[tuple[int, int]] = []
+    words_ = ahead = None
+    for hit in KEYWORD.finditer(text):
+        if not out or hit.start() > out[-1][1]:
+            start = _words_before(text, hit.start(), reach)
+            start = out.pop()[0] if out and start <= out[-1][1] else start
+            words_, ahead = _WORD.finditer(text, hit.start()), deque()
+        else:
+            start = out.pop()[0]
+        while ahead and ahead[0] <= hit.start():
+            ahead.popleft()
+        while len(ahead) <= reach and (m := next(words_, None)):
+            ahead.append(m.end())
+        out.append((start, max(hit.end(), ahead[-1]) if ahead else hit.end()))
     return out
 
 
@@ -229,6 +269,8 @@ class Scanner:
         notices = [t for t in self.templates if len(t.words) <= 20]
         texts = [t for t in self.templates if len(t.words) > 20]
         self.scales = [(max(len(t.words) for t in ts), ts) for ts in (texts, notices)]
+        # a template with its differences lies within so many words of any of its keywords
+        self.reach = int(self.scales[0][0] * (1 + MOST_DIFFERENCES)) + 1
 
     def rank(self, block: bytes, among: list[Template] | None = None) -> list[tuple[float, Template]]:
         """Templates by the bytes that each saves, as a share of the template's own compressed size."""
@@ -289,6 +331,8 @@ class Scanner:
             n = len(out)
             for most, among in self.scales:
                 for lo, hi in windows(len(own), most):
+                    if hi > lo and not KEYWORD.search(block, found[lo].start(), found[hi - 1].end()):
+                        continue
                     # what begins later is whole in the next window
                     before = hi if hi == len(own) else lo + 2 * most
                     while got := self.best(among, block, found, own, lo, hi, before):
@@ -304,26 +348,22 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[int, list[Found]]:
         """The number of candidates, and all licenses found in them, each wording once."""
-        found: dict[tuple[str, int, int], Found] = {}
-        spans = blocks(text)
-        taken: list[tuple[int, int]] = []
-        for start, end in sorted(spans, key=lambda s: (s[0] - s[1], s)):
-            # a line within a block that was scanned has nothing more
-            if any(a <= start and end <= b for a, b in taken):
-                continue
-            taken.append((start, end))
+        found: list[Found] = []
+        spans = blocks(text, self.reach)
+        for start, end in spans:
             for license, i, j, saved, diff in self.confirmed(text[start:end]):
                 first, last = start + i, start + j
-                line = text.rfind("\n", start, first) + 1 or start, text.find("\n", last, end)
-                found[license, first, last] = Found(license, line[0], line[1] if line[1] >= 0 else end, saved, diff, first, last)
-        return len(spans), sorted(found.values(), key=lambda f: (f.start, f.end, f.first, f.last, f.license))
+                stop = text.find("\n", last)
+                found.append(Found(license, text.rfind("\n", 0, first) + 1, stop if stop >= 0 else len(text), saved, diff, first, last))
+        return len(spans), sorted(found, key=lambda f: (f.start, f.end, f.first, f.last, f.license))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_candidates, found) for each row; ``found`` is an array of (license, start, end, reduction, differences, first, last).
 
-    Places are code points: of the lines, and ``first`` and ``last`` of the wording itself. Null and empty texts have no candidates; repeated rows are scanned one by one; extra
-    columns are ignored. An empty table gives an empty result.
+    Places are code points: of the lines, and ``first`` and ``last`` of the wording itself. Null and empty texts have no candidates; texts of any length are scanned
+    whole, and a notice counts whatever stands around it; null ids pass through, repeated rows are scanned one by one; of wordings that are confirmed at one place the longest
+    counts, then that with fewest differences, then that which saves most; extra columns are ignored, whatever their names. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reduction", pa.float64()), ("differences", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
@@ -338,7 +378,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 rows.append([{"license": f.license, "start": f.start, "end": f.end, "reduction": f.reduction, "differences": f.differences, "first": f.first, "last": f.last} for f in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(rows, kind)], names=["doc_id", "n_candidates", "found"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     return texts.mapInArrow(run, "doc_id long, n_candidates long, found array<struct<license:string,start:long,end:long,reduction:double,differences:string,first:long,last:long>>")
 
 
