@@ -3,6 +3,7 @@ from collections import Counter
 import __spark_entry__
 import corpus_pipeline
 import odd
+import pytest
 from opalgrid.llm import mixing
 from test_dedup import brute_force, groups_of
 from test_mix_pack import check_pieces
@@ -57,12 +58,44 @@ def test_run_is_registered(spark, tiny):
     assert corpus_pipeline.run(spark, tiny).columns[0] == "doc_id"
 
 
-def test_stages_take_odd_rows(spark, tiny):
-    docs = odd.documents(spark, extra=False).selectExpr("*", "cast(length(text) as long) as n_chars")
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        docs = stage(spark, docs, tiny)
-        if name != "packing":
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+@pytest.fixture
+def folder(spark, tmp_path):
+    """Labels for the odd documents, as a folder of tables."""
+    labels = [(1, 1, 0), (2, 0, 0), (6, 1, 0), (7, 0, 1), (7, None, 1), (None, 1, 1), (10, 1, None), (12, 0, 0), (14, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_take_odd_rows_and_keep_all_columns(spark, folder, stage):
+    """Nulls, empty and long texts, ties, repeated rows, and extra columns with dots, quotes and the names that operators use."""
+    name, run = stage
+    docs = odd.clashing(spark)
+    out = run(spark, docs, folder)
+    rows = out.collect()
+    assert len(rows) > 0
+    if name == "packing":
+        return
+    assert out.columns == docs.columns
+    given = Counter(map(str, docs.collect()))
+    got = Counter(map(str, rows))
+    assert set(got) <= set(given) and all(r["kept"] == f"kept of {'none' if r.doc_id is None else r.doc_id}" for r in rows)
+    if name != "mixing":
+        assert all(got[r] <= given[r] for r in got)
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_take_empty_tables(spark, folder, stage):
+    name, run = stage
+    docs = odd.clashing(spark).limit(0)
+    out = run(spark, docs, folder)
+    assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_odd_rows_go_through_all_stages(spark, folder):
+    docs = odd.clashing(spark)
+    for _, run in corpus_pipeline.STAGES:
+        docs = run(spark, docs, folder)
     assert docs.count() > 0
 
 
