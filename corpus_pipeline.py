@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages, each of which works on all rows that the one before it kept."""
+"""A corpus pipeline of five stages, each of which works on all rows that the one before it kept.
+
+All stages take nulls in any column, empty and very long texts, repeated rows and empty tables, and all but the last return every
+column of their input as it is, whatever its name.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,47 @@ from opalgrid.llm.store import materialize, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labelled ones, doesn't reject."""
+    """Documents that the classifier, fitted on labelled ones, doesn't reject.
+
+    Null and empty texts have the score of the classifier's bias; long ones are scored whole; equal texts stay or go together, repeated rows too. Without
+    labels nothing is rejected; without documents nothing comes out.
+    """
     return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts, the row with the largest doc_id."""
+    """Of identical texts, the row with the largest doc_id.
+
+    Null counts as the empty text, of which one row stays. A null id stays only where all ids of its text are null. Of rows that repeat
+    id and text that stays whose other columns have the least hash. Long texts are compared whole. An empty table stays empty.
+    """
     return exact_dedup.deduplicated(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the row with the smallest doc_id."""
+    """Of each component of near duplicates, the row with the smallest doc_id.
+
+    Null and empty texts have no words and all stay, and so do rows without an id. Rows that repeat an id are one document: if it is kept, all stay. Long
+    texts are compared whole. An empty table stays empty.
+    """
     return near_dup.without_near_duplicates(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of all sources in target proportions; a document comes as often as the mix takes it."""
+    """Documents of all sources in target proportions; a document comes as often as the mix takes it, three times at most.
+
+    Null and empty texts have no words; null is a source of its own. Rows without an id and repeated rows are drawn one by one. A long text is taken whole or
+    not at all. An empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences.
+
+    Null and empty texts are the end token alone; long ones are cut into pieces; repeated rows, and rows without an id, are packed one by one. Other columns
+    are left out. An empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
