@@ -1,8 +1,8 @@
 """Profiles of columns: range, distinct values, density, physical order, histogram and number of rows.
 
-One aggregate gives range, distinct values and rows of all columns, so the table is read once for them.
-Distinct values are exact up to ``exact_limit``; where the sketch says that there are more, its estimate is reported,
-whose relative error is that of 4096 registers.
+One aggregate gives range, a sketch of distinct values and rows of all columns, so the table is read once for them. Of columns that have few
+distinct values by their sketch, a second one counts these exactly, as sets that tasks put together; profiles report the sketch's estimate
+of all others, whose relative error is that of 4096 registers. Histograms of all columns take two passes.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,10 +59,10 @@ def _numeric(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)
 
 
-def column_stats(frame: DataFrame, exact: bool = True) -> DataFrame:
+def column_stats(frame: DataFrame, exact: bool | None = True) -> DataFrame:
     """One row per column: column_name, row_count, lower_bound, upper_bound (numbers only, as double), cardinality, density.
 
-    All columns are profiled by one aggregate over one scan. ``exact=False`` counts distinct values by a sketch.
+    ``exact=False`` counts distinct values by a sketch, ``None`` those of columns with over ``EXACT_LIMIT`` by it, and the others exactly.
     """
     fields = frame.schema.fields
     plain = frame.toDF(*[f"c{i}" for i in range(len(fields))])
@@ -69,94 +70,136 @@ def column_stats(frame: DataFrame, exact: bool = True) -> DataFrame:
     for i, f in enumerate(fields):
         c = F.col(f"c{i}")
         number = c.cast("double") if _numeric(f.dataType) else F.lit(None).cast("double")
-        aggs += [F.min(number).alias(f"lo{i}"), F.max(number).alias(f"hi{i}"), (F.count_distinct(c) if exact else F.approx_count_distinct(c, SKETCH_ERROR)).alias(f"d{i}")]
-    one = plain.agg(*aggs)
-    entries = [F.struct(F.lit(f.name).alias("column_name"), F.col("n").alias("row_count"), F.col(f"lo{i}").alias("lower_bound"), F.col(f"hi{i}").alias("upper_bound"), F.col(f"d{i}").cast("long").alias("cardinality")) for i, f in enumerate(fields)]
-    out = one.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+        aggs += [F.min(number).alias(f"lo{i}"), F.max(number).alias(f"hi{i}"), F.approx_count_distinct(c, SKETCH_ERROR).alias(f"d{i}")]
+    one = plain.agg(*aggs).first()  # a few numbers a column
+    counts = {i: one[f"d{i}"] for i in range(len(fields))}
+    if exact is not False and fields:
+        # sets of few values merge without a row for each column; of columns with many, only these are counted by their own keys
+        few = [i for i in counts if counts[i] <= EXACT_LIMIT]
+        many = [i for i in counts if counts[i] > EXACT_LIMIT and exact]
+        if few:
+            found = plain.agg(*[F.size(F.collect_set(f"c{i}")).alias(f"d{i}") for i in few]).first()
+            counts |= {i: found[f"d{i}"] for i in few}
+        if many:
+            found = plain.agg(*[F.count_distinct(f"c{i}").alias(f"d{i}") for i in many]).first()
+            counts |= {i: found[f"d{i}"] for i in many}
+    rows = [(f.name, one["n"], one[f"lo{i}"], one[f"hi{i}"], counts[i]) for i, f in enumerate(fields)]
+    out = frame.sparkSession.createDataFrame(rows, "column_name string, row_count long, lower_bound double, upper_bound double, cardinality long")
     density = F.when(F.col("row_count") > 0, F.least(F.lit(1.0), F.col("cardinality") / F.col("row_count")).cast("float"))
     return out.withColumn("density", density)
 
 
-def histogram(frame: DataFrame, column: str, buckets: int = BUCKETS, accuracy: int = 10_000) -> DataFrame:
-    """Equi-depth buckets of a numeric column: bucket, lower_bound, upper_bound, frequency, over all rows.
+def histograms(frame: DataFrame, columns: list[str], buckets: int = BUCKETS, accuracy: int = 10_000) -> DataFrame:
+    """Equi-depth buckets of numeric columns: column_name, bucket, lower_bound, upper_bound, frequency, over all rows.
 
-    Bounds come from a mergeable quantile sketch, and a second pass counts exactly between them; no row
+    Bounds come from mergeable quantile sketches, one aggregate for all columns, and a second pass counts exactly between them; no row
     is moved, and equal values are never divided.
     """
-    c = F.col(f"`{column}`").cast("double")
+    if not columns:
+        return frame.sparkSession.createDataFrame([], "column_name string, bucket int, lower_bound double, upper_bound double, frequency long")
+    values = [F.col(f"`{c}`").cast("double") for c in columns]
     points = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(frame.agg(F.percentile_approx(c, points, accuracy).alias("q")).first()["q"] or []))
-    tile = F.lit(0)
-    for b in bounds:
-        tile = tile + (c > F.lit(b)).cast("int")
-    return frame.where(c.isNotNull()).groupBy(tile.alias("bucket")).agg(F.min(c).alias("lower_bound"), F.max(c).alias("upper_bound"), F.count(F.lit(1)).alias("frequency"))
+    found = frame.agg(*[F.percentile_approx(v, points, accuracy).alias(f"q{i}") for i, v in enumerate(values)]).first()
+    tiles = []
+    for i, (c, v) in enumerate(zip(columns, values, strict=True)):
+        tile = F.lit(0)
+        for b in sorted(set(found[f"q{i}"] or [])):
+            tile = tile + (v > F.lit(b)).cast("int")
+        tiles.append(F.struct(F.lit(c).alias("column_name"), tile.alias("bucket"), v.alias("v")))
+    rows = frame.select(F.explode(F.array(*tiles)).alias("e")).select("e.*").where("v is not null")
+    return rows.groupBy("column_name", "bucket").agg(F.min("v").alias("lower_bound"), F.max("v").alias("upper_bound"), F.count(F.lit(1)).alias("frequency"))
+
+
+def histogram(frame: DataFrame, column: str, buckets: int = BUCKETS, accuracy: int = 10_000) -> DataFrame:
+    """The histogram of one numeric column: bucket, lower_bound, upper_bound, frequency."""
+    return histograms(frame, [column], buckets, accuracy).drop("column_name")
 
 
 def string_histogram(frame: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
-    """Equi-depth buckets of a string column with few distinct values: bucket, lower_bound, upper_bound, frequency."""
+    """Equi-depth buckets of a string column: bucket, lower_bound, upper_bound, frequency; none where it has over ``MAX_STRINGS`` distinct values."""
     values = frame.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("v")
-    # a row for each distinct value, of which there are MAX_STRINGS at most where profiles use this
-    before, total = F.sum("n").over(w) - F.col("n"), F.sum("n").over(Window.partitionBy())
-    tiled = values.select("v", "n", F.least(F.floor(before * buckets / total), F.lit(buckets - 1)).cast("int").alias("bucket"))
+    # the windows see one row more than the limit at most
+    few = values.limit(MAX_STRINGS + 1).withColumn("_values", F.count(F.lit(1)).over(Window.partitionBy())).where(F.col("_values") <= MAX_STRINGS)
+    before, total = F.sum("n").over(Window.orderBy("v")) - F.col("n"), F.sum("n").over(Window.partitionBy())
+    tiled = few.select("v", "n", F.least(F.floor(before * buckets / total), F.lit(buckets - 1)).cast("int").alias("bucket"))
     return tiled.groupBy("bucket").agg(F.min("v").alias("lower_bound"), F.max("v").alias("upper_bound"), F.sum("n").alias("frequency"))
 
 
 def physically_ordered(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: column_name, ordered; true where no value is below the one before it in file order.
 
-    Rows stay where the scan puts them, in the order of files and offsets: each partition is summed up as its first and last values and
-    whether it is in order, and only these are compared across partitions. A null or NaN is below nothing, and nothing is below it.
+    Files come by their path, and the blocks of a file by their offset, however a scan packs them into tasks; of a frame that is no scan of files,
+    the order is that of its partitions. Rows stay where they are: each block is summed up as its first and last values and
+    whether it is in order, and only these are compared across blocks. A null or NaN is below nothing, and nothing is below it.
     """
     names = columns or frame.columns
-    kept = frame.select(F.spark_partition_id().alias("p"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    out = T.StructType([T.StructField("p", T.IntegerType())])
-    for f in kept.schema.fields[1:]:
+    try:
+        place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+        frame.select(*place).schema  # noqa: B018  (resolves the names)
+    except AnalysisException:
+        place = [F.lit(""), F.spark_partition_id().cast("long")]
+    kept = frame.select(*[x.alias(n) for x, n in zip(place, ("file", "block"), strict=True)], *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    out = T.StructType([T.StructField("file", T.StringType()), T.StructField("block", T.LongType())])
+    for f in kept.schema.fields[2:]:
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             raise TypeError(f"{f.dataType.simpleString()} has no order here")
         i = f.name[1:]
         out = out.add(f"bad{i}", "boolean").add(f"first{i}", f.dataType).add(f"last{i}", f.dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first, last, bad = None, [], [], [False] * len(names)
+        at, first, last, bad = None, [], [], []
+
+        def summed() -> pa.RecordBatch:
+            columns_ = [*at, *[x for i in range(len(names)) for x in (pa.array([bad[i]]), first[i], last[i])]]
+            return pa.RecordBatch.from_arrays(columns_, names=[f.name for f in out.fields])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = batch.columns[1:]
-            if part is None:
-                part, first = batch.column(0).slice(0, 1), [v.slice(0, 1) for v in values]
-            for i, v in enumerate(values):
-                if not bad[i]:
-                    v = pa.concat_arrays([last[i], v]) if last else v
-                    bad[i] = bool(pc.any(pc.less(v.slice(1), v.slice(0, len(v) - 1))).as_py())
-            last = [v.slice(len(v) - 1) for v in values]
-        if part is not None:
-            columns_ = [part, *[x for i in range(len(names)) for x in (pa.array([bad[i]]), first[i], last[i])]]
-            yield pa.RecordBatch.from_arrays(columns_, names=[f.name for f in out.fields])
-
-    parts = kept.mapInArrow(run, out)
-    across = Window.orderBy("p")
-    found = parts.select(*[(F.col(f"bad{i}") | F.coalesce(F.lag(f"last{i}").over(across) > F.col(f"first{i}"), F.lit(False))).alias(f"bad{i}") for i in range(len(names))])
+            files, blocks = batch.column(0), batch.column(1)
+            n, lo = batch.num_rows, 0
+            while lo < n:
+                # the rows of a block lie together
+                same = pc.and_(pc.equal(files.slice(lo), files[lo]), pc.equal(blocks.slice(lo), blocks[lo]))
+                end = pc.index(same, False).as_py()
+                size = n - lo if end < 0 else end
+                values = [v.slice(lo, size) for v in batch.columns[2:]]
+                if at is None or at[0][0] != files[lo] or at[1][0] != blocks[lo]:
+                    if at is not None:
+                        yield summed()
+                    at, first, last, bad = [files.slice(lo, 1), blocks.slice(lo, 1)], [v.slice(0, 1) for v in values], [], [False] * len(names)
+                for i, v in enumerate(values):
+                    if not bad[i]:
+                        v = pa.concat_arrays([last[i], v]) if last else v
+                        bad[i] = bool(pc.any(pc.less(v.slice(1), v.slice(0, len(v) - 1))).as_py())
+                last = [v.slice(len(v) - 1) for v in values]
+                lo += size
+        if at is not None:
+            yield summed()
+
+    blocks = kept.mapInArrow(run, out)
+    across = Window.orderBy("file", "block")  # a row for each block of a file
+    found = blocks.select(*[(F.col(f"bad{i}") | F.coalesce(F.lag(f"last{i}").over(across) > F.col(f"first{i}"), F.lit(False))).alias(f"bad{i}") for i in range(len(names))])
     one = found.agg(*[F.coalesce(~F.bool_or(f"bad{i}"), F.lit(True)).alias(f"ok{i}") for i in range(len(names))])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"ok{i}").alias("ordered")) for i, c in enumerate(names)])).alias("e")).select("e.*")
 
 
 def profile(frame: DataFrame, with_order: bool = True, with_histogram: bool = True) -> dict[str, Profile]:
     """Profiles of all columns by name; what reaches the driver is a row per column and bucket."""
-    rough = {r.column_name: r for r in column_stats(frame, exact=False).collect()}
-    exact = [f.name for f in frame.schema.fields if rough[f.name].cardinality <= EXACT_LIMIT]
-    counts = {r.column_name: r for r in column_stats(frame.select(*[F.col(f"`{c}`") for c in exact])).collect()} if exact else {}
+    stats = {r.column_name: r for r in column_stats(frame, exact=None).collect()}
     ordered = {r.column_name: r.ordered for r in physically_ordered(frame).collect()} if with_order else {}
+    numbers = [f.name for f in frame.schema.fields if _numeric(f.dataType)]
+    tiles: dict[str, list] = {}
+    for h in histograms(frame, numbers).orderBy("bucket").collect() if with_histogram else ():
+        tiles.setdefault(h.column_name, []).append(h)
     out = {}
     for f in frame.schema.fields:
-        r = counts.get(f.name) if f.name in counts and counts[f.name].cardinality <= EXACT_LIMIT else rough[f.name]
+        r = stats[f.name]
         cast = int if isinstance(f.dataType, T.IntegralType) else float
         lower, upper = (None, None) if r.lower_bound is None else (cast(r.lower_bound), cast(r.upper_bound))
         kind = {v: k for k, v in CATALOG_TYPES.items()}.get(f.dataType, "Float64")
         p = Profile(r.row_count, lower, upper, r.cardinality, r.density or 0.0, ordered.get(f.name), kind=kind)
         if with_histogram and r.row_count:
             if _numeric(f.dataType):
-                p.histogram = [(cast(h.lower_bound), cast(h.upper_bound), h.frequency) for h in histogram(frame, f.name).orderBy("bucket").collect()]
+                p.histogram = [(cast(h.lower_bound), cast(h.upper_bound), h.frequency) for h in tiles.get(f.name, [])]
             elif isinstance(f.dataType, T.StringType) and r.cardinality <= MAX_STRINGS:
                 p.histogram = [(h.lower_bound, h.upper_bound, h.frequency) for h in string_histogram(frame, f.name).orderBy("bucket").collect()]
         out[f.name] = p
