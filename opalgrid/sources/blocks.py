@@ -9,14 +9,19 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .scratch import qualified
+
 #: Fixed values of the format.
 CODES = {"int": "<i", "bigint": "<q", "float": "<f", "double": "<d"}
 COUNT_BYTES = 2
 BLOCK_SIZE = 4096
+BLOCKS_PER_BATCH = 64
 
 
 def encode_row(row: Iterable, types: list[str]) -> bytes:
@@ -48,20 +53,45 @@ def encode_blocks(rows: Iterable[Iterable], types: list[str], block_size: int =
         yield bytes(held).ljust(room, b"\0") + struct.pack("<H", n)
 
 
-def decode_block(block: bytes, types: list[str]) -> Iterator[tuple]:
-    (n,) = struct.unpack_from("<H", block, len(block) - COUNT_BYTES)
-    at = 0
-    for _ in range(n):
-        row = []
-        for kind in types:
+class Decoder:
+    """Rows of blocks as columns: neighbouring numbers are read by one format, blocks without strings as one array."""
+
+    def __init__(self, types: list[str]) -> None:
+        self.types = types
+        self.steps: list[tuple[int, struct.Struct | None]] = []  # the first column, and the format; none for a string
+        for i, kind in enumerate(types):
             if kind == "string":
-                end = block.index(b"\0", at)
-                row.append(block[at:end].decode())
-                at = end + 1
+                self.steps.append((i, None))
+            elif i and self.steps and self.steps[-1][1] is not None:
+                first, form = self.steps[-1]
+                self.steps[-1] = (first, struct.Struct(form.format + CODES[kind][1:]))
             else:
-                row.append(struct.unpack_from(CODES[kind], block, at)[0])
-                at += struct.calcsize(CODES[kind])
-        yield tuple(row)
+                self.steps.append((i, struct.Struct(CODES[kind])))
+        self.row = None if "string" in types else np.dtype([(f"c{i}", {"int": "<i4", "bigint": "<i8", "float": "<f4", "double": "<f8"}[k]) for i, k in enumerate(types)])
+
+    def columns(self, block: bytes) -> list:
+        (n,) = struct.unpack_from("<H", block, len(block) - COUNT_BYTES)
+        if self.row is not None:
+            rows = np.frombuffer(block, self.row, n)
+            return [rows[name].tolist() for name in rows.dtype.names]
+        out: list[list] = [[] for _ in self.types]
+        at = 0
+        for _ in range(n):
+            for first, form in self.steps:
+                if form is None:
+                    end = block.index(b"\0", at)
+                    out[first].append(block[at:end].decode())
+                    at = end + 1
+                else:
+                    for i, value in enumerate(form.unpack_from(block, at), first):
+                        out[i].append(value)
+                    at += form.size
+        return out
+
+
+def decode_block(block: bytes, types: list[str]) -> Iterator[tuple]:
+    """The rows of one block."""
+    return zip(*Decoder(types).columns(block), strict=True)
 
 
 def _types(schema: T.StructType) -> list[str]:
@@ -75,7 +105,7 @@ class _Range(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
-        self.types = _types(schema)
+        self.types, self.names = _types(schema), schema.names
         self.block = int(options.get("block_size", BLOCK_SIZE))
         self.per_task = int(options.get("blocks_per_task", 16384))
         self.path = options["path"]
@@ -83,7 +113,7 @@ class _Reader(DataSourceReader):
     def _open(self):
         import pyarrow.fs as pafs
 
-        return pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
+        return pafs.FileSystem.from_uri(self.path.replace("s3a://", "s3://", 1))
 
     def partitions(self) -> list[InputPartition]:
         import pyarrow.fs as pafs
@@ -99,12 +129,15 @@ class _Reader(DataSourceReader):
             out += [_Range(f.path, at, min(self.per_task, n - at)) for at in range(0, n, self.per_task)]
         return out
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        kinds = {"int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64(), "string": pa.string()}
+        types, decoder = [kinds[t] for t in self.types], Decoder(self.types)
         fs, _ = self._open()
         with fs.open_input_file(partition.path) as f:
             f.seek(partition.start * self.block)
-            for _ in range(partition.blocks):
-                yield from decode_block(f.read(self.block), self.types)
+            for at in range(0, partition.blocks, BLOCKS_PER_BATCH):
+                held = [decoder.columns(f.read(self.block)) for _ in range(min(BLOCKS_PER_BATCH, partition.blocks - at))]
+                yield pa.RecordBatch.from_arrays([pa.array([v for block in held for v in block[i]], t) for i, t in enumerate(types)], names=self.names)
 
 
 class BlockFileSource(DataSource):
@@ -123,7 +156,7 @@ class BlockFileSource(DataSource):
 
 def read_blocks(spark: SparkSession, path: str, schema: T.StructType, block_size: int = BLOCK_SIZE) -> DataFrame:
     spark.dataSource.register(BlockFileSource)
-    return spark.read.format("opal_blocks").schema(schema).option("block_size", str(block_size)).load(path)
+    return spark.read.format("opal_blocks").schema(schema).option("block_size", str(block_size)).load(qualified(spark, path))
 
 
 def write_blocks(frame: DataFrame, folder: str, block_size: int = BLOCK_SIZE) -> None:
@@ -131,16 +164,15 @@ def write_blocks(frame: DataFrame, folder: str, block_size: int = BLOCK_SIZE) ->
 
     A file gets its name only when it is whole, so that a task may run again; Parquet is the better choice for new data.
     """
-    types = _types(frame.schema)
+    types, folder = _types(frame.schema), qualified(frame.sparkSession, folder)
 
     def run(batches):
         import uuid
 
-        import pyarrow as pa
         import pyarrow.fs as pafs
         from pyspark import TaskContext
 
-        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs, root = pafs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"{root}/.part-{part:05d}-{uuid.uuid4().hex}"
