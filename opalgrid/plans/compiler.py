@@ -97,6 +97,12 @@ class Compiler:
         return out
 
 
-def compile_plan(plan: Plan, catalog: Catalog, strict_nan: bool = False) -> DataFrame:
-    """The lazy result of a tree."""
+def compile_plan(plan: Plan, catalog: Catalog, strict_nan: bool = False, by_statistics: bool = False) -> DataFrame:
+    """The lazy result of a tree; ``by_statistics`` puts its joins into the order that the catalog's statistics call for."""
+    if by_statistics:
+        # estimates are made of trees, and import them
+        from ..operators.estimate import Estimator
+        from .joins import order_joins
+
+        plan = order_joins(plan, Estimator(catalog))
     return Compiler(catalog, strict_nan).compile(plan).result()

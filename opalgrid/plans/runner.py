@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.catalog import Catalog
-from ..sources.text import ResultMismatch, lines, validate_lines, write_lines
+from ..sources.text import END, ResultMismatch, as_lines, read_lines, stream_lines, validate_bags, validate_lines, write_lines
 from .compiler import compile_plan
 from .tree import Plan, from_json, scan, to_dict
 
 
 @dataclass
 class SuiteQuery:
-    """A query of a suite; ``memory_limit_mb`` is checked as declared, Spark's own settings govern memory."""
+    """A query of a suite; ``memory_limit_mb`` bounds what a task takes at once, by the settings of ``within_memory``."""
 
     name: str
     plan: Plan
@@ -53,22 +56,45 @@ def starter_suite(catalog: Catalog, folder: str) -> list[SuiteQuery]:
 def record_expected(suite: list[SuiteQuery], catalog: Catalog) -> None:
     """Write the present results of a suite as its expected outputs."""
     for q in suite:
-        write_lines(compile_plan(q.plan, catalog).coalesce(1), q.expected)
+        write_lines(compile_plan(q.plan, catalog), q.expected)
+
+
+#: Settings by the share of the limit that each may take.
+SHARES = {"spark.sql.autoBroadcastJoinThreshold": 8, "spark.sql.adaptive.autoBroadcastJoinThreshold": 8, "spark.sql.files.maxPartitionBytes": 2, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 4}
+
+
+@contextmanager
+def within_memory(spark: SparkSession, megabytes: int) -> Iterator[None]:
+    """Keep what is broadcast, read and shuffled into one task within shares of a limit; larger inputs are more tasks, and sorts and joins spill."""
+    before = {k: spark.conf.get(k, None) for k in SHARES}
+    for k, share in SHARES.items():
+        spark.conf.set(k, str((megabytes << 20) // share))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_suite(spark: SparkSession, suite: list[SuiteQuery], catalog: Catalog) -> dict[str, float]:
-    """Seconds of each enabled query; the first result that differs from its expected file ends the run."""
+    """Seconds of each enabled query; the first result that differs from its expected file ends the run.
+
+    Results without an order are compared where they lie, ordered ones line by line as they come.
+    """
     took = {}
     for q in suite:
         if q.disabled:
             continue
         began = time.time()
-        frame: DataFrame = compile_plan(q.plan, catalog)
-        got = lines(frame)
-        expected = [r.value for r in spark.read.text(q.expected).coalesce(1).collect()]
-        try:
-            validate_lines(got, expected, not q.sort_before_check)
-        except ResultMismatch as e:
-            raise ResultMismatch(f"{q.name}: {e}") from None
+        with within_memory(spark, q.memory_limit_mb):
+            frame: DataFrame = compile_plan(q.plan, catalog)
+            try:
+                if q.sort_before_check:
+                    validate_bags(as_lines(frame), spark.read.text(q.expected))
+                else:
+                    got = stream_lines(frame)
+                    validate_lines(takewhile(lambda x: x != END, got), read_lines(spark, q.expected), True)
+            except ResultMismatch as e:
+                raise ResultMismatch(f"{q.name}: {e}") from None
         took[q.name] = time.time() - began
     return took

@@ -4,6 +4,7 @@ import random
 import pytest
 from conftest import same_as_duck
 from opalgrid.plans import Col, Filter, Predicate, compile_plan, from_json, scan, to_json
+from opalgrid.plans import tools
 from opalgrid.plans import workload as w
 from opalgrid.plans.compiler import UnknownName
 from opalgrid.plans.normalize import optimize
@@ -144,6 +145,59 @@ def test_random_trees_equal_their_sql_and_normal_form(seed, catalog, duck):
     same_as_duck(compile_plan(short, catalog), duck, to_sql(plan, w.TABLE_COLUMNS))
 
 
+def test_join_orders():
+    """The order of least rows in between, without a cross where conditions connect, and the same columns."""
+    from opalgrid.operators.estimate import Estimator
+    from opalgrid.plans.joins import order_joins
+
+    def table(name, rows, **distinct):
+        return TableInfo(name, name, [ColumnInfo(c, T.LongType(), [{"CardinalityStat": d}, {"DensityStat": d / rows}]) for c, d in distinct.items()])
+
+    e = Estimator(Catalog([table("fact", 10**6, f=10**6, fa=100, fb=10**5), table("small", 100, a=100, x=10), table("big", 10**5, b=10**5)]))
+    plan = scan("big").cross(scan("fact")).cross(scan("small")).filter_multiple([("fa", "EQ", Col("a")), ("fb", "EQ", Col("b")), ("x", "EQ", i64(3))])
+    got = order_joins(plan, e)
+    small = scan("small").filter("x", "EQ", i64(3))
+    want = {small.cross(scan("fact")).cross(scan("big")), scan("fact").cross(small).cross(scan("big"))}
+    assert got.child.child in want and [c for c, _ in got.columns] == e.names(plan)
+    assert order_joins(scan("big").cross(scan("fact")), e) == scan("big").cross(scan("fact"))
+    twin = scan("small").cross(scan("small")).cross(scan("big"))
+    assert order_joins(twin, e) == twin
+    # more relations than are tried in all orders
+    many = Estimator(Catalog([table(f"t{i}", 10 * (i + 1), **{f"k{i}": 10 * (i + 1)}) for i in range(15)]))
+    plan = scan("t0")
+    for i in range(1, 15):
+        plan = plan.cross(scan(f"t{i}"))
+    chained = plan.filter_multiple([(f"k{i}", "EQ", Col(f"k{i + 1}")) for i in range(14)])
+    assert sorted(many.names(order_joins(chained, many))) == sorted(many.names(chained))
+
+
+@pytest.mark.parametrize("seed", range(40, 60))
+def test_ordered_joins_give_the_same_rows(seed, spark, catalog, duck):
+    from opalgrid.plans.tools import profiled
+
+    plan, names = random_plan(random.Random(seed), 4)
+    first = list(dict.fromkeys(n for n, _ in names))
+    plan = plan.project_multiple([(n, f"o{i}") for i, n in enumerate(first)])
+    if compile_plan(plan, catalog).count() > 20_000:
+        pytest.skip("large")
+    known = profiled(spark, "/root/testdata/sf0.001", ["nation", "region"])
+    same_as_duck(compile_plan(plan, known, by_statistics=True), duck, to_sql(plan, w.TABLE_COLUMNS, {"partsupp": PARTSUPP_SQL}))
+
+
+def test_columns_are_pruned():
+    nation, region = scan("nation"), scan("region")
+    plan = nation.cross(region).filter("n_regionkey", "EQ", Col("r_regionkey")).sort("n_nationkey").project("n_name")
+    got = optimize(plan, w.TABLE_COLUMNS)
+    assert got == nation.cross(region.project("r_regionkey")).filter("n_regionkey", "EQ", Col("r_regionkey")).sort("n_nationkey").project("n_name")
+    got = optimize(nation.filter("n_regionkey", "EQ", i32(1)).project("n_name", "a"), w.TABLE_COLUMNS)
+    assert got == nation.project_multiple(["n_name", "n_regionkey"]).filter("n_regionkey", "EQ", i32(1)).project("n_name", "a")
+
+
+@pytest.mark.parametrize("name", sorted(tools.queries()))
+def test_tools_equal_their_sql(name, spark, tiny, duck):
+    assert same_as_duck(tools.queries()[name](spark, tiny), duck, tools.oracle_sql()[name]) > 0
+
+
 def test_normal_form():
     nation, region = scan("nation"), scan("region")
     plan = nation.cross(region).sort("n_name").filter("n_regionkey", "EQ", Col("r_regionkey")).filter("r_name", "EQ", text("ASIA")).filter("r_name", "EQ", text("ASIA"))

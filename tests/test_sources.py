@@ -56,7 +56,7 @@ def test_block_files(spark, tmp_path):
 
 def test_result_lines(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a", 2.5), (2, None, -1.0)], "k int, s string, d double").orderBy("k")
-    assert lines(frame) == ["1|a|2.5|", "2||-1.0|"]
+    assert lines(frame) == ["1|a|2.5|", "2||-1.0|"] and lines(frame.select(frame.k, frame.k)) == ["1|1|", "2|2|"]
     write_lines(frame, f"{tmp_path}/out")
     assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ["1|a|2.5|", "2||-1.0|"]
     validate_lines(["a|", "b| "], [" b|", "a|"], in_order=False)
@@ -66,6 +66,50 @@ def test_result_lines(spark, tmp_path):
     assert not same_rows(frame, frame.union(frame.limit(1)))
 
 
+def test_numbers_as_text(spark):
+    """The digits of floats as written by the shortest form, plain from 0.0001 to 10**16."""
+    cases = {0.5: "0.5", 100.0: "100.0", -2.25: "-2.25", 1e7: "10000000.0", 12345678.9: "12345678.9", 1.5e15: "1500000000000000.0", 1e16: "1e16", -1.25e20: "-1.25e20", 0.001: "0.001", 0.00025: "0.00025", 0.0001: "0.0001", 2.5e-5: "2.5e-5", 1e-7: "1e-7", -0.0: "-0.0", 123456789012345.6: "123456789012345.6", 1e300: "1e300"}
+    frame = spark.createDataFrame([(x,) for x in [*cases, float("nan"), float("inf"), float("-inf"), None]], "v double")
+    assert lines(frame) == [f"{x}|" for x in [*cases.values(), "NaN", "inf", "-inf", ""]]
+    single = spark.createDataFrame([(1e7,), (0.1,), (1e-4,), (3e38,)], "v float")
+    assert lines(single) == ["10000000.0|", "0.1|", "0.0001|", "3e38|"]
+
+
+def test_results_as_streams(spark, tmp_path):
+    from opalgrid.sources.text import read_lines, stream_lines, validate_bags
+
+    frame = spark.range(200).selectExpr("id", "concat('x', id) s").repartition(5).orderBy("id")
+    got = list(stream_lines(frame))
+    assert got[-1] == "!" and got[:-1] == [f"{i}|x{i}|" for i in range(200)]
+    write_lines(frame, f"{tmp_path}/out", end=True)
+    assert list(read_lines(spark, f"{tmp_path}/out")) == got
+    text_ = spark.read.text(f"{tmp_path}/out")
+    validate_bags(text_.repartition(3), text_)
+    for other in (text_.where("value <> '!'"), text_.unionByName(text_.limit(1))):
+        with pytest.raises(ResultMismatch):
+            validate_bags(other, text_)
+    with pytest.raises(ResultMismatch):
+        validate_lines(iter(got), iter(got[:-1]), True)
+    with pytest.raises(ResultMismatch):
+        validate_lines(iter(got[:-1]), iter(got), True)
+
+
+def test_memory_limits_are_settings(spark):
+    from opalgrid.plans.runner import within_memory
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    with within_memory(spark, 64):
+        assert int(spark.conf.get(key)) == 8 << 20
+    assert spark.conf.get(key) == before
+
+
+def test_fixed_width_blocks(spark, tmp_path):
+    frame = spark.range(5000).selectExpr("cast(id as int) a", "id b", "cast(id as float) c", "id / 3 as d")
+    write_blocks(frame.repartition(2), f"{tmp_path}/b", 128)
+    assert same_rows(read_blocks(spark, f"{tmp_path}/b", frame.schema, 128), frame)
+
+
 def test_sqlite_gives_the_same_results(spark, tiny, tmp_path):
     """A third engine: the workload's SQL on exported tables."""
     import sqlite3
@@ -129,6 +173,55 @@ def test_physical_order(spark, tmp_path):
     assert not physically_ordered(two.union(spark.range(5))).first().ordered
 
 
+def test_physical_order_of_several_files(spark, tmp_path):
+    """Files are in the order of their names, not in that in which a scan packs them: the largest first."""
+    for folder, parts in (("o", [(0, 10), (10, 200_000), (200_000, 200_005)]), ("x", [(10, 200_000), (0, 10)])):
+        for i, (lo, hi) in enumerate(parts):
+            spark.range(lo, hi).coalesce(1).write.parquet(f"{tmp_path}/{folder}-{i}")
+            (found,) = (tmp_path / f"{folder}-{i}").glob("part-*.parquet")
+            (tmp_path / folder).mkdir(exist_ok=True)
+            found.rename(tmp_path / folder / f"part-{i}.parquet")
+    for size in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            frame = spark.read.parquet(f"{tmp_path}/o")
+            assert physically_ordered(frame).first().ordered and not physically_ordered(spark.read.parquet(f"{tmp_path}/x")).first().ordered
+            assert physically_ordered(frame.select("id")).first().ordered
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert physically_ordered(spark.read.parquet(f"{tmp_path}/o").where("id < 0")).first().ordered
+
+
+def test_stats_of_columns_with_few_and_many_values(spark, monkeypatch):
+    from opalgrid.operators import profile as p
+
+    monkeypatch.setattr(p, "EXACT_LIMIT", 50)
+    frame = spark.range(1000).selectExpr("id", "id % 7 as few", "cast(null as string) as none", "if(id < 10, null, id % 40) as some")
+    exact = {r.column_name: r.cardinality for r in column_stats(frame).collect()}
+    assert exact == {"id": 1000, "few": 7, "none": 0, "some": 40}
+    rough = {r.column_name: r.cardinality for r in column_stats(frame, exact=None).collect()}
+    assert rough["few"] == 7 and rough["some"] == 40 and abs(rough["id"] - 1000) < 80
+    assert string_histogram(frame.selectExpr("cast(id as string) s"), "s").count() == 0
+
+
+def test_disk_costs_over_ranges(spark):
+    """Cut into ranges and disks, against one after the other."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(d, i * 3, rng.randrange(10**6), rng.randrange(0, 5)) for d in "ab" for i in range(150)]
+    frame = spark.createDataFrame(rows, "disk string, seq long, start_block long, num_blocks long").repartition(5)
+    one = {(r.disk, r.seq): r.total_us for r in access_costs(frame, by=["disk"], parts=1).collect()}
+    for parts in (3, 40):
+        assert {(r.disk, r.seq): r.total_us for r in access_costs(frame, by=["disk"], parts=parts).collect()} == one
+    at, got = {"a": 0, "b": 0}, {}
+    for d, i, start, n in rows:
+        if n:
+            got[d, i] = 0.0 if start == at[d] + 1 else 0.5 * 60_000 / 7200 * 1000
+            at[d] = start + n - 1
+    assert {(r.disk, r.seq): r.rotation_us for r in access_costs(frame, by=["disk"], parts=7).collect()} == pytest.approx(got)
+
+
 def test_profile(spark):
     p = profile(spark.range(100).selectExpr("id", "concat('x', id % 3) s", "cast(id as double) / 3 d").coalesce(1))
     assert (p["id"].rows, p["id"].cardinality, p["id"].density, p["id"].ordered) == (100, 100, 1.0, True)
@@ -170,7 +263,7 @@ def test_estimates():
     assert e.rows(join.filter("k", "LT", Col("j"))) == 2500
     assert e.distinct(scan("big").filter("g", "EQ", i32(3)), "k") == 100
     assert e.distinct(join, "t") == 10 and e.distinct(scan("big"), "zz") is None
-    assert e.row_bytes(scan("big")) == 8 + 8 + 64
+    assert e.row_bytes(scan("big")) == 24 + 3 * 24 + 8 + 8 + 64
     assert e.rows(scan("big").sort("k")) == 1000
     assert string_position("a", "c", "b") == 0.5
 
