@@ -2,7 +2,9 @@
 
 Each task packs its own stream of documents, in order, without a shuffle. It holds a fixed number of open
 bins, found by a bitset keyed by free space: a piece goes to the open bin with the least free space that
-suffices. Where none does, a bin is opened; where all places are taken, the fullest closes first.
+suffices. Where none does, a bin is opened; where all places are taken, the fullest closes first. The bins that are
+still open when their tasks end are put together in the same way, those of many tasks in one, the fullest first: what one
+holds goes whole behind what another has.
 """
 
 from __future__ import annotations
@@ -14,11 +16,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .store import read_table, small_batches
+from .store import column, materialize, read_table, small_batches
 
 CAPACITY = 4096
 OPEN_BINS = 512
+#: Open bins of ended tasks that one task puts together, and places of such bins that are broadcast.
+MERGED_BINS, BROADCAST_BINS = 1 << 16, 1 << 17
 END_ID = 1
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -138,12 +143,14 @@ def _cache(path: str | None) -> ChunkCache:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Pieces of all documents and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its token ids and then id 1; only longer ones than ``capacity`` are cut. Null and
-    empty texts are the one end token. Null ids pass through; repeated rows are packed one by one.
+    A document is its token ids and then id 1; only longer ones than ``capacity`` are cut, however long. Null and
+    empty texts are the one end token. Null ids pass through; repeated rows are packed one by one; texts of equal length go to any of the
+    bins that they fit as well. Other columns are left out, whatever their names.
     ``tokenizer_path`` names a file for the ``tokenizers`` library that each executor can open; None is the
     installed public one. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
+    types, names = [pa.int64(), pa.int32(), *[pa.int64()] * 5], [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -151,6 +158,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         cache, packer = _cache(tokenizer_path), BestFit(capacity, open_bins)
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         end = END_ID.to_bytes(4, "little")
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -159,10 +171,35 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     own = ids[at : at + 4 * capacity]
                     bin_, offset = packer.place(len(own) // 4)
                     rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own), first + bin_, offset))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), *[pa.int64()] * 5], strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+            yield batch_of(rows)
+        # what is open, as piece -1 of no document
+        yield batch_of([(None, -1, 0, capacity - free, 0, first + bin_, 0) for free, bins in enumerate(packer.free) for bin_ in bins])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text").mapInArrow(run, SCHEMA)
+    packed = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return _with_open_bins_merged(materialize(packed, "packing"), capacity)
+
+
+def _with_open_bins_merged(packed: DataFrame, capacity: int) -> DataFrame:
+    """Pieces with the places that they have after open bins are put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(n, s) for b in batches for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        packer, firsts, out = BestFit(capacity, len(held)), {}, []
+        for n, sequence in sorted(held, key=lambda x: (-x[0], x[1])):
+            bin_, offset = packer.place(n)
+            if firsts.setdefault(bin_, sequence) != sequence:
+                out.append((sequence, firsts[bin_], offset))
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["of", "into", "shift"])
+
+    bins = packed.where("piece = -1").select("sequence_id", "length")
+    n = bins.count()
+    tasks = max(1, -(-n // MERGED_BINS))
+    dealt = bins.repartitionById(tasks, F.pmod(F.xxhash64("sequence_id"), F.lit(tasks)).cast("int"))
+    moved = materialize(dealt.mapInArrow(run, "of long, into long, shift long"), "packing")
+    out = packed.where("piece >= 0").join(F.broadcast(moved) if n <= BROADCAST_BINS else moved, F.col("sequence_id") == F.col("of"), "left")
+    places = {"sequence_id": F.coalesce("into", "sequence_id"), "offset": F.col("offset") + F.coalesce("shift", F.lit(0))}
+    return out.withColumns(places).select(*packed.columns)
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:

@@ -227,6 +227,21 @@ def test_packing_of_odd_rows(spark, tokenizer):
     assert packing.pack(odd.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("merged, few", [(1 << 16, 1 << 17), (64, 0)])
+def test_sequences_hardly_depend_on_the_number_of_tasks(spark, tokenizer, monkeypatch, merged, few):
+    """Bins that tasks leave open are put together, in one task or several, by broadcast or by a join."""
+    monkeypatch.setattr(packing, "MERGED_BINS", merged)
+    monkeypatch.setattr(packing, "BROADCAST_BINS", few)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    counts = []
+    for parts in (1, 40):
+        rows = packing.pack(docs.repartition(parts)).collect()
+        counts.append(check_pieces(rows, texts, tokenizer))
+    least = sum(r.length for r in rows) / 4096
+    assert counts[0] <= 1.02 * least + 1 and counts[1] <= (1.05 if merged > 64 else 1.08) * least + 2, (counts, least)
+
+
 def test_packing_query(spark, tiny, tokenizer):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     rows = registry.queries()["op7_packing"](spark, tiny).collect()
