@@ -415,3 +415,30 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) END AS s FROM texts
+), sized AS (
+    SELECT doc_id, s, len(s) AS n FROM sets
+), classes AS (
+    SELECT min(doc_id) AS rep, any_value(s) AS s, any_value(n) AS n FROM sized WHERE n > 0 GROUP BY list_sort(s)
+), parts AS (
+    SELECT rep, n, unnest(s) AS x FROM classes
+), links AS (
+    SELECT a.rep AS a, b.rep AS b FROM parts a JOIN parts b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), ends AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(rep, root) AS (
+    SELECT rep, rep FROM classes UNION SELECT ends.b, reach.root FROM reach JOIN ends ON reach.rep = ends.a
+), roots AS (
+    SELECT rep, min(root) AS root FROM reach GROUP BY rep
+), named AS (
+    SELECT d.doc_id, d.n, coalesce(r.root, d.doc_id) AS component FROM sized d
+    LEFT JOIN classes c ON list_sort(d.s) = list_sort(c.s) AND d.n > 0 LEFT JOIN roots r ON r.rep = c.rep
+)
+SELECT doc_id, n AS n_shingles, component AS component_id, doc_id = component AS kept FROM named
+"""

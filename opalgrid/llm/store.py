@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +54,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def clean() -> None:
     """Remove all places that were given out, results that still read them included."""
     while _made:
-        spark, place = _made.pop()
-        with contextlib.suppress(Exception):
-            path = spark._jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(*_made.pop())
 
 
 atexit.register(clean)
@@ -70,6 +68,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, place: str) -> None:
+    with contextlib.suppress(Exception):
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that it made on the way are removed at once, not at the end of the session."""
+    before = len(_made)
+    out = materialize(make(), tag)
+    place = _made.pop()
+    for session, path in _made[before:]:
+        remove(session, path)
+    _made[before:] = [place]
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what a Python worker gets at once, in rows and in bytes: texts of documents may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -246,3 +246,16 @@ def test_long_runs_come_in_linked_parts(monkeypatch):
         for _ in range(60):
             reach |= {x for link in links if set(link) & reach for x in link}
         assert reach == set(range(3, 60))
+
+
+@pytest.mark.parametrize("name", ["op9_near_duplicates", "imatch_edits", "pii_base_counts", "mixing_targets"])
+def test_queries_equal_their_sql(spark, name):
+    from pathlib import Path
+
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for p in Path(folder).glob("*.parquet"):
+        con.sql(f"create view {p.stem} as select * from '{p}'")
+    assert same_as_duck(registry.queries()[name](spark, folder), con, registry.oracle_sql()[name]) == 1000

@@ -28,3 +28,18 @@ def test_tables_are_kept_and_removed(spark):
     assert store.materialize(spark.range(0), "t").columns == ["id"]
     store.clean()
     assert not Path(place).exists()
+
+
+def test_tables_on_the_way_are_removed(spark):
+    made = []
+
+    def make():
+        for i in range(3):
+            frame = store.materialize(spark.range(i), "step")
+            made.append(store._made[-1][1])
+        return frame.selectExpr("id + 1 as id")
+
+    earlier = store.materialize(spark.range(4), "t")
+    out = store.finished(spark, make, "t")
+    assert sorted(r.id for r in out.collect()) == [1, 2] and earlier.count() == 4
+    assert len(made) == 3 and not any(Path(p.removeprefix("file:")).exists() for p in made)
