@@ -472,6 +472,20 @@ def test_ranking_loses_nothing(seed, monkeypatch):
     assert got == plain.scan(text)
 
 
+def test_ties_and_long_texts():
+    """Equal notices are all reported, in order; of templates that fit one place the longest wording; in texts of any length."""
+    scanner = licenses.Scanner()
+    notice = "Released under the MIT License."
+    text = (notice + " " + prose(40)) * 300
+    found = scanner.scan(text)[1]
+    assert [f.license for f in found] == ["MIT"] * 300 and [f.first for f in found] == [m.start() for m in re.finditer("Released", text)]
+    for license, whole in licenses.WHOLE_TEXTS.items():
+        (only,) = scanner.scan(whole)[1]
+        assert (only.license, only.first, licenses.words(whole[only.first : only.last])) == (license, 0, licenses.words(whole))
+    began = time.time()
+    assert scanner.scan(prose(300_000) + notice)[1][0].license == "MIT" and time.time() - began < 20
+
+
 def test_blocks_reach_over_lines_and_meet():
     text = prose(50) + "\n" * 30 + prose(10) + "a license here " + prose(10) + "\n\n" + prose(10) + "copyright " + prose(300) + "permission"
     for reach in (1, 5, 25, 40, 1000):
