@@ -65,6 +65,23 @@ class Rule:
     weight: tuple
 
 
+class Rules:
+    """Rules by what an element must have: an id, a class, or else a tag."""
+
+    def __init__(self, rules: list[Rule] = ()) -> None:
+        self.by: dict[tuple[str, str], list[Rule]] = {}
+        for r in rules:
+            key = ("#", min(r.ids)) if r.ids else (".", min(r.classes)) if r.classes else ("", r.tag)
+            self.by.setdefault(key, []).append(r)
+
+    def of(self, node: Node) -> Iterator[Rule]:
+        own, id_ = frozenset((node.attrs.get("class") or "").split()), node.attrs.get("id")
+        for key in (("#", id_), ("", node.tag), ("", "*"), *((".", c) for c in own)):
+            for r in self.by.get(key, ()):
+                if r.tag in ("*", node.tag) and r.classes <= own and (not r.ids or r.ids == {id_}):
+                    yield r
+
+
 def _declared(style: str) -> list[tuple[str, str, bool]]:
     return [(n.lower(), v.lower(), bool(i)) for n, v, i in _SHOWING.findall(style)]
 
@@ -199,25 +216,22 @@ class TreeBuilder(HTMLParser):
         last.children.append(data)
 
 
-def parse(html: str | None) -> tuple[Node, list[Rule]]:
+def parse(html: str | None) -> tuple[Node, Rules]:
     """The tree of a page, and the rules of its style elements."""
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
-    return builder.root, style_rules("\n".join(builder.css)) if builder.css else []
+    return builder.root, Rules(style_rules("\n".join(builder.css)) if builder.css else [])
 
 
-def declared(node: Node, rules: list[Rule]) -> dict[str, str]:
+def declared(node: Node, rules: Rules) -> dict[str, str]:
     """The display and visibility that styles give an element."""
     style = node.attrs.get("style")
     held: dict[str, tuple[tuple, str]] = {}
     for name, value, important in _declared(style) if style else ():
         held[name] = max(held.get(name, ((), "")), ((important, True), value))
-    if rules:
-        own, id_ = frozenset((node.attrs.get("class") or "").split()), node.attrs.get("id")
-        for r in rules:
-            if r.tag in ("*", node.tag) and r.classes <= own and (not r.ids or r.ids == {id_}):
-                held[r.name] = max(held.get(r.name, ((), "")), (r.weight, r.value))
+    for r in rules.of(node) if rules.by else ():
+        held[r.name] = max(held.get(r.name, ((), "")), (r.weight, r.value))
     return {name: value for name, (_, value) in held.items()}
 
 
@@ -378,7 +392,7 @@ class _Table:
             self.hanging[-k - 1] = self.hanging.pop(k)
 
 
-def render(root: Node, rules: list[Rule] = ()) -> str:
+def render(root: Node, rules: Rules) -> str:
     """The visible text of a tree."""
     canvas, canvases, tables = Canvas(), [], []
     counters: list[list] = []  # of open lists: kind and next number

@@ -332,7 +332,8 @@ def _large_family_links(sets: DataFrame, likely: DataFrame, partitions: int) ->
         star = materialize(_compared(star.withColumns({"group": F.xxhash64("component", F.lit("hub"), "_block"), "label": F.col("id")}), partitions), "near")
         links = star if links is None else links.unionByName(star)
         linked = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        rest = materialize(rest.join(linked, "id", "left_anti"), "near")
+        rest = rest.join(linked, "id", "left_anti").join(hubs.select(F.col("hub").alias("id")), "id", "left_anti")
+        rest = materialize(rest, "near")
         before, left = left, rest.count()
         # another round while one links a tenth of what is left
         if not left or 10 * (before - left) < before:

@@ -225,6 +225,13 @@ def test_closing_under_deep_nesting_is_not_quadratic(page):
     assert time.time() - began < 3
 
 
+def test_many_rules_take_no_time_per_element():
+    css = "".join(f".c{i}{{display:none}} #i{i}{{display:none}}" for i in range(3000))
+    began = time.time()
+    shown = html.extract(f"<style>{css}</style>" + "".join(f"<p class='x{i} {'c7' if i % 2 else ''}'>w{i}" for i in range(6000)))
+    assert shown.split() == [f"w{i}" for i in range(0, 6000, 2)] and time.time() - began < 5
+
+
 GAP = object()
 
 
