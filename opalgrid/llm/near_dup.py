@@ -1,7 +1,7 @@
 """Near duplicates by b-bit MinHash over sets of five-word shingles.
 
-1. Each text becomes the set of its hashed shingles. Texts with the same set form a class, which the least
-   id represents; only representatives go on.
+1. Each text becomes the set of its hashed shingles. Texts with the same set form a class, which the text of the least
+   id represents; only classes go on.
 2. A representative's minima under ``MINIMA`` hash functions are taken. The first ``BANDS * ROWS`` of them form
    band keys; of all of them the low ``2`` bits are kept and packed into two bit planes.
 3. Rows are dealt by band key. Within a bucket, the share of equal low bits, corrected for chance
@@ -195,14 +195,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, mark, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             found = shingles(text, hashes)
             if len(found):
                 least = minima(found)
-                rows.append((doc, len(found), xxhash.xxh128_digest(found.tobytes()), low_bits(least), band_keys(least)))
+                rows.append((doc, mark, len(found), xxhash.xxh128_digest(found.tobytes()), low_bits(least), band_keys(least)))
             else:
-                rows.append((doc, 0, None, None, None))
-        yield _columns(rows, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())], ["doc_id", "n_shingles", "class", "bits", "bands"])
+                rows.append((doc, mark, 0, None, None, None))
+        yield _columns(rows, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())], ["doc_id", "mark", "n_shingles", "class", "bits", "bands"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray, bool]]:
@@ -355,23 +355,17 @@ def _large_family_links(sets: DataFrame, likely: DataFrame, partitions: int) ->
     return links.unionByName(_compared(rows, partitions))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
-
-    Words are lower-cased (A-Z) runs without ASCII white space. Texts with fewer than five words are one
-    shingle; texts without words, null texts too, have none and are linked with nothing. Rows that repeat an id
-    count as one node of the graph; texts of any length are taken whole. A null id is never a ``component_id`` of others: such a row gets the
-    component of its class of equal sets, or null, and is kept in the latter case. An empty table gives an
-    empty result.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id) for each row; ``mark`` is a hash of its text."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(column(id_col).cast("long").alias("_id"), column(text_col).alias("_text"))
-    signed = materialize(texts.mapInArrow(_signed, "doc_id long, n_shingles long, class binary, bits binary, bands array<long>"), "near")
-    # a class of equal sets is represented by its least id
-    classes = materialize(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "near")
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "class"), ["doc_id", "class"], "left_semi").dropDuplicates(["doc_id", "class"])
-    reps = materialize(reps.select("doc_id", "bits", "bands"), "near")
+    texts = docs.select(column(id_col).cast("long").alias("_id"), _mark(text_col).alias("_mark"), column(text_col).alias("_text"))
+    signed = materialize(texts.mapInArrow(_signed, "doc_id long, mark long, n_shingles long, class binary, bits binary, bands array<long>"), "near")
+    # a class of equal sets is a node, whose text is that of its least id
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("least")
+    classes = signed.where("class is not null").groupBy("class").agg(least, F.any_value("bits").alias("bits"), F.any_value("bands").alias("bands"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "class", F.col("least.doc_id").alias("rep"), F.col("least.mark").alias("mark"), "bits", "bands"), "near")
+    reps = classes.select(F.col("node").alias("doc_id"), "bits", "bands")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     likely = materialize(_likely_links(reps, n), "near")
@@ -381,11 +375,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("size")).select(F.bitwise_not("component").alias("k"), "size")
     members = families.withColumn("k", F.bitwise_not("component")).join(sizes, "k")
     blocks = F.when(F.col("size") <= 2 * BLOCK, F.lit(1)).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
-    members = members.select(F.col("node").alias("_id"), "component", blocks.alias("_blocks"))
-    members = members.withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
-    bits = reps.select(F.col("doc_id").alias("_id"), "bits")
-    work = texts.join(members.join(bits, "_id"), "_id").dropDuplicates(["_id"])
-    work = work.select("_id", "_text", "component", "_blocks", "_block", "bits")
+    members = members.select("node", "component", blocks.alias("_blocks"))
+    members = members.withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    members = members.join(classes.select("node", "rep", F.col("mark").alias("_m"), "bits"), "node")
+    work = texts.join(members, (F.col("_mark") == F.col("_m")) & F.col("_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
+    work = work.select("node", "_text", "component", "_blocks", "_block", "bits")
     sets = materialize(work.mapInArrow(_full_sets, "id long, set binary, component long, _blocks int, _block int, bits binary"), "near")
     small = sets.where("_blocks = 1").withColumns({"group": F.col("component"), "side": F.lit(0), "label": F.col("id")})
     links = _compared(small, n)
@@ -394,23 +388,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(_large_family_links(large, likely, n))
     parts = connected_components(materialize(links.distinct(), "near"))
 
-    named = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
+    # the least id of all classes of a component
+    named = classes.select("node", "class", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = named.groupBy("component").agg(F.min("rep").alias("component_id")).select(F.bitwise_not("component").alias("k"), "component_id")
+    named = named.withColumn("k", F.bitwise_not("component")).join(ids, "k")
     # an exchange of its own on either side lets adaptive execution split a class of very many copies
-    named = named.select(F.hex("class").alias("c"), "component_id")
-    out = signed.select("doc_id", "n_shingles", F.hex("class").alias("c")).withColumn("c", F.coalesce("c", F.col("doc_id").cast("string"), F.lit("")))
-    out = out.join(named, "c", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = materialize(named.select(F.hex("class").alias("c"), "component_id", F.lit(True).alias("known")), "near")
+    out = signed.select("doc_id", "mark", "n_shingles", F.coalesce(F.hex("class"), F.col("mark").cast("string")).alias("c"))
+    out = out.join(named, "c", "left")
+    return out.select("doc_id", "mark", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _mark(text_col: str):
+    return F.xxhash64(F.coalesce(column(text_col), F.lit("")))
+
+
+def _kept():
+    return F.col("doc_id").eqNullSafe(F.col("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+
+    Words are lower-cased (A-Z) runs without ASCII white space. Texts with fewer than five words are one
+    shingle; texts without words, null texts too, have none and are linked with nothing. Texts of any length are taken whole. Rows are told
+    apart by their texts: each has the component of its own text, whatever else its id stands for. A component is named by its least id;
+    rows without an id have the name of their component too, null where none of it has an id, and are kept in that case alone. An empty table gives an empty
+    result.
+    """
+    return _judged(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id", _kept().alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but for those whose component has a smaller id, with the columns of ``docs``.
 
-    Rows that repeat a kept id all stay: they are the same document to this operator. Rows without an id stay too, and those with null and
-    empty texts. Columns pass through whatever their names. An empty table gives an empty result.
+    Rows that repeat a kept id and its text all stay: they are the same document to this operator. Rows without an id stay where nobody in their component has
+    one, and so do null and empty texts. Columns pass through whatever their names. An empty table gives an empty result.
     """
-    dropped = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__opal_gone")).distinct()
-    dropped = materialize(dropped, "near")
-    return docs.join(dropped, column(id_col).cast("long") == F.col("__opal_gone"), "left_anti")
+    gone = _judged(docs, id_col, text_col).where(~_kept()).select(F.col("doc_id").alias("__opal_id"), F.col("mark").alias("__opal_mark")).distinct()
+    gone = materialize(gone, "near")
+    same = (_mark(text_col) == F.col("__opal_mark")) & column(id_col).cast("long").eqNullSafe(F.col("__opal_id"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -168,6 +168,19 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dup.without_near_duplicates(odd.empty(spark)).count() == 0
 
 
+def test_repeated_and_null_ids_lose_no_links(spark):
+    """Ids that stand for several texts, and rows without ids, against every two rows compared."""
+    rows = variants(3, 200)
+    rng = random.Random(2)
+    rows = [(rng.choice([None, i % 23, i]), t, "en", "s") for i, t, *_ in rows]
+    docs = odd.documents(spark, rows)
+    got = Counter(str((r.doc_id, r.n_shingles, r.component_id)) for r in near_dup.near_duplicates(docs).collect())
+    want = brute_force(rows)
+    assert got == Counter(str(x) for x in want)
+    kept = Counter(str((r.doc_id, r.text)) for r in near_dup.without_near_duplicates(docs).collect())
+    assert kept == Counter(str((r[0], r[1])) for r, (i, _, c) in zip(rows, want, strict=True) if i == c)
+
+
 def test_estimates_are_near_the_truth():
     rng = random.Random(3)
     hashes = near_dup.WordHashes()
