@@ -16,6 +16,7 @@ agree tells the size of the sets' difference, how often both are empty that of t
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -236,6 +237,27 @@ def _marked(batches: Iterator[pa.RecordBatch], lexicon: np.ndarray) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in _RESULT.split(", ")])
 
 
+def _ranges(firsts: list[tuple[int, int]]):
+    """A function of (id, hash of the text): the number of the range, and, for the first row of a range, -1 less the number of the range before.
+
+    Ranges begin with the rows in ``firsts``, which are in order; a hash of -2**63 stands for any.
+    """
+    ids, hashes = (np.array([f[i] for f in firsts], np.int64) for i in (0, 1))
+
+    @F.pandas_udf("array<int>")
+    def ranges(at: pd.Series, hash_: pd.Series) -> pd.Series:
+        values, marks = at.to_numpy(), hash_.to_numpy()
+        lo, own = np.searchsorted(ids, values, "left"), np.searchsorted(ids, values, "right") - 1
+        # of several ranges of one id, by the hash
+        for i in np.unique(lo[(own > lo) | ((own == lo) & (hashes[np.minimum(lo, len(ids) - 1)] > -(2**63)))]).tolist():
+            here = np.flatnonzero((lo == i) & (own >= lo))
+            own[here] = i + np.searchsorted(hashes[i : own[here[0]] + 1], marks[here], "right") - 1
+        first = (ids[own] == values) & ((hashes[own] == marks) | (hashes[own] == -(2**63)))
+        return pd.Series([[int(b), -1 - int((b - 1) % len(ids))] if f else [int(b)] for b, f in zip(own, first, strict=True)])
+
+    return ranges
+
+
 def fingerprint_neighbours(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint over the lexicon ``terms``, that of its edited text, and likenesses to it and to the next document.
 
@@ -245,25 +267,24 @@ def fingerprint_neighbours(docs: DataFrame, terms: DataFrame, id_col: str = "doc
     spark = docs.sparkSession
     small_batches(spark)
     least = -(2**63)
-    id_ = column(id_col).cast("long")
-    rows = docs.select(id_.alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"), F.coalesce(id_, F.lit(least)).alias("_at"))
+    id_, text = column(id_col).cast("long"), F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(id_.alias("doc_id"), text.alias("text"), F.coalesce(id_, F.lit(least)).alias("_at"), F.xxhash64(text).alias("_hash"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.agg(F.min("_at").alias("first"), F.percentile_approx("_at", [i / n for i in range(n)], 10_000).alias("cuts")).first()
     # each cut is an id that exists: the first of its range
-    firsts = np.array(sorted({found["first"], *(found["cuts"] or [])} - {None}), np.int64)
+    cuts = Counter(found["cuts"] or [])
+    firsts = [(x, least) for x in sorted({found["first"], *cuts} - {None})]
+    if any(k > 1 for k in cuts.values()):
+        # an id with more rows than a range has is cut by the hashes of its texts as well; ranges then begin with the least row that they have
+        step = lambda k: (1 << 64) // k
+        wanted = sorted({*firsts, *((x, least + i * step(k)) for x, k in cuts.items() for i in range(1, k))})
+        ranges = rows.groupBy(_ranges(wanted)("_at", "_hash")[0].alias("r")).agg(F.min(F.struct("_at", "_hash")).alias("first"))
+        firsts = sorted((r.first["_at"], r.first["_hash"]) for r in ranges.select(F.col("first")).toLocalIterator())
     n = max(1, len(firsts))
 
-    @F.pandas_udf("array<int>")
-    def ranges(at: pd.Series) -> pd.Series:
-        values = at.to_numpy()
-        own = np.searchsorted(firsts, values, "right") - 1
-        first = firsts[own] == values
-        # negative: a copy for the range before, for its last document
-        return pd.Series([[int(b), -1 - int((b - 1) % len(firsts))] if f else [int(b)] for b, f in zip(own, first, strict=True)])
-
-    dealt = rows.withColumn("_to", F.explode(ranges("_at")))
-    dealt = dealt.select("doc_id", "text", F.when(F.col("_to") < 0, -1 - F.col("_to")).otherwise(F.col("_to")).alias("_part"), (F.col("_to") < 0).alias("_copy"), "_at")
-    order = ("_part", "_copy", "_at", "text")
+    dealt = rows.withColumn("_to", F.explode(_ranges(firsts)("_at", "_hash")))
+    dealt = dealt.select("doc_id", "text", F.when(F.col("_to") < 0, -1 - F.col("_to")).otherwise(F.col("_to")).alias("_part"), (F.col("_to") < 0).alias("_copy"), "_at", "_hash")
+    order = ("_part", "_copy", "_at", "_hash", "text")
     if terms.count() <= BROADCAST_TERMS:
         shared = spark.sparkContext.broadcast(np.sort(np.append(terms.toArrow().column(0).to_numpy().view(np.uint64), np.uint64(0))))
         ordered = dealt.repartitionById(n, "_part").sortWithinPartitions(*order).select("doc_id", "text", "_part", "_copy")
@@ -274,9 +295,9 @@ def fingerprint_neighbours(docs: DataFrame, terms: DataFrame, id_col: str = "doc
     ordered = dealt.repartitionById(n, "_part").sortWithinPartitions(*order).select("doc_id", "text", "_part", "_copy")
     own = ordered.mapInArrow(_terms_of_parts, "part int, term long").distinct().join(terms, "term", "left_semi")
     own = own.groupBy("part", F.pmod("term", F.lit(256)).alias("chunk")).agg(F.collect_list("term").alias("terms"))
-    first = own.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.col("part").alias("_part"), F.lit(False).alias("_copy"), F.lit(least).cast("long").alias("_at"), "terms")
+    first = own.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.col("part").alias("_part"), F.lit(False).alias("_copy"), F.lit(least).cast("long").alias("_at"), F.lit(least).cast("long").alias("_hash"), "terms")
     both = first.unionByName(dealt.withColumn("terms", F.lit(None).cast("array<long>"))).repartitionById(n, "_part")
-    both = both.sortWithinPartitions("_part", F.col("terms").isNull(), "_copy", "_at", "text").select("doc_id", "text", "_part", "_copy", "terms")
+    both = both.sortWithinPartitions("_part", F.col("terms").isNull(), "_copy", "_at", "_hash", "text").select("doc_id", "text", "_part", "_copy", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -305,7 +326,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprints of all documents and of their edited texts.
 
     Null texts are empty; two texts without any terms are alike by 1. A null id comes first in the order. Rows that repeat an id
-    follow each other by text; rows of one id go to one task. The only document of a table is its own next. Texts of any length are taken whole. Extra columns are
+    follow each other by a hash of their texts; an id with very many rows is cut by these. The only document of a table is its own next. Texts of any length are taken whole. Extra columns are
     ignored, whatever their names. An empty table gives an empty result.
     """
     return fingerprint_neighbours(docs, lexicon(docs, text_col), id_col, text_col)

@@ -191,6 +191,25 @@ def test_fingerprints_equal_brute_force(spark, tiny, monkeypatch, limit):
         assert got[doc].near_next == imatch.likeness(got[doc].fingerprint, plain_fingerprint(after, lexicon))
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 5, lambda i: None if i % 3 else i, lambda i: i // 40])
+def test_ids_with_very_many_rows_are_cut(spark, ids):
+    """Every row once, in the order of ids and hashes of texts, whichever range it is in."""
+    rows = [(ids(i), f"text number {i} of {i % 7}" * (1 + i % 4), "", "") for i in range(240)]
+    docs = odd.documents(spark, rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        out = imatch.fingerprints(docs)
+        got = sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in out.collect())
+        assert out.selectExpr("spark_partition_id() as p").distinct().count() > 6
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    marks = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], marks[r[1]], r[1]))
+    want = [(doc, len(t), hashlib.sha256(imatch.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (doc, t, *_) in enumerate(order)]
+    assert got == sorted(map(str, want))
+
+
 def test_likeness_is_near_the_resemblance_of_lexicon_terms(spark):
     """Over documents and edited ones, against the true resemblance of their sets."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
