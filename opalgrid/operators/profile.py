@@ -1,7 +1,7 @@
 """Profiles of columns: range, distinct values, density, physical order, histogram and number of rows.
 
-One aggregate gives range, a sketch of distinct values and rows of all columns, so the table is read once for them. Of columns that have few
-distinct values by their sketch, a second one counts these exactly, as sets that tasks put together; profiles report the sketch's estimate
+For profiles, one aggregate gives range, a sketch of distinct values and rows of all columns, so the table is read once for them. Of columns that have few
+distinct values by their sketch, a second one counts these exactly; profiles report the sketch's estimate
 of all others, whose relative error is that of 4096 registers. Histograms of all columns take two passes.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,7 +22,6 @@ from ..sources.catalog import CATALOG_TYPES
 
 #: Fixed values of the profile.
 EXACT_LIMIT = 10_000
-SKETCH_ERROR = 1.04 / 4096**0.5
 BUCKETS = 10
 MAX_STRINGS = 50
 
@@ -59,32 +59,45 @@ def _numeric(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)
 
 
+def _bounds(value, dtype: T.DataType) -> list:
+    number = value.cast("double") if _numeric(dtype) else F.lit(None).cast("double")
+    return [F.min(number).alias("lower_bound"), F.max(number).alias("upper_bound")]
+
+
+def _sketch(column):
+    """An estimate of distinct values by 4096 registers; nulls don't count."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(column.isNotNull(), F.xxhash64(column)), F.lit(12)))
+
+
 def column_stats(frame: DataFrame, exact: bool | None = True) -> DataFrame:
     """One row per column: column_name, row_count, lower_bound, upper_bound (numbers only, as double), cardinality, density.
 
-    ``exact=False`` counts distinct values by a sketch, ``None`` those of columns with over ``EXACT_LIMIT`` by it, and the others exactly.
+    Exactly, each column is read by itself and grouped by its values, which tasks combine first, so that no row is repeated for another column.
+    ``exact=False`` counts distinct values by sketches in one pass over all columns, ``None`` those of columns with over ``EXACT_LIMIT`` by them, and the others
+    exactly, as sets that tasks put together.
     """
     fields = frame.schema.fields
     plain = frame.toDF(*[f"c{i}" for i in range(len(fields))])
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, f in enumerate(fields):
-        c = F.col(f"c{i}")
-        number = c.cast("double") if _numeric(f.dataType) else F.lit(None).cast("double")
-        aggs += [F.min(number).alias(f"lo{i}"), F.max(number).alias(f"hi{i}"), F.approx_count_distinct(c, SKETCH_ERROR).alias(f"d{i}")]
-    one = plain.agg(*aggs).first()  # a few numbers a column
-    counts = {i: one[f"d{i}"] for i in range(len(fields))}
-    if exact is not False and fields:
-        # sets of few values merge without a row for each column; of columns with many, only these are counted by their own keys
-        few = [i for i in counts if counts[i] <= EXACT_LIMIT]
-        many = [i for i in counts if counts[i] > EXACT_LIMIT and exact]
+    if exact:
+        parts = []
+        for i, f in enumerate(fields):
+            values = plain.select(F.col(f"c{i}").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+            one = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), *_bounds(F.col("v"), f.dataType), F.count("v").alias("cardinality"))
+            parts.append(one.select(F.lit(f.name).alias("column_name"), "*"))
+        out = reduce(DataFrame.unionByName, parts)
+    else:
+        sums = [F.count(F.lit(1)).alias("n")]
+        for i, f in enumerate(fields):
+            low, high = _bounds(F.col(f"c{i}"), f.dataType)
+            sums += [low.alias(f"lo{i}"), high.alias(f"hi{i}"), _sketch(F.col(f"c{i}")).alias(f"d{i}")]
+        one = plain.agg(*sums).first()  # a few numbers a column
+        counts = {i: one[f"d{i}"] for i in range(len(fields))}
+        few = [i for i in counts if counts[i] <= EXACT_LIMIT] if exact is None else []
         if few:
             found = plain.agg(*[F.size(F.collect_set(f"c{i}")).alias(f"d{i}") for i in few]).first()
             counts |= {i: found[f"d{i}"] for i in few}
-        if many:
-            found = plain.agg(*[F.count_distinct(f"c{i}").alias(f"d{i}") for i in many]).first()
-            counts |= {i: found[f"d{i}"] for i in many}
-    rows = [(f.name, one["n"], one[f"lo{i}"], one[f"hi{i}"], counts[i]) for i, f in enumerate(fields)]
-    out = frame.sparkSession.createDataFrame(rows, "column_name string, row_count long, lower_bound double, upper_bound double, cardinality long")
+        rows = [(f.name, one["n"], one[f"lo{i}"], one[f"hi{i}"], counts[i]) for i, f in enumerate(fields)]
+        out = frame.sparkSession.createDataFrame(rows, "column_name string, row_count long, lower_bound double, upper_bound double, cardinality long")
     density = F.when(F.col("row_count") > 0, F.least(F.lit(1.0), F.col("cardinality") / F.col("row_count")).cast("float"))
     return out.withColumn("density", density)
 
