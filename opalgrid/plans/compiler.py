@@ -98,11 +98,10 @@ class Compiler:
 
 
 def compile_plan(plan: Plan, catalog: Catalog, strict_nan: bool = False, by_statistics: bool = False) -> DataFrame:
-    """The lazy result of a tree; ``by_statistics`` puts its joins into the order that the catalog's statistics call for."""
+    """The lazy result of a tree; ``by_statistics`` puts its joins into the order that the catalog's statistics, or else the sizes of its tables, call for."""
     if by_statistics:
         # estimates are made of trees, and import them
-        from ..operators.estimate import Estimator
-        from .joins import order_joins
+        from .joins import SizedEstimator, order_joins
 
-        plan = order_joins(plan, Estimator(catalog))
+        plan = order_joins(plan, SizedEstimator(catalog))
     return Compiler(catalog, strict_nan).compile(plan).result()

@@ -257,7 +257,7 @@ STRING_HISTOGRAM_SQL = (
 
 def run_query(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     # only the tables that the tree scans are opened
-    return lambda spark, folder: compile_plan(query.plan, Catalog.from_dir(spark, folder, tables_of(query.plan)))
+    return lambda spark, folder: compile_plan(query.plan, Catalog.from_dir(spark, folder, tables_of(query.plan)), by_statistics=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -114,12 +114,25 @@ class Catalog:
         names = list(names)
         if names == list(STANDARD_TABLES):
             names.append("partsupp")
-        tables = [of_frame(n, spark.read.parquet(f"{folder}/{n}.parquet"), f"{n}.parquet") for n in names if n != "partsupp"]
+        tables = [of_frame(n, read_parquet(spark, f"{folder}/{n}.parquet"), f"{n}.parquet") for n in names if n != "partsupp"]
         if "partsupp" in names:
-            tables.append(of_frame("partsupp", partsupp(spark.read.parquet(f"{folder}/lineitem.parquet"))))
+            tables.append(of_frame("partsupp", partsupp(read_parquet(spark, f"{folder}/lineitem.parquet"))))
         return cls(tables)
 
 
+_schemas: dict[tuple, T.StructType] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is read from a footer once, as long as the file or folder has the same time and length."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    key = (spark.sparkContext.applicationId, path, found.getModificationTime(), found.getLen())
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
 def of_frame(name: str, frame: DataFrame, file_id: str | None = None) -> TableInfo:
     return TableInfo(name, file_id or f"{name}.derived", [ColumnInfo(f.name, f.dataType) for f in frame.schema.fields], lambda: frame)
 
