@@ -39,7 +39,7 @@ BANDS, ROWS = 36, 4
 MINIMA = 192
 MARGIN = 0.55
 #: Members of a family that a task compares with each other, or with as many others, by full sets, and by signatures.
-BLOCK, WIDE_BLOCK = 128, 4096
+BLOCK, WIDE_BLOCK = 128, 1024
 #: Above this size, the members of a bucket are taken for one family, whose signatures are compared in blocks instead.
 LARGEST_BUCKET = 20_000
 #: Band keys that are looked for as hot ones, and how many the sketch tracks for that.
