@@ -9,7 +9,7 @@ from opalgrid.plans import workload as w
 from opalgrid.plans.compiler import UnknownName
 from opalgrid.plans.normalize import optimize
 from opalgrid.plans.sqltext import to_sql
-from opalgrid.plans.tree import Lit, f32, f64, i32, i64, text
+from opalgrid.plans.tree import Lit, f32, f64, i32, i64, tables_of, text
 from opalgrid.sources.catalog import PARTSUPP_SQL, Catalog, CatalogError, ColumnInfo, TableInfo
 from pyspark.sql import types as T
 
@@ -24,12 +24,19 @@ def test_query_equals_its_sql(query, catalog, duck):
     same_as_duck(compile_plan(query.plan, catalog), duck, query.sql())
 
 
+@pytest.mark.parametrize("query", [q for q in w.WORKLOAD + w.FEATURES if len(tables_of(q.plan)) > 1], ids=lambda q: q.name)
+def test_registered_query_equals_its_sql(query, spark, tiny, duck):
+    """As registered, with joins in the order of table sizes."""
+    same_as_duck(w.run_query(query)(spark, tiny), duck, query.sql())
+
+
+@pytest.mark.parametrize("by_statistics", [False, True])
 @pytest.mark.parametrize("query", [q for q in w.WORKLOAD if q.ordered], ids=lambda q: q.name)
-def test_sorted_results_are_in_order(query, catalog):
+def test_sorted_results_are_in_order(query, by_statistics, catalog):
     # the keys are put into the output, so that the order can be seen
     sort = query.plan.child
     keys = [(f"k{i}", c, up) for i, (c, up) in enumerate(sort.keys)]
-    rows = compile_plan(sort.project_multiple([(c, k) for k, c, _ in keys]), catalog).collect()
+    rows = compile_plan(sort.project_multiple([(c, k) for k, c, _ in keys]), catalog, by_statistics=by_statistics).collect()
     for a, b in zip(rows, rows[1:], strict=False):
         for i, (_, _, up) in enumerate(keys):
             if a[i] != b[i]:
@@ -82,8 +89,9 @@ def test_project_to_no_columns_keeps_rows(catalog):
 def test_equi_joins_have_no_cartesian_product(spark, catalog):
     for name in ("join_sort_q47", "bench_2", "bench_4", "bench_8", "bench_9", "bench_10", "join_int_with_double", "pred_long_column_vs_double"):
         query = next(q for q in w.WORKLOAD + w.FEATURES if q.name == name)
-        plan = compile_plan(query.plan, catalog)._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+        for by_statistics in (False, True):
+            plan = compile_plan(query.plan, catalog, by_statistics=by_statistics)._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
 
 
 def test_filters_and_columns_reach_the_scan(spark, tiny, catalog):
@@ -93,6 +101,19 @@ def test_filters_and_columns_reach_the_scan(spark, tiny, catalog):
     assert "l_tax" not in plan
 
 
+def test_schemas_follow_their_files(spark, tmp_path):
+    import time
+
+    from opalgrid.sources.catalog import read_parquet
+
+    path = f"{tmp_path}/t.parquet"
+    spark.range(3).write.parquet(path)
+    assert read_parquet(spark, path).columns == ["id"] and read_parquet(spark, path).count() == 3
+    time.sleep(1.1)
+    spark.range(4).selectExpr("id as other", "'x' as s").write.mode("overwrite").parquet(path)
+    assert read_parquet(spark, path).columns == ["other", "s"] and read_parquet(spark, path).count() == 4
+
+
 def test_catalog_rules():
     column = [ColumnInfo("a", T.LongType())]
     good = TableInfo("t", "f", column)
