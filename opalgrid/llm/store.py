@@ -86,7 +86,10 @@ def finished(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> Da
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what a Python worker gets at once, in rows and in bytes: texts of documents may be very long."""
+    """Bound what a Python worker gets at once, in rows and in bytes: texts of documents may be very long.
+
+    The settings of the session stay so, as results are lazy and read them when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
