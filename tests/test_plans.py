@@ -192,6 +192,33 @@ def test_join_orders():
     assert sorted(many.names(order_joins(chained, many))) == sorted(many.names(chained))
 
 
+def test_join_orders_of_tables_without_statistics():
+    """Customers and suppliers of one nation are not paired with each other before orders and lines connect them."""
+    from opalgrid.operators.estimate import Estimator
+    from opalgrid.plans.joins import order_joins
+
+    rows = {"customer": 900_000, "orders": 9_000_000, "lineitem": 36_000_000, "supplier": 60_000, "nation": 25, "region": 5}
+
+    class Sized(Estimator):
+        def table_rows(self, name):
+            return rows[name]
+
+    def scans(plan):
+        if hasattr(plan, "left"):
+            return scans(plan.left) + scans(plan.right)
+        return scans(plan.child) if hasattr(plan, "child") else [plan.table]
+
+    e = Sized(Catalog([TableInfo(t, t, [ColumnInfo(c, T.LongType()) for c in w.TABLE_COLUMNS[t]]) for t in rows]))
+    order = scans(order_joins(next(q for q in w.WORKLOAD if q.name == "bench_4").plan, e))
+    assert sorted(order) == sorted(rows)
+    assert set(order[: max(order.index("customer"), order.index("supplier"))]) >= {"orders", "lineitem"}, order
+    # keys of two columns are not taken for fewer rows than the smaller table has
+    rows |= {"partsupp": 9_000_000, "part": 1_200_000}
+    e = Sized(Catalog([TableInfo(t, t, [ColumnInfo(c, T.LongType()) for c in w.TABLE_COLUMNS[t]]) for t in rows]))
+    order = scans(order_joins(next(q for q in w.WORKLOAD if q.name == "bench_8").plan, e))
+    assert set(order[:2]) == {"nation", "supplier"} and order.index("partsupp") < order.index("lineitem"), order
+
+
 @pytest.mark.parametrize("seed", range(40, 60))
 def test_ordered_joins_give_the_same_rows(seed, spark, catalog, duck):
     from opalgrid.plans.tools import profiled
