@@ -2,7 +2,7 @@
 
 For profiles, one aggregate gives range, a sketch of distinct values and rows of all columns, so the table is read once for them. Of columns that have few
 distinct values by their sketch, a second one counts these exactly; profiles report the sketch's estimate
-of all others, whose relative error is that of 4096 registers. Histograms of all columns take two passes.
+of all others, whose relative error is that of 4096 registers, unless exact counts are asked for. Histograms of all columns take two passes.
 """
 
 from __future__ import annotations
@@ -195,9 +195,9 @@ def physically_ordered(frame: DataFrame, columns: list[str] | None = None) -> Da
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"ok{i}").alias("ordered")) for i, c in enumerate(names)])).alias("e")).select("e.*")
 
 
-def profile(frame: DataFrame, with_order: bool = True, with_histogram: bool = True) -> dict[str, Profile]:
-    """Profiles of all columns by name; what reaches the driver is a row per column and bucket."""
-    stats = {r.column_name: r for r in column_stats(frame, exact=None).collect()}
+def profile(frame: DataFrame, with_order: bool = True, with_histogram: bool = True, exact: bool | None = None) -> dict[str, Profile]:
+    """Profiles of all columns by name, with distinct values as ``column_stats`` counts them; what reaches the driver is a row per column and bucket."""
+    stats = {r.column_name: r for r in column_stats(frame, exact=exact).collect()}
     ordered = {r.column_name: r.ordered for r in physically_ordered(frame).collect()} if with_order else {}
     numbers = [f.name for f in frame.schema.fields if _numeric(f.dataType)]
     tiles: dict[str, list] = {}

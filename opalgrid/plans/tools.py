@@ -76,11 +76,11 @@ def _named(name: str) -> w.Query:
     return next(q for q in w.WORKLOAD if q.name == name)
 
 
-def profiled(spark: SparkSession, folder: str, names: list[str]) -> Catalog:
-    """A catalog with exact statistics of tables."""
+def profiled(spark: SparkSession, folder: str, names: list[str], exact: bool | None = None) -> Catalog:
+    """A catalog with statistics of tables; numbers of distinct values as profiles count them, or all exactly."""
     out = []
     for t in Catalog.from_dir(spark, folder, names).tables:
-        found = profile(t.load(), with_order=False, with_histogram=False)
+        found = profile(t.load(), with_order=False, with_histogram=False, exact=exact)
         out.append(TableInfo(t.name, t.file_id, [ColumnInfo(c.name, c.dtype, found[c.name].stats()) for c in t.columns], t.load))
     return Catalog(out)
 
@@ -89,7 +89,7 @@ def _estimates(plans: dict[str, Plan], names: list[str], what: Callable) -> Call
     def run(spark: SparkSession, folder: str) -> DataFrame:
         from ..operators.estimate import Estimator
 
-        e = Estimator(profiled(spark, folder, names))
+        e = Estimator(profiled(spark, folder, names, exact=True))
         return spark.createDataFrame([(k, int(what(e, p))) for k, p in plans.items()], "plan string, value long")
 
     return run
