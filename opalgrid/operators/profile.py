@@ -91,7 +91,7 @@ def column_stats(frame: DataFrame, exact: bool | None = True) -> DataFrame:
             low, high = _bounds(F.col(f"c{i}"), f.dataType)
             sums += [low.alias(f"lo{i}"), high.alias(f"hi{i}"), _sketch(F.col(f"c{i}")).alias(f"d{i}")]
         one = plain.agg(*sums).first()  # a few numbers a column
-        counts = {i: one[f"d{i}"] for i in range(len(fields))}
+        counts = {i: min(one[f"d{i}"], one["n"]) for i in range(len(fields))}
         few = [i for i in counts if counts[i] <= EXACT_LIMIT] if exact is None else []
         if few:
             found = plain.agg(*[F.size(F.collect_set(f"c{i}")).alias(f"d{i}") for i in few]).first()
@@ -209,7 +209,9 @@ def profile(frame: DataFrame, with_order: bool = True, with_histogram: bool = Tr
         cast = int if isinstance(f.dataType, T.IntegralType) else float
         lower, upper = (None, None) if r.lower_bound is None else (cast(r.lower_bound), cast(r.upper_bound))
         kind = {v: k for k, v in CATALOG_TYPES.items()}.get(f.dataType, "Float64")
-        p = Profile(r.row_count, lower, upper, r.cardinality, r.density or 0.0, ordered.get(f.name), kind=kind)
+        # in full precision, so that rows can be had from it
+        density = r.cardinality / r.row_count if r.row_count else 0.0
+        p = Profile(r.row_count, lower, upper, r.cardinality, density, ordered.get(f.name), kind=kind)
         if with_histogram and r.row_count:
             if _numeric(f.dataType):
                 p.histogram = [(cast(h.lower_bound), cast(h.upper_bound), h.frequency) for h in tiles.get(f.name, [])]

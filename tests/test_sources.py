@@ -231,6 +231,16 @@ def test_profile(spark):
     assert profile(spark.range(0).toDF("a"))["a"].stats() == []
 
 
+def test_rows_of_a_profile_are_exact(spark):
+    """Whether distinct values are sketched, above or below their number, or few among many rows."""
+    from opalgrid.operators.estimate import Stats
+
+    for rows, values in ((30_000, ["id", "cast(id as string) s", "id div 2 as half", "-id as down"]), (20_000_003, ["id % 3 as few", "id % 7 as more"])):
+        found = profile(spark.range(rows).selectExpr(*values), with_order=False, with_histogram=False)
+        assert {k: Stats(p.stats()).rows for k, p in found.items()} == dict.fromkeys(found, rows)
+        assert all(p.density <= 1.0 and p.cardinality <= rows for p in found.values())
+
+
 def known(name, rows, columns):
     """A table with statistics: {column: (type, distinct, low, high)}."""
     out = []
