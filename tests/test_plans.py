@@ -246,7 +246,7 @@ def test_tools_equal_their_sql(name, spark, tiny, duck):
     assert same_as_duck(tools.queries()[name](spark, tiny), duck, tools.oracle_sql()[name]) > 0
 
 
-@pytest.mark.parametrize("name", ["estimate_distinct", "estimate_selectivity", "estimate_join"])
+@pytest.mark.parametrize("name", ["estimate_distinct", "estimate_selectivity", "estimate_join", "estimate_rows"])
 def test_estimates_equal_their_sql_beyond_sketched_counts(name, spark):
     """On tables with more distinct values than are counted exactly by default."""
     import duckdb
