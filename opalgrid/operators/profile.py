@@ -2,11 +2,12 @@
 
 For profiles, one aggregate gives range, a sketch of distinct values and rows of all columns, so the table is read once for them. Of columns that have few
 distinct values by their sketch, a second one counts these exactly; profiles report the sketch's estimate
-of all others, whose relative error is that of 4096 registers, unless exact counts are asked for. Histograms of all columns take two passes.
+of all others, whose relative error is that of 4096 registers, unless exact counts are asked for. Histograms of all columns take five passes, and those of columns with few rows three.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -24,6 +25,8 @@ from ..sources.catalog import CATALOG_TYPES
 EXACT_LIMIT = 10_000
 BUCKETS = 10
 MAX_STRINGS = 50
+#: Rows of a gap around a quantile from which on it is narrowed by sketches before its values are counted.
+GAP_ROWS = 100_000
 
 
 @dataclass
@@ -102,21 +105,81 @@ def column_stats(frame: DataFrame, exact: bool | None = True) -> DataFrame:
     return out.withColumn("density", density)
 
 
+def _quantiles(frame: DataFrame, values: list, buckets: int, accuracy: int) -> list[list[float]]:
+    """Of each column the values at the ranks ``ceil(b * n / buckets)``, exactly and without nulls; NaN is above all numbers.
+
+    A sketch of the values gives a few cuts around each rank, and a count of the rows at and between them says which gap has it; a gap of over ``GAP_ROWS``
+    rows is cut again, and of smaller ones the values themselves are counted. So only the number of passes rests on the sketches.
+    """
+
+    def inside(i: int, lo: float | None, hi: float | None):
+        tests = [~F.isnan(values[i]), *([values[i] > F.lit(lo)] if lo is not None else []), *([values[i] < F.lit(hi)] if hi is not None else [])]
+        return F.when(reduce(lambda a, b: a & b, tests), values[i])
+
+    def each(columns: list):
+        """The given values below one another, by their number; nulls are left out."""
+        rows = frame.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("x")) for k, x in enumerate(columns)])).alias("e"))
+        return rows.select("e.*").where("x is not null")
+
+    out: list[dict[int, float]] = [{} for _ in values]
+    counts = frame.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values)], *[F.count(inside(i, None, None)).alias(f"m{i}") for i in range(len(values))]).first()
+    # gaps, each with its rows and the ranks within it that are asked for
+    large: list[tuple[int, float | None, float | None, int, dict[int, int]]] = []
+    small = []
+    for i in range(len(values)):
+        ranks = {b: max(1, -(-b * counts[f"n{i}"] // buckets)) for b in range(1, buckets)} if counts[f"n{i}"] else {}
+        out[i] |= {b: math.nan for b, r in ranks.items() if r > counts[f"m{i}"]}
+        ranks = {b: r for b, r in ranks.items() if b not in out[i]}
+        if ranks:
+            (small if counts[f"m{i}"] <= GAP_ROWS else large).append((i, None, None, counts[f"m{i}"], ranks))
+    while large:
+        sketches = []
+        for k, (i, lo, hi, n, ranks) in enumerate(large):
+            points = sorted({min(1.0, max(0.0, r / n + d / accuracy)) for r in ranks.values() for d in (-2, 2)})
+            sketches.append(F.percentile_approx(inside(i, lo, hi), points, accuracy).alias(f"q{k}"))
+        found = frame.agg(*sketches).first()
+        cuts = [sorted(set(found[f"q{k}"])) for k in range(len(large))]
+        # an odd cell has the copies of a cut, an even one what is between two
+        cells = [reduce(lambda a, b: a + b, [F.when(x > c, 2).when(x == c, 1).otherwise(0) for c in map(F.lit, cuts[k])]) for k, x in enumerate(inside(*g[:3]) for g in large)]
+        cells = [F.when(inside(*g[:3]).isNotNull(), cell) for g, cell in zip(large, cells, strict=True)]
+        rows: dict[tuple[int, int], int] = {(r.k, r.x): r.n for r in each(cells).groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")).collect()}
+        gaps, large = large, []
+        for k, (i, lo, hi, n, ranks) in enumerate(gaps):
+            before = 0
+            for cell in range(2 * len(cuts[k]) + 1):
+                here = rows.get((k, cell), 0)
+                within = {b: r - before for b, r in ranks.items() if before < r <= before + here}
+                before += here
+                if within and cell % 2:
+                    out[i] |= dict.fromkeys(within, cuts[k][cell // 2])
+                elif within:
+                    gap = (i, cuts[k][cell // 2 - 1] if cell else lo, cuts[k][cell // 2] if cell < 2 * len(cuts[k]) else hi, here, within)
+                    # where a sketch has cut nothing off, values are counted nevertheless
+                    (small if here <= GAP_ROWS or here == n else large).append(gap)
+    if small:
+        counted = each([inside(*g[:3]) for g in small]).groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
+        upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("k").orderBy("x")))
+        wanted = [(F.col("k") == k) & (F.col("upto") >= r) & (F.col("upto") - F.col("n") < r) for k, g in enumerate(small) for r in g[4].values()]
+        for row in upto.where(reduce(lambda a, b: a | b, wanted)).collect():
+            i, ranks = small[row.k][0], small[row.k][4]
+            out[i] |= {b: row.x for b, r in ranks.items() if row.upto - row.n < r <= row.upto}
+    return [[found[b] for b in sorted(found)] for found in out]
+
+
 def histograms(frame: DataFrame, columns: list[str], buckets: int = BUCKETS, accuracy: int = 10_000) -> DataFrame:
     """Equi-depth buckets of numeric columns: column_name, bucket, lower_bound, upper_bound, frequency, over all rows.
 
-    Bounds come from mergeable quantile sketches, one aggregate for all columns, and a second pass counts exactly between them; no row
-    is moved, and equal values are never divided.
+    Bounds are exact quantiles, found for all columns at once, and a last pass counts between them; rows stay where they are but for the few around a bound,
+    and equal values are never divided. ``accuracy`` is that of the sketches which say where to look, and changes no result.
     """
     if not columns:
         return frame.sparkSession.createDataFrame([], "column_name string, bucket int, lower_bound double, upper_bound double, frequency long")
     values = [F.col(f"`{c}`").cast("double") for c in columns]
-    points = [i / buckets for i in range(1, buckets)]
-    found = frame.agg(*[F.percentile_approx(v, points, accuracy).alias(f"q{i}") for i, v in enumerate(values)]).first()
+    found = _quantiles(frame, values, buckets, accuracy)
     tiles = []
     for i, (c, v) in enumerate(zip(columns, values, strict=True)):
         tile = F.lit(0)
-        for b in sorted(set(found[f"q{i}"] or [])):
+        for b in sorted({b for b in found[i] if not math.isnan(b)}):
             tile = tile + (v > F.lit(b)).cast("int")
         tiles.append(F.struct(F.lit(c).alias("column_name"), tile.alias("bucket"), v.alias("v")))
     rows = frame.select(F.explode(F.array(*tiles)).alias("e")).select("e.*").where("v is not null")

@@ -164,6 +164,34 @@ def test_histograms(spark):
     assert histogram(frame.where("v < 0"), "v").count() == 0
 
 
+def test_bounds_of_histograms_are_exact(spark, monkeypatch):
+    """Against sorting: distinct values, heavy ones, nulls, NaN and infinite ones, whatever the sketches' accuracy and the rows of a gap."""
+    import math
+    import random
+
+    from opalgrid.operators import profile as p
+
+    rng = random.Random(8)
+    kinds = {
+        "distinct": lambda: rng.uniform(-1e6, 1e6),
+        "heavy": lambda: float(rng.choice([1, 2, 2, 2, 2, 2, rng.randrange(10_000)])),
+        "odd": lambda: rng.choice([None, math.nan, math.inf, -math.inf, rng.gauss(0, 1), 10 ** rng.uniform(-300, 300), 0.0]),
+        "none": lambda: None,
+    }
+    rows = [tuple(f() for f in kinds.values()) for _ in range(5003)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{k} double" for k in kinds)).repartition(5)
+    want = {}
+    for j, name in enumerate(kinds):
+        values = sorted((r[j] for r in rows if r[j] is not None), key=lambda x: (math.isnan(x), x))
+        bounds = {values[max(1, -(-b * len(values) // 10)) - 1] for b in range(1, 10)} if values else set()
+        above = [sum(v > b or (math.isnan(v) and not math.isnan(b)) for b in bounds) for v in values]
+        want |= {(name, b): above.count(b) for b in above}
+    for accuracy, gap in ((10_000, 100_000), (100, 100), (10_000, 0)):
+        monkeypatch.setattr(p, "GAP_ROWS", gap)
+        got = p.histograms(frame, list(kinds), accuracy=accuracy).collect()
+        assert {(r.column_name, r.bucket): r.frequency for r in got} == want
+
+
 def test_physical_order(spark, tmp_path):
     spark.range(100).selectExpr("id", "-id as down", "id div 10 as steps", "id % 10 as saw").coalesce(1).write.parquet(f"{tmp_path}/o")
     found = {r.column_name: r.ordered for r in physically_ordered(spark.read.parquet(f"{tmp_path}/o")).collect()}
