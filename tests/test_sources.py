@@ -192,6 +192,15 @@ def test_bounds_of_histograms_are_exact(spark, monkeypatch):
         assert {(r.column_name, r.bucket): r.frequency for r in got} == want
 
 
+@pytest.mark.parametrize("table", ["lineitem"])
+def test_registered_histograms_equal_their_sql_where_prices_are_many(table, spark, duck, tmp_path):
+    column = w.HISTOGRAMS[table]
+    spark.range(0, 2_000_000, 1, 8).selectExpr(f"900 + rand(5) * 1e5 as {column}").write.parquet(f"{tmp_path}/{table}.parquet")
+    con = duck.cursor()
+    con.sql(f"create temp view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    assert same_as_duck(w.queries()[f"stats_histogram_{table}"](spark, str(tmp_path)), con, w.oracle_sql()[f"stats_histogram_{table}"]) == 10
+
+
 def test_physical_order(spark, tmp_path):
     spark.range(100).selectExpr("id", "-id as down", "id div 10 as steps", "id % 10 as saw").coalesce(1).write.parquet(f"{tmp_path}/o")
     found = {r.column_name: r.ordered for r in physically_ordered(spark.read.parquet(f"{tmp_path}/o")).collect()}
