@@ -117,9 +117,8 @@ def _quantiles(frame: DataFrame, values: list, buckets: int, accuracy: int) -> l
         return F.when(reduce(lambda a, b: a & b, tests), values[i])
 
     def each(columns: list):
-        """The given values below one another, by their number; nulls are left out."""
-        rows = frame.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), x.alias("x")) for k, x in enumerate(columns)])).alias("e"))
-        return rows.select("e.*").where("x is not null")
+        """The given values below one another, by their number, each read by itself; nulls are left out."""
+        return reduce(DataFrame.unionByName, [frame.select(F.lit(k).alias("k"), x.alias("x")).where("x is not null") for k, x in enumerate(columns)])
 
     out: list[dict[int, float]] = [{} for _ in values]
     counts = frame.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values)], *[F.count(inside(i, None, None)).alias(f"m{i}") for i in range(len(values))]).first()
@@ -140,8 +139,10 @@ def _quantiles(frame: DataFrame, values: list, buckets: int, accuracy: int) -> l
         found = frame.agg(*sketches).first()
         cuts = [sorted(set(found[f"q{k}"])) for k in range(len(large))]
         # an odd cell has the copies of a cut, an even one what is between two
-        cells = [reduce(lambda a, b: a + b, [F.when(x > c, 2).when(x == c, 1).otherwise(0) for c in map(F.lit, cuts[k])]) for k, x in enumerate(inside(*g[:3]) for g in large)]
-        cells = [F.when(inside(*g[:3]).isNotNull(), cell) for g, cell in zip(large, cells, strict=True)]
+        cells = []
+        for g, at in zip(large, cuts, strict=True):
+            v = values[g[0]]
+            cells.append(F.when(inside(*g[:3]).isNotNull(), reduce(lambda a, b: a + b, [(v > c).cast("int") + (v >= c).cast("int") for c in map(F.lit, at)])))
         rows: dict[tuple[int, int], int] = {(r.k, r.x): r.n for r in each(cells).groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")).collect()}
         gaps, large = large, []
         for k, (i, lo, hi, n, ranks) in enumerate(gaps):
