@@ -49,7 +49,7 @@ def main(args: list[str] | None = None) -> None:
                 frame = read_blocks(spark, f"{a.out}/{t.file_id}", frame.schema)
             found = profile(frame)
             for c in t.columns:
-                c.stats = found[c.name].stats()
+                c.stats, t.rows = found[c.name].stats(), found[c.name].rows
         if a.catalog:
             spark.createDataFrame([(x,) for x in catalog.to_json().splitlines()], "value string").coalesce(1).write.mode("overwrite").text(a.catalog)
         else:

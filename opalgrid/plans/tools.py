@@ -81,7 +81,7 @@ def profiled(spark: SparkSession, folder: str, names: list[str], exact: bool | N
     out = []
     for t in Catalog.from_dir(spark, folder, names).tables:
         found = profile(t.load(), with_order=False, with_histogram=False, exact=exact)
-        out.append(TableInfo(t.name, t.file_id, [ColumnInfo(c.name, c.dtype, found[c.name].stats()) for c in t.columns], t.load))
+        out.append(TableInfo(t.name, t.file_id, [ColumnInfo(c.name, c.dtype, found[c.name].stats()) for c in t.columns], t.load, found[t.columns[0].name].rows))
     return Catalog(out)
 
 

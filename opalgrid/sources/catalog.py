@@ -34,11 +34,14 @@ class TableInfo:
     file_id: str
     columns: list[ColumnInfo]
     load: Callable[[], DataFrame] | None = field(default=None, repr=False)
+    #: Rows as a profile counted them; those of tables without rows or values can't be had from the statistics of columns.
+    rows: int | None = None
 
     def to_dict(self) -> dict:
         kinds = {v: k for k, v in CATALOG_TYPES.items()}
         columns = [{"column_name": c.name, "data_type": kinds.get(c.dtype, c.dtype.simpleString()), "stats": c.stats} for c in self.columns]
-        return {"name": self.name, "file_id": self.file_id, "column_specs": columns}
+        out = {"name": self.name, "file_id": self.file_id, "column_specs": columns}
+        return out if self.rows is None else out | {"row_count": self.rows}
 
 
 def validate(tables: Iterable[TableInfo]) -> None:
@@ -102,7 +105,7 @@ class Catalog:
                 if c["data_type"] not in CATALOG_TYPES:
                     raise CatalogError(f"column {c['column_name']} has the unknown type {c['data_type']}")
                 columns.append(ColumnInfo(c["column_name"], CATALOG_TYPES[c["data_type"]], c.get("stats")))
-            info = TableInfo(t["name"], t["file_id"], columns)
+            info = TableInfo(t["name"], t["file_id"], columns, rows=t.get("row_count"))
             if load is not None:
                 info.load = lambda info=info: load(info)
             out.append(info)

@@ -11,6 +11,7 @@ from opalgrid.plans.normalize import optimize
 from opalgrid.plans.sqltext import to_sql
 from opalgrid.plans.tree import Lit, f32, f64, i32, i64, tables_of, text
 from opalgrid.sources.catalog import PARTSUPP_SQL, Catalog, CatalogError, ColumnInfo, TableInfo
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -257,6 +258,37 @@ def test_estimates_equal_their_sql_beyond_sketched_counts(name, spark):
     assert same_as_duck(tools.queries()[name](spark, folder), con, tools.oracle_sql()[name]) > 0
 
 
+@pytest.fixture
+def odd_tables(spark, tiny, tmp_path):
+    """Folders of the estimates' tables, of which some have no rows or no values, and their views."""
+    import duckdb
+
+    def make(change):
+        for t in ("customer", "nation", "part"):
+            frame = spark.read.parquet(f"{tiny}/{t}.parquet")
+            how = change.get(t)
+            frame = frame.limit(0) if how == "empty" else frame.select(*[F.when(F.lit(False), F.col(c)).alias(c) for c in frame.columns]) if how == "null" else frame
+            frame.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        con = duckdb.connect()
+        for t in ("customer", "nation", "part"):
+            con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+        return str(tmp_path), con
+
+    return make
+
+
+ODD_TABLES = [{"customer": "empty"}, {"nation": "empty"}, {"customer": "null"}, {"nation": "null"}]
+
+
+@pytest.mark.parametrize("change", [*ODD_TABLES, dict.fromkeys(["customer", "nation", "part"], "empty"), dict.fromkeys(["customer", "nation", "part"], "null")])
+def test_rows_of_tables_without_rows_or_values(change, spark, odd_tables):
+    folder, con = odd_tables(change)
+    assert same_as_duck(tools.queries()["estimate_rows"](spark, folder), con, tools.oracle_sql()["estimate_rows"]) == 3
+    # a catalog keeps them in its JSON
+    known = tools.profiled(spark, folder, ["customer", "nation"])
+    assert [t.rows for t in Catalog.from_json(known.to_json()).tables] == [con.sql(f"select count(*) from {t}").fetchall()[0][0] for t in ("customer", "nation")]
+
+
 def test_normal_form():
     nation, region = scan("nation"), scan("region")
     plan = nation.cross(region).sort("n_name").filter("n_regionkey", "EQ", Col("r_regionkey")).filter("r_name", "EQ", text("ASIA")).filter("r_name", "EQ", text("ASIA"))
