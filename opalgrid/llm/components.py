@@ -2,11 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
 
+#: Links that a task connects at once. Where no more are left than that, one task connects all; else rounds of joins do.
+AT_ONCE = 1_000_000
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        x, y = least[a], least[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[least]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        # of two roots the larger points to the smaller, then all nodes to their roots
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+        while (least[least] != least).any():
+            least = least[least]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b) to (u, v): for each node of a task's links the least that it reaches by them. Over AT_ONCE links are taken in parts."""
+
+    def out() -> pa.RecordBatch:
+        links = pa.Table.from_batches(held)
+        found = least_reachable(links.column(0).to_numpy(), links.column(1).to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n > AT_ONCE:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
+
 
 def _least_neighbour(links: DataFrame) -> DataFrame:
     """``links`` (u, v) with ``m``, the least of u and all its neighbours.
@@ -21,12 +64,15 @@ def _least_neighbour(links: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a long, b long); the component is its least node.
 
-    Alternating large-star and small-star steps, each written to the shared folder, until none changes a
+    ``links`` is run once: each task leaves a forest of its own links, which is written to the shared folder. A forest of AT_ONCE rows at most is
+    connected by one task. A larger one goes through alternating large-star and small-star steps, each written to the shared folder, until none changes a
     link; their number grows with the logarithm of the size of a component. A node linked only with itself is its own component. Nulls are ignored; no links give no rows.
     """
     both = links.select(F.col(links.columns[0]).cast("long").alias("a"), F.col(links.columns[1]).cast("long").alias("b")).where("a is not null and b is not null")
-    current = materialize(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
+    forest = materialize(both.mapInArrow(_forest, "u long, v long"), "links")
+    if forest.count() <= AT_ONCE:
+        return forest.coalesce(1).mapInArrow(_forest, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    current, before = forest, None
     while True:
         proper = current.where("u <> v")
         all_ = proper.unionByName(proper.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,7 +86,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    lone = both.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    return stars.unionByName(roots).unionByName(lone).groupBy("node").agg(F.min("component").alias("component"))
+    # roots and lone nodes point to themselves in the forest
+    stars = current.unionByName(forest.where("u = v"))
+    return stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import odd
 import pytest
 from conftest import same_as_duck
-from opalgrid.llm import exact_dedup, near_dup, registry
+from opalgrid.llm import components, exact_dedup, near_dup, registry, store
 from opalgrid.llm.components import connected_components
 
 
@@ -212,6 +212,30 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, most):
+    """A long chain dealt at random, stars, lone nodes and repeated links; where links are few, no round of joins is run."""
+    monkeypatch.setattr(components, "AT_ONCE", most)
+    rng = random.Random(11)
+    order = rng.sample(range(-500, 500), 1000)
+    links = list(zip(order, order[1:], strict=False)) + [(2000, 2000 + i) for i in range(300)] * 2 + [(3000 + i, 3000 + i) for i in range(9)] + [(2000, 2000), (None, 1), (4000, None)]
+    rng.shuffle(links)
+    frame, before = spark.createDataFrame(links, "a long, b long").repartition(7), len(store._made)
+    got = sorted((r.node, r.component) for r in connected_components(frame).collect())
+    assert got == [(i, -500) for i in range(-500, 500)] + [(2000 + i, 2000) for i in range(300)] + [(3000 + i, 3000 + i) for i in range(9)]
+    assert most == 0 or len(store._made) == before + 1
+
+
+def test_forests_come_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(components, "AT_ONCE", 5)
+    table = pa.table({"a": pa.array(range(1, 21), pa.int64()), "b": pa.array(range(20), pa.int64())})
+    parts = list(components._forest(iter(table.to_batches(max_chunksize=2))))
+    assert [x.to_pydict() for x in parts[:1]] == [{"u": list(range(7)), "v": [0] * 7}] and sum(x.num_rows for x in parts) == 20 + len(parts)
+    assert list(components._forest(iter([]))) == []
+
+
 def test_digest_column(spark, tiny):
     rows = registry.queries()["op4_exact_dedup"](spark, tiny).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
