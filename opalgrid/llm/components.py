@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, tidy
 
 #: Links that a task connects at once. Where no more are left than that, one task connects all; else rounds of joins do.
 AT_ONCE = 1_000_000
@@ -61,17 +61,18 @@ def _least_neighbour(links: DataFrame) -> DataFrame:
     return links.withColumn("k", F.bitwise_not("u")).join(least, "k").select("u", "v", "m")
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, forests: bool = False) -> DataFrame:
     """(node, component) for every node of ``links`` (a long, b long); the component is its least node.
 
-    ``links`` is run once: each task leaves a forest of its own links, which is written to the shared folder. A forest of AT_ONCE rows at most is
+    ``links`` is run once: each task leaves a forest of its own links, which is written to the shared folder. With ``forests``, ``links`` are such
+    forests already, made by ``_forest`` in the tasks that find the links, which so need no second Python worker. A forest of AT_ONCE rows at most is
     connected by one task. A larger one goes through alternating large-star and small-star steps, each written to the shared folder, until none changes a
     link; their number grows with the logarithm of the size of a component. A node linked only with itself is its own component. Nulls are ignored; no links give no rows.
     """
     both = links.select(F.col(links.columns[0]).cast("long").alias("a"), F.col(links.columns[1]).cast("long").alias("b")).where("a is not null and b is not null")
-    forest = materialize(both.mapInArrow(_forest, "u long, v long"), "links")
+    forest = materialize(both.toDF("u", "v") if forests else both.mapInArrow(tidy(_forest), "u long, v long"), "links")
     if forest.count() <= AT_ONCE:
-        return forest.coalesce(1).mapInArrow(_forest, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return forest.coalesce(1).mapInArrow(tidy(_forest), "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("component"))
     current, before = forest, None
     while True:
         proper = current.where("u <> v")

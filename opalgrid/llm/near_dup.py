@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .store import column, materialize, read_table, small_batches
+from .components import _forest, connected_components
+from .store import column, materialize, read_table, small_batches, tidy
 
 WORDS = 5
 PERCENT = 75
@@ -295,10 +295,15 @@ def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _columns(rows, [pa.int64(), pa.int64()], ["a", "b"])
 
 
+def _family_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the exact links of a task connect, found in the worker that finds the links: a second one would keep its memory too."""
+    return _forest(_family_links(batches))
+
+
 def _compared(grouped: DataFrame, partitions: int) -> DataFrame:
-    """The exact links within each group of rows (group, id, side, label, set, bits)."""
+    """The exact links within each group of rows (group, id, side, label, set, bits), as forests of tasks."""
     grouped = grouped.select("group", "id", "side", "label", "set", "bits")
-    return grouped.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_family_links, "a long, b long")
+    return grouped.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(tidy(_family_forest), "u long, v long").toDF("a", "b")
 
 
 def _likely_links(reps: DataFrame, partitions: int) -> DataFrame:
@@ -307,13 +312,13 @@ def _likely_links(reps: DataFrame, partitions: int) -> DataFrame:
     top = keyed.agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {TRACKED_KEYS})").alias("top")).first()["top"] or []
     hot = [r["item"] for r in top if r["count"] > LARGEST_BUCKET]
     if not hot:
-        return keyed.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long").distinct()
+        return keyed.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(tidy(_bucket_links), "a long, b long").distinct()
     # HOT_KEYS rows at most
     keys = F.broadcast(reps.sparkSession.createDataFrame([(k,) for k in hot], "key long"))
     rows = keyed.select("key", "doc_id").join(keys, "key", "left_semi")
     least = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
     stars = rows.join(F.broadcast(least), "key").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    rest = keyed.join(keys, "key", "left_anti").repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long")
+    rest = keyed.join(keys, "key", "left_anti").repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(tidy(_bucket_links), "a long, b long")
     return rest.unionByName(stars).distinct()
 
 
@@ -348,7 +353,7 @@ def _large_family_links(sets: DataFrame, likely: DataFrame, partitions: int) ->
     dealt = dealt.withColumn("group", F.xxhash64("component", F.least("_wide", "_other"), F.greatest("_wide", "_other")))
     side = F.when(F.col("_wide") == F.col("_other"), 0).otherwise((F.col("_wide") > F.col("_other")).cast("int"))
     dealt = dealt.select("group", "id", side.alias("side"), "label", F.col("_block").alias("block"), "bits", "component").repartition(partitions, "group").sortWithinPartitions("group")
-    pairs = dealt.mapInArrow(_candidates, "component long, lo int, hi int, id long").distinct()
+    pairs = dealt.mapInArrow(tidy(_candidates), "component long, lo int, hi int, id long").distinct()
     # ... and full sets go only where a member has a likely partner of another label
     rows = pairs.select("component", "lo", "hi", "id").join(members.select("id", "label", "_block"), "id").join(sets.select("id", "set", "bits"), "id")
     rows = rows.withColumns({"group": F.xxhash64("component", "lo", "hi"), "side": ((F.col("lo") < F.col("hi")) & (F.col("_block") == F.col("hi"))).cast("int")})
@@ -360,7 +365,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(column(id_col).cast("long").alias("_id"), _mark(text_col).alias("_mark"), column(text_col).alias("_text"))
-    signed = materialize(texts.mapInArrow(_signed, "doc_id long, mark long, n_shingles long, class binary, bits binary, bands array<long>"), "near")
+    signed = materialize(texts.mapInArrow(tidy(_signed), "doc_id long, mark long, n_shingles long, class binary, bits binary, bands array<long>"), "near")
     # a class of equal sets is a node, whose text is that of its least id
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("least")
     classes = signed.where("class is not null").groupBy("class").agg(least, F.any_value("bits").alias("bits"), F.any_value("bands").alias("bands"))
@@ -380,13 +385,13 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = members.join(classes.select("node", "rep", F.col("mark").alias("_m"), "bits"), "node")
     work = texts.join(members, (F.col("_mark") == F.col("_m")) & F.col("_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
     work = work.select("node", "_text", "component", "_blocks", "_block", "bits")
-    sets = materialize(work.mapInArrow(_full_sets, "id long, set binary, component long, _blocks int, _block int, bits binary"), "near")
+    sets = materialize(work.mapInArrow(tidy(_full_sets), "id long, set binary, component long, _blocks int, _block int, bits binary"), "near")
     small = sets.where("_blocks = 1").withColumns({"group": F.col("component"), "side": F.lit(0), "label": F.col("id")})
     links = _compared(small, n)
     large = sets.where("_blocks > 1")
     if not large.isEmpty():
         links = links.unionByName(_large_family_links(large, likely, n))
-    parts = connected_components(links)
+    parts = connected_components(links, forests=True)
 
     # the least id of all classes of a component
     named = classes.select("node", "class", "rep").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))

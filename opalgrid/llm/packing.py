@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import column, materialize, read_table, small_batches
+from .store import column, materialize, read_table, small_batches, tidy
 
 CAPACITY = 4096
 OPEN_BINS = 512
@@ -120,6 +120,11 @@ class ChunkCache(dict):
         self[chunk] = found
         return found
 
+    def empty(self) -> None:
+        """Leave the tokenizer alone."""
+        self.clear()
+        self.words.clear()
+
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
@@ -163,19 +168,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             columns = list(zip(*rows, strict=True)) or [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = cache.ids(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    bin_, offset = packer.place(len(own) // 4)
-                    rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own), first + bin_, offset))
-            yield batch_of(rows)
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = cache.ids(text) + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[at : at + 4 * capacity]
+                        bin_, offset = packer.place(len(own) // 4)
+                        rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own), first + bin_, offset))
+                yield batch_of(rows)
+        finally:
+            cache.empty()  # the worker keeps the tokenizer
         # what is open, as piece -1 of no document
         yield batch_of([(None, -1, 0, capacity - free, 0, first + bin_, 0) for free, bins in enumerate(packer.free) for bin_ in bins])
 
-    packed = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    packed = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text")).mapInArrow(tidy(run), SCHEMA)
     return _with_open_bins_merged(materialize(packed, "packing"), capacity)
 
 
@@ -196,7 +204,7 @@ def _with_open_bins_merged(packed: DataFrame, capacity: int) -> DataFrame:
     n = bins.count()
     tasks = max(1, -(-n // MERGED_BINS))
     dealt = bins.repartitionById(tasks, F.pmod(F.xxhash64("sequence_id"), F.lit(tasks)).cast("int"))
-    moved = materialize(dealt.mapInArrow(run, "of long, into long, shift long"), "packing")
+    moved = materialize(dealt.mapInArrow(tidy(run), "of long, into long, shift long"), "packing")
     out = packed.where("piece >= 0").join(F.broadcast(moved) if n <= BROADCAST_BINS else moved, F.col("sequence_id") == F.col("of"), "left")
     places = {"sequence_id": F.coalesce("into", "sequence_id"), "offset": F.col("offset") + F.coalesce("shift", F.lit(0))}
     return out.withColumns(places).select(*packed.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import column, read_table, small_batches
+from .store import column, read_table, small_batches, tidy
 
 BUCKETS = 1 << 18
 DIM = 12
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # the sample has a fixed number of rows at most
     texts = docs.select(column(id_col).cast("long").alias("_id"), column(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    table = texts.select("_id", F.col("_label").cast("int"), "_text").mapInArrow(run, "id long, label int, found array<int>, counts array<int>").toArrow()
+    table = texts.select("_id", F.col("_label").cast("int"), "_text").mapInArrow(tidy(run), "id long, label int, found array<int>, counts array<int>").toArrow()
     rows = sorted(zip(*[table.column(i).to_pylist() for i in (0, 1)], range(table.num_rows), strict=True))
     found, counts = table.column(2).combine_chunks(), table.column(3).combine_chunks()
     at = lambda column, i: column[i].values.to_numpy(zero_copy_only=False)
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     text_at, kept_at = docs.columns.index(text_col), [docs.columns.index(c) for c in keep]
     # plain names inside: those of the input may have dots
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(scores, plain.select(*[f"c{i}" for i in kept_at]).schema.add("score", "double")).toDF(*keep, out)
+    return plain.mapInArrow(tidy(scores), plain.select(*[f"c{i}" for i in kept_at]).schema.add("score", "double")).toDF(*keep, out)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

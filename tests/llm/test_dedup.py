@@ -236,6 +236,49 @@ def test_forests_come_in_parts(monkeypatch):
     assert list(components._forest(iter([]))) == []
 
 
+def test_forests_that_tasks_left_are_joined(spark, monkeypatch):
+    links = [(5, 4), (4, 3), (9, 8), (7, 7), (3, 8)]
+    forests = spark.createDataFrame(links[:3], "a long, b long").coalesce(1).unionByName(spark.createDataFrame(links[3:], "a long, b long").coalesce(1))
+    forests = forests.mapInArrow(components._forest, "u long, v long").toDF("a", "b")
+    for most in (0, 1000):
+        monkeypatch.setattr(components, "AT_ONCE", most)
+        got = sorted((r.node, r.component) for r in connected_components(forests, forests=True).collect())
+        assert got == [(3, 3), (4, 3), (5, 3), (7, 7), (8, 3), (9, 3)]
+
+
+def _python_steps(plan):
+    """The most Python steps that a task of a plan runs at once, each in a worker of its own."""
+    most, above = 0, []
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-*")
+        depth = len(line) - len(name)
+        above = [(d, n) for d, n in above if d < depth]
+        if name.startswith(("Exchange", "BroadcastExchange", "AdaptiveSparkPlan")):
+            above.append((depth, 0))
+        else:
+            above.append((depth, (above[-1][1] if above else 0) + name.startswith("MapInArrow")))
+        most = max(most, above[-1][1])
+    return most
+
+
+def test_near_duplicates_take_one_python_worker_a_task(spark, monkeypatch):
+    plans = []
+
+    def kept(df, tag, f=store.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return f(df, tag)
+
+    for module in (near_dup, components):
+        monkeypatch.setattr(module, "materialize", kept)
+    monkeypatch.setattr(near_dup, "BLOCK", 2)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[: 50 + i])) for i in range(8)] + [(100 + i, " ".join(f"{i}-{j}" for j in range(20))) for i in range(4)]
+    out = near_dup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r.doc_id for r in out.collect()) == [0, 100, 101, 102, 103]
+    assert sum("MapInArrow" in p for p in plans) >= 5 and max(map(_python_steps, plans)) == 1
+
+
 def test_digest_column(spark, tiny):
     rows = registry.queries()["op4_exact_dedup"](spark, tiny).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}

@@ -242,6 +242,20 @@ def test_sequences_hardly_depend_on_the_number_of_tasks(spark, tokenizer, monkey
     assert counts[0] <= 1.02 * least + 1 and counts[1] <= (1.05 if merged > 64 else 1.08) * least + 2, (counts, least)
 
 
+def test_packing_leaves_no_caches_in_workers(spark):
+    """Workers outlive their tasks and wait for others, with what they hold."""
+    docs = spark.range(0, 400, 1, 4).selectExpr("id as doc_id", "concat('word', id, ' other', id) as text")
+    assert packing.pack(docs).count() == 400
+
+    def held(batches):
+        import pyarrow as pa
+
+        n = sum(len(c) + len(c.words) for c in packing._caches.values())
+        yield pa.RecordBatch.from_arrays([pa.array([n for b in batches], pa.int64())], names=["n"])
+
+    assert sum(r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()) == 0
+
+
 def test_packing_query(spark, tiny, tokenizer):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     rows = registry.queries()["op7_packing"](spark, tiny).collect()

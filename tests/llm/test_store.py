@@ -1,5 +1,7 @@
+import re
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from opalgrid.llm import store
 
@@ -43,3 +45,27 @@ def test_tables_on_the_way_are_removed(spark):
     out = store.finished(spark, make, "t")
     assert sorted(r.id for r in out.collect()) == [1, 2] and earlier.count() == 4
     assert len(made) == 3 and not any(Path(p.removeprefix("file:")).exists() for p in made)
+
+
+def test_memory_goes_back_when_a_task_ends(monkeypatch):
+    batches = [pa.record_batch({"a": [i]}) for i in range(3)]
+    calls = []
+    monkeypatch.setattr(store, "give_back", lambda: calls.append(len(calls)))
+    run = store.tidy(lambda given: (b for b in given))
+    assert list(run(iter(batches))) == batches and calls == [0]
+    ended = run(iter(batches))
+    next(ended)
+    ended.close()
+    assert calls == [0, 1]
+
+
+def test_freed_memory_is_given_back():
+    def held():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    blocks = [bytes(2000) for _ in range(50_000)]
+    last = bytes(2000)  # above the others, so that the heap can't shrink by itself
+    full = held()
+    del blocks
+    store.give_back()
+    assert full - held() > 50 and len(last) == 2000
