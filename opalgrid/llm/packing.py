@@ -14,7 +14,9 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ CAPACITY = 4096
 OPEN_BINS = 512
 #: Open bins of ended tasks that one task puts together, and places of such bins that are broadcast.
 MERGED_BINS, BROADCAST_BINS = 1 << 16, 1 << 17
+#: Documents that a Python worker gets at once, or fewer long ones: words that repeat among them are looked up once.
+BATCH = 2048
 END_ID = 1
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -67,32 +71,33 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 #: Chunks that the tokenizer's pattern cuts into runs of letters, single digits and runs of other signs, and
 #: that its normalizer only lower-cases: basic Latin without apostrophes and "<" (special tokens), and letters of Latin-1.
 _PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-/:;=-@\[-`{{-~]+")
-_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_SIGNS = rf"([^{_LETTERS}0-9]+|[0-9])"
 
 
-class WordIds(dict):
-    """Token ids of lower-case words, by the tokenizer's model on their byte-level form."""
+class WordNumbers(dict):
+    """Numbers of words from 0, in the order in which they are first asked for."""
 
-    def __init__(self, tokenizer, most: int) -> None:
-        self.model, self.most = tokenizer.model, most
-        # the printable stand-ins of bytes in byte-level vocabularies
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        self.stand_in = {b: chr(256 + i) for i, b in enumerate(rest)}
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        form = word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_in)
-        found = self[word] = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
-        return found
 
+def _lists(offsets, values: pa.Array) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values)
 
-class ChunkCache(dict):
-    """Token ids of chunks between ASCII white space, as little-endian 32-bit integers.
+
+def _at(lists: pa.Array, outer: pa.Array) -> np.ndarray:
+    """Where the inner values of lists of lists begin and end."""
+    return lists.offsets.to_numpy()[outer.offsets.to_numpy()]
+
+
+class ChunkCache:
+    """Token ids of texts by those of chunks between ASCII white space, as little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins tokens across it, so the ids of a text are those of
-    its chunks in a row. Plain chunks are put together from the ids of their parts, all others are encoded whole. The caches are emptied at ``most`` entries.
+    its chunks in a row. Plain chunks are cut into lower-case words, which the tokenizer's model takes in their byte-level form; all
+    others are encoded whole. Arrow cuts a batch of texts and puts its ids together, so that Python sees each word of a batch once,
+    and the tokenizer only new ones. What is kept for later batches is emptied at ``most`` words.
     """
 
     def __init__(self, path: str, most: int = 500_000) -> None:
@@ -101,32 +106,66 @@ class ChunkCache(dict):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = WordIds(self.tokenizer, most // 2)
+        self.model = self.tokenizer.model
+        # the printable stand-ins of bytes in byte-level vocabularies
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.stand_in = {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.empty()
         # only for tokenizers of which the above holds
-        probe = ["The", "Über", "naïve", ".,", "7", "###", "_"]
-        self.parts = all(self.words[w.lower()] == self.encode(w) for w in probe) and self.encode("Été12.,No") == b"".join(map(self.encode, ("été", "1", "2", ".,", "no")))
-
-    def encode(self, chunk: str) -> bytes:
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        text = chunk.decode("utf-8", "replace")
-        if self.parts and _PLAIN.fullmatch(text):
-            found = b"".join(map(self.words.__getitem__, _PARTS.findall(text.lower())))
-        else:
-            found = self.encode(text)
-        self[chunk] = found
-        return found
+        self.parts = True
+        self.parts = all(self.ids(w) == array("I", self.encode(w)).tobytes() for w in ["The", "Über", "naïve", ".,", "7", "###", "_", "Été12.,No"])
+        self.empty()
+
+    def __len__(self) -> int:
+        return len(self.known)
 
     def empty(self) -> None:
         """Leave the tokenizer alone."""
-        self.clear()
-        self.words.clear()
+        self.words = WordNumbers()
+        self.known = pa.array([], pa.large_list(pa.uint32()))  # ids by a word's number
+
+    def encode(self, chunk: str) -> list[int]:
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def encode_word(self, word: str) -> list[int]:
+        if not (self.parts and _PLAIN.fullmatch(word)):
+            return self.encode(word)
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_in))]
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words, whose ids are known from then on."""
+        before = len(self.words)
+        numbers = np.array([*map(self.words.__getitem__, words)], np.int64)
+        ids, ends = array("I"), [0]
+        for i in np.flatnonzero(numbers >= before).tolist():
+            ids.extend(self.encode_word(words[i]))
+            ends.append(len(ids))
+        self.known = pa.concat_arrays([self.known, _lists(ends, pa.array(np.array(ids, np.uint32)))])
+        return numbers
+
+    def all_ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each of the texts."""
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        each = chunks.flatten().dictionary_encode()
+        cut = each.dictionary
+        if self.parts:
+            padded = pc.replace_substring_regex(pc.utf8_lower(cut), _SIGNS, r" \1 ")
+            cut = pc.if_else(pc.match_substring_regex(cut, f"^{_PLAIN.pattern}$"), padded, cut)
+        parts = pc.ascii_split_whitespace(cut)
+        words = parts.flatten().dictionary_encode()
+        names = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary.cast(pa.string()))
+        numbers = self._numbers(pc.binary_join(names, "\n")[0].as_py().split("\n"))
+        of_words = self.known.take(pa.array(numbers[words.indices]))
+        of_chunks = _lists(_at(of_words, parts), of_words.flatten()).take(each.indices)
+        ids, at = of_chunks.flatten().to_numpy().data, _at(of_chunks, chunks).tolist()
+        if len(self.words) > self.most:
+            self.empty()
+        for start, stop in zip(at, at[1:], strict=False):
+            yield ids[start:stop].tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
+        return next(self.all_ids(pa.array([text], pa.string())))
 
 
 _caches: dict[str, ChunkCache] = {}
@@ -154,7 +193,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     ``tokenizer_path`` names a file for the ``tokenizers`` library that each executor can open; None is the
     installed public one. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
     types, names = [pa.int64(), pa.int32(), *[pa.int64()] * 5], [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +210,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         try:
             for batch in batches:
                 rows: list[tuple] = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = cache.ids(text) + end
+                for doc, ids in zip(batch.column(0).to_pylist(), cache.all_ids(batch.column(1)), strict=True):
+                    ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         bin_, offset = packer.place(len(own) // 4)
@@ -184,7 +223,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         yield batch_of([(None, -1, 0, capacity - free, 0, first + bin_, 0) for free, bins in enumerate(packer.free) for bin_ in bins])
 
     packed = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text")).mapInArrow(tidy(run), SCHEMA)
-    return _with_open_bins_merged(materialize(packed, "packing"), capacity)
+    written = materialize(packed, "packing")
+    small_batches(docs.sparkSession)
+    return _with_open_bins_merged(written, capacity)
 
 
 def _with_open_bins_merged(packed: DataFrame, capacity: int) -> DataFrame:

@@ -1,10 +1,13 @@
+import itertools
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import odd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -197,6 +200,30 @@ def test_caches_stay_bounded(tokenizer):
     assert len(cache) <= 10 and len(cache.words) <= 10
 
 
+def test_ids_of_a_batch_are_those_of_its_texts(tokenizer):
+    texts = ["Two words", None, "", " \t\n ", "don't <|endoftext|> Two", "H\u0331 \u00dcber,alles\x1c12 \x00 x" * 40, "words, Two! \u0130\u03a3"]
+    cache = packing.ChunkCache(public_tokenizers.path("word_bpe_49k.json"), most=8)
+    for batch in (texts, texts[:0], texts[::-1], texts[1:4]):
+        for given in (pa.array(batch, pa.string()), pa.array(["other", *batch], pa.string())[1:]):
+            assert [np.frombuffer(i, "<u4").tolist() for i in cache.all_ids(given)] == [tokenizer.encode(x or "", add_special_tokens=False).ids for x in batch]
+
+
+def test_python_handles_each_word_of_a_batch_once(tokenizer):
+    """However many chunks have it, with capitals or signs, which are a task's most entries by far."""
+    cache, calls = packing._cache(None), []
+    cache.empty()
+    words = ["".join(w) for w in itertools.product("abc", repeat=3)]
+    text = " ".join(before + form(w) + after for w in words for form in (str.lower, str.upper, str.title) for before in ("", "(", "#") for after in ("", ".", ",", ").", "!"))
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        found = cache.ids(text)
+    finally:
+        sys.setprofile(None)
+    cache.empty()
+    assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(calls) < 10 * len(words) < len(text.split()) / 4, len(calls)
+
+
 def check_pieces(rows, texts, tokenizer, capacity=4096):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
